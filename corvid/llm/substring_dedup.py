@@ -4,7 +4,7 @@ Level lengths double from `seed_words` up to `min_words` (the last step is cut t
 words is covered by two halves that overlap). At a level of length w each still living window of `min_words`
 words stands for itself by its smallest-hashed w-word part. A window lives on only if that part is repeated in
 another document: equal windows choose equal parts, so no repeat is lost, and a level whose survivors are none
-ends the work. Only the parts travel, never the text of all windows; the last level compares 128-bit hashes of
+ends the work. Only the parts travel, never the text of all windows; the last level compares 96-bit hashes of
 the full windows that are left.
 
 Defined cases: null and empty texts have no words; texts under `min_words` words keep all; rows that repeat a
@@ -19,10 +19,10 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import as_long, grams, keyed_text, pieces, sliding_min, utf8, word_hashes
+from corvid.llm.common import as_long, dealt_text, grams, keyed_text, pieces, sliding_min, utf8, word_hashes
 
 SEED_WORDS = 7
 MIN_WORDS = 13
@@ -71,23 +71,23 @@ def _emit(length: int, before: int | None, target: int):
             if not len(starts):
                 continue
             owner = doc[starts]
-            second = grams(words, length, 1)[starts] if length == target else np.zeros(len(part), np.uint64)
+            second = (grams(words, length, 1)[starts] if length == target else np.zeros(len(part), np.uint64)).astype(np.uint32).view(np.int32)
             # a text says each part once, also where it holds it again and again
             order = np.lexsort((part, owner))
             first = np.ones(len(order), bool)
             first[1:] = (part[order][1:] != part[order][:-1]) | (owner[order][1:] != owner[order][:-1])
             pick = order[first]
-            yield pa.RecordBatch.from_arrays([as_long(part[pick]), as_long(second[pick]), pa.array(ids[owner[pick]])], ["k1", "k2", "doc_id"])
+            yield pa.RecordBatch.from_arrays([as_long(part[pick]), pa.array(second[pick]), pa.array(ids[owner[pick]])], ["k1", "k2", "doc_id"])
 
     return run
 
 
 def _settle(rows: DataFrame, last: bool) -> DataFrame:
-    """(doc_id, hits): the parts of each document that another document has too (last: a smaller one)."""
-    dealt = rows.repartition("k1", "k2")  # one exchange feeds both the count and the join
-    seen = dealt.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    hits = dealt.join(seen, ["k1", "k2"])
-    return (hits.where("doc_id > lo") if last else hits).groupBy("doc_id").agg(F.collect_list("k1").alias("hits"))
+    """(key, hits): the parts of each document that another document has too (last: a smaller one)."""
+    same = Window.partitionBy("k1", "k2")  # the parts travel once; a join of them with their counts would deal them twice
+    seen = rows.select("*", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi"))
+    hits = seen.where("doc_id > lo" if last else "lo < hi")
+    return hits.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("k1").alias("hits"))
 
 
 def _answer(target: int, full: bool):
@@ -118,12 +118,11 @@ def _answer(target: int, full: bool):
 
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, digest: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words that stay, or their SHA-256)."""
-    texts = keyed_text(docs)
-    dealt = texts.repartition("doc_id")
-    known = dealt.where("doc_id is not null")
+    texts = keyed_text(docs).where("doc_id is not null")
+    dealt = dealt_text(docs)
     before, hits = None, None
     for length in level_lengths(seed_words, min_words):
-        source = texts.where("doc_id is not null") if hits is None else known.join(hits, "doc_id")
-        rows = source.mapInArrow(_emit(length, before, min_words), "k1 long, k2 long, doc_id long")
+        source = texts if hits is None else dealt.join(hits, "key")
+        rows = source.mapInArrow(_emit(length, before, min_words), "k1 long, k2 int, doc_id long")
         hits, before = _settle(rows, length == min_words), length
-    return dealt.join(hits, "doc_id", "left").mapInArrow(_answer(min_words, not digest), "doc_id long, n_words long, n_removed long, kept string")
+    return dealt.join(hits, "key", "left").mapInArrow(_answer(min_words, not digest), "doc_id long, n_words long, n_removed long, kept string")

@@ -23,7 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.llm.common import as_long, keyed_text, mix, pieces, sliding_min, stash, utf8
@@ -342,9 +342,9 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes, or their SHA-256)."""
     texts = keyed_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     dealt = texts.repartition("row")
-    first = texts.mapInArrow(_first, "h long, n int, row long").repartition("h")
-    repeated = first.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    hits = first.join(repeated, "h").groupBy("row").agg(F.collect_set("h").alias("hits"))
+    first = texts.mapInArrow(_first, "h long, n int, row long")
+    repeated = first.select("h", "row", F.sum("n").over(Window.partitionBy("h")).alias("n")).where("n > 1")
+    hits = repeated.groupBy("row").agg(F.collect_set("h").alias("hits"))
     contexts = stash(dealt.join(hits, "row").mapInArrow(_emit_contexts, _CONTEXT), "contexts")
     # bytes travel once; that a context is there twice or more is told by rows of its own
     often = contexts.groupBy("h", "c").agg(F.sum("n").alias("n")).where("n > 1").selectExpr("h", "c", "2 as n", "0 as left", "cast(null as binary) as bytes")
