@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import as_long, keyed_text, mix, pieces, sliding_min, stash, utf8
+from corvid.llm.common import as_long, keyed_text, mix, pieces, sliding_min, utf8
 
 LENGTH = 200
 GRAM = 32
@@ -192,32 +192,31 @@ def _contexts(t: bytes, hits: np.ndarray):
         yield key, xxhash.xxh3_64_intdigest(c, p - a) - 2**63, p - a, c, p
 
 
-_CONTEXT = "h long, c long, row long, n int, left int, bytes binary"
-
-
-def _emit_contexts(batches):
-    told: set[tuple[int, int]] = set()  # what this task has sent the bytes of already
+def _emit_bodies(batches):
+    """Each context with its bytes at first sight in this task, once more if it comes again, and then no more."""
+    told: dict[tuple[int, int], int] = {}
     for batch in pieces(batches):
-        rows = batch.column("row").to_pylist()
-        cols = [[] for _ in range(6)]
-        for k, t in enumerate(utf8(batch.column("text"))):
-            seen: dict[tuple[int, int], list] = {}
-            for key, c, left, body, _ in _contexts(t, batch.column("hits")[k].values.to_numpy().view(np.uint64)):
-                if (key, c) in seen:
-                    seen[key, c][0] = 2
-                else:
-                    seen[key, c] = [1, left, body]
-            for (key, c), (n, left, body) in seen.items():
-                new = (key, c) not in told
-                for col, v in zip(cols, (key, c, rows[k], n, left, body if new else None)):
-                    col.append(v)
-                if new:
-                    told.add((key, c))
+        rows = []
+        for t, hits in zip(utf8(batch.column("text")), batch.column("hits")):
+            for key, c, left, body, _ in _contexts(t, hits.values.to_numpy().view(np.uint64)):
+                times = told.get((key, c), 0)
+                if times < 2:
+                    told[key, c] = times + 1
+                    rows.append((key, c, left, None if times else body))
         if len(told) > 500_000:
             told.clear()
-        if cols[0]:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds)], ["h", "c", "row", "n", "left", "bytes"])
+        if rows:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], ["h", "c", "left", "bytes"])
+
+
+def _emit_owners(batches):
+    for batch in pieces(batches):
+        rows = []
+        for t, hits, row in zip(utf8(batch.column("text")), batch.column("hits"), batch.column("row").to_pylist()):
+            rows += [(key, c, row) for key, c in {x[:2] for x in _contexts(t, hits.values.to_numpy().view(np.uint64))}]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows)], ["h", "c", "row"])
 
 
 def repeated_shifts(h: np.ndarray, count: np.ndarray, left: np.ndarray, body: list[bytes]) -> np.ndarray:
@@ -295,7 +294,7 @@ def _judge(batches):
         )
 
     for batch in batches:
-        for h, c, n, left, body in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "n", "left", "bytes"))):
+        for h, c, left, body in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "left", "bytes"))):
             if h != anchor:
                 close()
                 anchor = h
@@ -306,7 +305,7 @@ def _judge(batches):
                 if last[c][2] is None:
                     last[c][1:] = [left, body]
             else:
-                last[c] = [n, left, body]
+                last[c] = [1, left, body]
     close()
     if waiting:
         yield flush()
@@ -345,11 +344,12 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     first = texts.mapInArrow(_first, "h long, n int, row long")
     repeated = first.select("h", "row", F.sum("n").over(Window.partitionBy("h")).alias("n")).where("n > 1")
     hits = repeated.groupBy("row").agg(F.collect_set("h").alias("hits"))
-    contexts = stash(dealt.join(hits, "row").mapInArrow(_emit_contexts, _CONTEXT), "contexts")
-    # bytes travel once; that a context is there twice or more is told by rows of its own
-    often = contexts.groupBy("h", "c").agg(F.sum("n").alias("n")).where("n > 1").selectExpr("h", "c", "2 as n", "0 as left", "cast(null as binary) as bytes")
-    bodies = contexts.where("bytes is not null").selectExpr("h", "c", "n", "left", "bytes")
-    verdict = bodies.union(often).repartition("h").sortWithinPartitions("h", "c").mapInArrow(_judge, "h long, c long, bits binary")
-    found = contexts.select("h", "c", "row").join(stash(verdict, "repeated"), ["h", "c"]).groupBy("row").agg(F.collect_list(F.struct("h", "c", "bits")).alias("found"))
+    holders = dealt.join(hits, "row")
+    verdict = (
+        holders.mapInArrow(_emit_bodies, "h long, c long, left int, bytes binary")
+        .repartition("h").sortWithinPartitions("h", "c").mapInArrow(_judge, "h long, c long, bits binary")
+    )
+    owners = holders.mapInArrow(_emit_owners, "h long, c long, row long")
+    found = owners.join(verdict, ["h", "c"]).groupBy("row").agg(F.collect_list(F.struct("h", "c", "bits")).alias("found"))
     kind = "string" if digest else "binary"
     return dealt.join(found, "row", "left").mapInArrow(_answer(not digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
