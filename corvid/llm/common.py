@@ -56,12 +56,14 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def dealt_text(docs: DataFrame) -> DataFrame:
-    """keyed_text with a key that is never null, dealt by it.
+def dealt_text(docs: DataFrame, others: list[str] = ()) -> DataFrame:
+    """keyed_text, dealt by a key that is never null; `others` travel as the fields of `rest`, by position.
 
     As no plan has to add a null filter below the exchange, all joins on `key` in one query share its shuffle files.
     """
-    return keyed_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).repartition("key")
+    rest = [F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others))).alias("rest")] if others else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
+    return rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).repartition("key")
 
 
 def pieces(batches, column: str = "text", limit: int = PIECE_BYTES):

@@ -184,3 +184,9 @@ def minhash_dedup(docs: DataFrame, percent: int = 75) -> DataFrame:
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     out = own.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The documents that lead their component, all columns; documents without a doc_id stay."""
+    gone = minhash_dedup(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

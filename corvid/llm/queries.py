@@ -25,6 +25,73 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_suffix_dedup, op8_minhash_dedup)}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvid.llm.language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvid.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvid.llm.token_counts import VOCABULARY, token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvid.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvid.llm.decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvid.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvid.llm.pivot_index import pivot_dedup
+
+    return pivot_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_decontamination,
+        op3_html_extraction,
+        op4_language_id,
+        op5_suffix_dedup,
+        op6_packing,
+        op7_pivot_dedup,
+        op8_minhash_dedup,
+        op9_token_counts,
+        op10_toxicity,
+        pipeline,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

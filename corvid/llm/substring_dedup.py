@@ -19,6 +19,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def _settle(rows: DataFrame, last: bool) -> DataFrame:
     return hits.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("k1").alias("hits"))
 
 
-def _answer(target: int, full: bool):
+def _answer(target: int, full: bool, rest: bool = False):
     def run(batches):
         for batch in pieces(batches):
             texts = utf8(batch.column("text"))
@@ -111,18 +112,55 @@ def _answer(target: int, full: bool):
                 out.append((len(split), int(gone.sum()), kept))
             n, r, k = zip(*out)
             last = pa.array([x.decode() for x in k]) if full else pa.array([hashlib.sha256(x).hexdigest() for x in k])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), last], ["doc_id", "n_words", "n_removed", "kept"])
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), last]
+            names = ["doc_id", "n_words", "n_removed", "kept"]
+            if rest:  # whole documents go on: an untouched text to the letter, a null one as null
+                untouched = pa.array([not x for x in r], pa.bool_())
+                columns[3] = pc.if_else(untouched, batch.column("text"), last)
+                columns, names = [*columns, batch.column("rest")], [*names, "rest"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, digest: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept (the words that stay, or their SHA-256)."""
-    texts = keyed_text(docs).where("doc_id is not null")
-    dealt = dealt_text(docs)
+_COUNTS = "doc_id long, n_words long, n_removed long, kept string"
+
+
+def _repeats(docs: DataFrame, dealt: DataFrame, min_words: int, seed_words: int) -> DataFrame:
+    """(key, hits): the hashes of each document's windows that a document with a smaller id has too."""
     before, hits = None, None
     for length in level_lengths(seed_words, min_words):
-        source = texts if hits is None else dealt.join(hits, "key")
+        source = keyed_text(docs).where("doc_id is not null") if hits is None else dealt.join(hits, "key")
         rows = source.mapInArrow(_emit(length, before, min_words), "k1 long, k2 int, doc_id long")
         hits, before = _settle(rows, length == min_words), length
-    return dealt.join(hits, "key", "left").mapInArrow(_answer(min_words, not digest), "doc_id long, n_words long, n_removed long, kept string")
+    return hits
+
+
+def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, digest: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept (the words that stay, or their SHA-256)."""
+    dealt = dealt_text(docs)
+    hits = _repeats(docs, dealt, min_words, seed_words)
+    return dealt.join(hits, "key", "left").mapInArrow(_answer(min_words, not digest), _COUNTS)
+
+
+def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
+    """The documents with what stays of their texts, all columns; n_chars, where there is one, follows.
+
+    A text that loses nothing is unchanged to the letter; one that loses words has the rest joined by one blank. A text
+    of which nothing stays is empty. Rows that repeat a doc_id are cut one by one.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    dealt = dealt_text(docs, others)
+    hits = _repeats(docs, dealt, min_words, seed_words)
+    kind = f", rest {dealt.schema['rest'].dataType.simpleString()}" if others else ""
+    cut = dealt.join(hits, "key", "left").mapInArrow(_answer(min_words, True, bool(others)), _COUNTS + kind)
+
+    def column(name: str):
+        if name == "doc_id":
+            return F.col("doc_id")
+        if name == "text":
+            return F.col("kept")
+        was = F.col(f"rest.c{others.index(name)}")
+        return F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(was) if name == "n_chars" else was
+
+    return cut.select([column(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
