@@ -188,17 +188,20 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE):
     return weights, law, curve
 
 
+def rate(model, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+    """Score of each text, and its number of significant passages."""
+    if model is None:
+        return np.zeros(len(texts)), [0] * len(texts)
+    weights, law, (slope, offset) = model
+    found = _evidence(*buckets(texts), weights, law)
+    z = slope * np.log1p(np.array([x[0] for x in found])) + offset
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30))), [len(x[2]) for x in found]
+
+
 def _score(model):
     def run(batches):
         for batch in pieces(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            if model is None:
-                score, passages = np.zeros(len(texts)), [0] * len(texts)
-            else:
-                weights, law, (slope, offset) = model
-                found = _evidence(*buckets(texts), weights, law)
-                score = 1 / (1 + np.exp(-np.clip(slope * np.log1p(np.array([x[0] for x in found])) + offset, -30, 30)))
-                passages = [len(x[2]) for x in found]
+            score, passages = rate(model, [t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(passages, pa.int32())],
                 ["doc_id", "held_out", "score", "predicted", "n_passages"],
@@ -215,15 +218,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFra
     return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int, n_passages int")
 
 
-def _keep(model, columns: list[str]):
+def _keep(model):
     def run(batches):
         for batch in pieces(batches):
-            rated = next(_score(model)(iter([pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.nulls(batch.num_rows, pa.bool_()), batch.column("text")], ["doc_id", "held_out", "text"])])))
-            yield batch.filter(pa.array(rated.column("predicted").to_numpy() == 0)).select(columns)
+            yield batch.filter(pa.array(rate(model, [t or "" for t in batch.column("text").to_pylist()])[0] < 0.5))
 
     return run
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     """The documents that are not predicted toxic, all columns."""
-    return docs.mapInArrow(_keep(fit(docs, labels, bound), docs.columns), docs.schema)
+    return docs.mapInArrow(_keep(fit(docs, labels, bound)), docs.schema)
