@@ -6,7 +6,7 @@ band agrees with a chance of 0.75**4, so a pair shares no band with a chance of
 
 Documents with equal shingle sets are one class from the start. A band's bucket is dropped if another bucket holds
 the same classes. In a bucket all pairs of classes that are not yet linked are compared on their full sets, by a
-matrix product of the set indicators over blocks of at most 256 members; a larger bucket is dealt out as pairs of
+matrix product of the set indicators over blocks of about 512 members; a larger bucket is dealt out as pairs of
 blocks. Only links that join two groups leave the task, never all pairs. Components are found by star contraction.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; fewer than five words
@@ -26,7 +26,7 @@ from corvid.llm.common import as_long, components, grams, keyed_text, mix, piece
 SHINGLE = 5
 PERMUTATIONS = 72
 PER_BAND = 2
-BLOCK = 256
+BLOCK = 512
 _FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
