@@ -174,7 +174,7 @@ def minhash_dedup(docs: DataFrame, percent: int = 75) -> DataFrame:
         "buckets",
     )
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    full = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").withColumnRenamed("doc_id", "rep")
+    full = texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").withColumnRenamed("doc_id", "rep")
     if docs.columns:
         full = full.dropDuplicates(["rep", "shingles"])
     edges = members.join(full, "rep").repartition("grp").sortWithinPartitions("grp").mapInArrow(_compare(percent), "a long, b long")
