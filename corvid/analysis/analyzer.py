@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,7 @@ def resolve_tokenizer(given: str | Callable | None) -> Callable[[Column], Column
     if given is None:
         return None
     if callable(given):
-        import pandas as pd
-
-        @F.pandas_udf("array<string>")
+            @F.pandas_udf("array<string>")
         def tokens(s: pd.Series) -> pd.Series:
             return s.map(lambda t: None if t is None else list(given(t)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,8 +40,6 @@ def collapse_spaces(c: Column) -> Column:
 
 def diacritics(c: Column) -> Column:
     """Letters without their marks: compatibility decomposition with combining marks dropped (needs Python)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def strip(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True)
