@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one round of vectorised work takes at most (a longer single text goes alone).
@@ -128,19 +128,19 @@ def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _lowest(edges: DataFrame, least: Column) -> DataFrame:
+    """(a, m). The key is a new expression, so that it is dealt once more: Spark can then split the join of a hot node."""
+    return edges.groupBy("a").agg(least.alias("m")).select(F.expr("a ^ 0L").alias("a"), "m")
+
+
 def star_round(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (a, b), a > b."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    low = _lowest(both, F.least(F.min("b"), F.min("a")))
     large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    low = large.groupBy("a").agg(F.min("b").alias("m"))
-    joined = large.join(low, "a")
-    return (
-        joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        .select("e.a", "e.b")
-        .where("a <> b")
-        .distinct()
-    )
+    joined = large.join(_lowest(large, F.min("b")), "a")
+    ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+    return joined.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 
 def _forest(batches):
