@@ -59,7 +59,7 @@ class Analyzer:
             for on, step in steps:
                 c = step(c) if on else c
             if self.tokenizer == "whitespace":
-                c = split(n.punctuation(c) if self.do_punctuation_removal else c)
+                c = n.whitespace_and_punctuation(c) if self.do_punctuation_removal else split(c)
             else:
                 c = split(c)
                 if self.do_punctuation_removal:

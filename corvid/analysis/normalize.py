@@ -23,7 +23,10 @@ def ampersand(c: Column) -> Column:
 
 
 def special_chars(c: Column) -> Column:
-    return F.translate(c, TYPOGRAPHIC, PLAIN)
+    for mark, plain in zip(TYPOGRAPHIC, PLAIN):
+        if mark != plain:
+            c = F.replace(c, F.lit(mark), F.lit(plain))  # searches bytes; translate looks up every character
+    return c
 
 
 def acronyms(c: Column) -> Column:
@@ -48,7 +51,12 @@ def diacritics(c: Column) -> Column:
 
 
 def whitespace(c: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(c, r"(?U)\s+", " "), " "), lambda t: t != "")
+    return F.array_remove(F.split(c, r"(?U)\s+"), "")
+
+
+def whitespace_and_punctuation(c: Column) -> Column:
+    """What `whitespace` gives after `punctuation`, in one pass."""
+    return F.array_remove(F.split(c, r"(?U)[\s!-/:-@\[-`{-~]+"), "")
 
 
 def wordpunct(c: Column) -> Column:

@@ -20,42 +20,75 @@ class Index:
     totals: DataFrame
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Few input splits (a small file is one, however many cores wait) are dealt to all cores; many are left as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < 2 * cores else docs
+
+
 def term_counts(docs: DataFrame, analyzer: Analyzer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, doc_id, tf). Partial counts are made before the exchange."""
-    terms = analyzer.terms(docs, id_col, text_col).withColumnRenamed(id_col, "doc_id")
-    return terms.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
+    terms = analyzer.terms(spread(docs.select(id_col, text_col)), id_col, text_col).withColumnRenamed(id_col, "doc_id")
+    # the null filters that some of the uses would add stand in all of them, so that all share one exchange
+    return terms.where("term is not null and doc_id is not null").groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
 
 
-def build_index(docs: DataFrame, analyzer: Analyzer = Analyzer(), min_df: int | float = 1, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Index of a collection. A term stays if at least min_df documents have it (a float is a share of all).
+def document_frequency(postings: DataFrame) -> DataFrame:
+    # written on tf, which every use of the postings reads, for the same reason
+    return postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+
+
+def derive(postings: DataFrame, term_stats: DataFrame, ids: DataFrame) -> Index:
+    """Lengths count the terms that stay; the average is over all documents, those without terms included."""
+    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
+    full = ids.join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).cast("long").alias("doc_len"))
+    totals = full.agg(F.count("*").alias("n_docs"), (F.sum("doc_len") / F.count("*")).alias("avg_len"))
+    doc_stats = full.join(F.broadcast(totals)).select("doc_id", "doc_len", (F.col("doc_len") / F.nullif("avg_len", F.lit(0.0))).alias("rel_len"))
+    return Index(postings, term_stats, doc_stats, totals)
+
+
+def kept_terms(stats: DataFrame, ids: DataFrame, min_df: int | float) -> DataFrame:
+    if isinstance(min_df, float):
+        size = ids.agg(F.count("*").alias("n_docs"))
+        return stats.join(F.broadcast(size)).where(F.col("df") >= min_df * F.col("n_docs")).select("term", "df")
+    return stats.where(F.col("df") >= min_df) if min_df > 1 else stats
 
-    Lengths count the terms that stay; the average is over all documents, those without terms included.
-    """
+
+def build_index(docs: DataFrame, analyzer: Analyzer = Analyzer(), min_df: int | float = 1, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Index of a collection, as a plan. A term stays if at least min_df documents have it (a float is a share of all)."""
     if min_df <= 0:
         raise ValueError("min_df must be positive")
     ids = docs.select(F.col(id_col).alias("doc_id"))
     counts = term_counts(docs, analyzer, id_col, text_col)
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"))
-    size = ids.agg(F.count("*").alias("n_docs"))
-    if isinstance(min_df, float):
-        stats = stats.join(F.broadcast(size)).where(F.col("df") >= min_df * F.col("n_docs")).select("term", "df")
-    elif min_df > 1:
-        stats = stats.where(F.col("df") >= min_df)
+    stats = kept_terms(document_frequency(counts), ids, min_df)
     # with min_df 1 every term stays, and no join back is needed
     postings = counts if min_df == 1 and isinstance(min_df, int) else counts.join(stats, "term", "left_semi")
-    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
-    full = ids.join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).cast("long").alias("doc_len"))
-    totals = full.agg(F.count("*").alias("n_docs"), (F.sum("doc_len") / F.count("*")).alias("avg_len"))
-    doc_stats = full.join(F.broadcast(totals)).select("doc_id", "doc_len", (F.col("doc_len") / F.nullif("avg_len", F.lit(0.0))).alias("rel_len"))
-    return Index(postings, stats, doc_stats, totals)
+    return derive(postings, stats, ids)
 
 
-def persist_index(index: Index, path: str, partitions: int | None = None) -> None:
-    """Write the tables; postings lie by term, so that a query reads few row groups of few files."""
-    spread = index.postings.repartition(partitions, "term") if partitions else index.postings.repartition("term")
-    spread.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    for name in ("term_stats", "doc_stats", "totals"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+def persist_index(docs: DataFrame, path: str, analyzer: Analyzer = Analyzer(), min_df: int | float = 1, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Build and write an index. Texts are analysed once: the statistics are derived from the written postings, which lie
+    by term, so that a query reads few row groups of few files."""
+    if min_df <= 0:
+        raise ValueError("min_df must be positive")
+    spark = docs.sparkSession
+    ids = docs.select(F.col(id_col).alias("doc_id"))
+    counts = term_counts(docs, analyzer, id_col, text_col)
+    pruned = min_df != 1 or isinstance(min_df, float)
+    first = f"{path}/counts" if pruned else f"{path}/postings"
+    counts.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(first)
+    written = spark.read.parquet(first)
+    stats = kept_terms(document_frequency(written), ids, min_df)
+    stats.write.mode("overwrite").parquet(f"{path}/term_stats")
+    stats = spark.read.parquet(f"{path}/term_stats")
+    if pruned:
+        written.join(stats, "term", "left_semi").repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        written = spark.read.parquet(f"{path}/postings")
+    index = derive(written, stats, ids)
+    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+    lengths = spark.read.parquet(f"{path}/doc_stats")
+    lengths.agg(F.count("*").alias("n_docs"), (F.sum("doc_len") / F.count("*")).alias("avg_len")).write.mode("overwrite").parquet(f"{path}/totals")
+    return load_index(spark, path)
 
 
 def load_index(spark, path: str) -> Index:

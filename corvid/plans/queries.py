@@ -139,7 +139,7 @@ def _scored(weight: str, b: float = 0.75, k1: float = 1.2, docs: str = "", queri
     return f"""WITH {_INDEX}, {queries}, qt AS (SELECT id AS q_id, term, count(*) AS qtf FROM q GROUP BY ALL),
 par AS (SELECT {b}::DOUBLE AS b, {k1}::DOUBLE AS k1),
 w AS (SELECT q_id, doc_id, qtf * ({weight}) AS s FROM postings JOIN qt USING (term) JOIN term_stats USING (term) JOIN doc_stats USING (doc_id), totals, par {docs}),
-scores AS (SELECT q_id, doc_id, round(CAST(sum(CAST(s AS DECIMAL(20,10))) AS DOUBLE), 6) AS score, count(*) AS n_terms FROM w GROUP BY ALL){extra}"""
+scores AS (SELECT q_id, doc_id, floor(sum(CAST(floor((s) * 1e10 + 0.5) AS BIGINT))::DOUBLE / 1e4 + 0.5) / 1e6 AS score, count(*) AS n_terms FROM w GROUP BY ALL){extra}"""
 
 
 def _ranked(scores: str = "scores", k: int = 100, columns: str = "q_id, doc_id, score", by: str = "q_id") -> str:
@@ -364,7 +364,7 @@ for _norm in _NORMS:
 
 def _fused(norm: str, a: float, b: float) -> str:
     part = lambda table, w: f"SELECT q_id, doc_id, {_NORMS[norm]} * {w}::DOUBLE AS s FROM {table} WINDOW w AS (PARTITION BY q_id)"
-    return _RUNS + f", u AS ({part('sparse', a)} UNION ALL {part('dense_run', b)}), fused AS (SELECT q_id, doc_id, round(CAST(sum(CAST(s AS DECIMAL(20,10))) AS DOUBLE), 6) AS score FROM u GROUP BY ALL)"
+    return _RUNS + f", u AS ({part('sparse', a)} UNION ALL {part('dense_run', b)}), fused AS (SELECT q_id, doc_id, floor(sum(CAST(floor((s) * 1e10 + 0.5) AS BIGINT))::DOUBLE / 1e4 + 0.5) / 1e6 AS score FROM u GROUP BY ALL)"
 
 
 @_register(_fused("min-max", 1.0, 1.0) + " " + _ranked("fused"))
@@ -381,10 +381,10 @@ def fuse_weighted(spark, d):
 
 _QRELS = "qrels AS (SELECT q.vec_id AS q_id, e.vec_id AS doc_id, 1 + e.vec_id % 2 AS rel FROM embeddings e JOIN embeddings q ON e.label = q.label AND e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)"
 _EVAL = f"""WITH {_DENSE}, run AS ({_ranked('dense', 100)}), {_QRELS},
-want AS (SELECT q_id, count(*) AS n_rel, round(CAST(sum(CAST(CASE WHEN place <= K THEN rel / log2(place + 1) ELSE 0 END AS DECIMAL(20,10))) AS DOUBLE), 6) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rel DESC, doc_id) AS place FROM qrels) GROUP BY ALL),
+want AS (SELECT q_id, count(*) AS n_rel, floor(sum(CAST(floor((CASE WHEN place <= K THEN rel / log2(place + 1) ELSE 0 END) * 1e10 + 0.5) AS BIGINT))::DOUBLE / 1e4 + 0.5) / 1e6 AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rel DESC, doc_id) AS place FROM qrels) GROUP BY ALL),
 j AS (SELECT run.*, rel, n_rel, ideal, sum((rel IS NOT NULL)::INT) OVER (PARTITION BY q_id ORDER BY rank) AS so_far FROM run JOIN want USING (q_id) LEFT JOIN qrels USING (q_id, doc_id) WHERE rank <= K),
 a AS (SELECT q_id, n_rel, ideal, count(*) AS returned, count(rel) AS hits, count(CASE WHEN rel IS NOT NULL AND rank <= n_rel THEN 1 END) AS early, min(CASE WHEN rel IS NOT NULL THEN rank END) AS first,
-  round(CAST(sum(CAST(CASE WHEN rel IS NOT NULL THEN so_far / rank ELSE 0 END AS DECIMAL(20,10))) AS DOUBLE), 6) AS ap, round(CAST(sum(CAST(CASE WHEN rel IS NOT NULL THEN rel / log2(rank + 1) ELSE 0 END AS DECIMAL(20,10))) AS DOUBLE), 6) AS dcg FROM j GROUP BY ALL),
+  floor(sum(CAST(floor((CASE WHEN rel IS NOT NULL THEN so_far / rank ELSE 0 END) * 1e10 + 0.5) AS BIGINT))::DOUBLE / 1e4 + 0.5) / 1e6 AS ap, floor(sum(CAST(floor((CASE WHEN rel IS NOT NULL THEN rel / log2(rank + 1) ELSE 0 END) * 1e10 + 0.5) AS BIGINT))::DOUBLE / 1e4 + 0.5) / 1e6 AS dcg FROM j GROUP BY ALL),
 v AS (SELECT q_id, coalesce(VALUE, 0)::DOUBLE AS value FROM want LEFT JOIN (SELECT * EXCLUDE (n_rel, ideal), n_rel AS n, ideal AS i FROM a) USING (q_id))
 SELECT round(CAST(avg(CAST(value AS DECIMAL(20,10))) AS DOUBLE), 6) AS value FROM v"""
 _VALUES = {

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvid.analysis.analyzer import Analyzer
 from corvid.operators import dense, evaluation, filters, fusion, scoring
-from corvid.operators.index import Index, build_index, load_index, persist_index
+from corvid.operators.index import Index, load_index, persist_index
 from corvid.sources.collections import IndexFolder, apply_callback, from_rows, get_doc, get_docs, read_collection, write_results
 
 _BASE = {"path": "corvid-data"}
@@ -102,8 +102,7 @@ class SparseRetriever(_Retriever):
 
     def index(self, collection: Iterable[dict] | DataFrame, callback: Callable | None = None, callback_schema: str | None = None):
         docs = self._store(apply_callback(from_rows(self.spark, collection), callback, callback_schema))
-        persist_index(build_index(docs, self.analyzer, self.config.min_df, self.id_col, self.text_col), self.folder.path)
-        self.tables = load_index(self.spark, self.folder.path)
+        self.tables = persist_index(docs, self.folder.path, self.analyzer, self.config.min_df, self.id_col, self.text_col)
         self.save()
         return self
 
