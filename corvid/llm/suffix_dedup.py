@@ -4,7 +4,8 @@
    equal anchors at equal places. Anchors that occur once in the corpus are dropped; only those few percent of
    positions are exchanged, never all bytes.
 2. Contexts. Around each repeated anchor a text gives 168 bytes to the left and 200 from the anchor on. Equal
-   contexts are merged, with their number.
+   contexts are merged, with their number. An anchor that very many texts have in different surroundings is split
+   into groups by ranges of shifts, so that no group holds them all.
 3. Suffix array. The right sides of the contexts of many anchors, packed into symbols, are one string; `suffix_array`
    sorts its suffixes, which puts contexts of an anchor into byte order. Neighbours' common prefixes then tell,
    for each shift o, which contexts share the 200-o bytes from the anchor on; with equal o bytes to the left
@@ -31,6 +32,12 @@ from corvid.llm.common import as_long, keyed_text, mix, pieces, sliding_min, utf
 LENGTH = 200
 GRAM = 32
 SYMBOL = 40
+#: Anchors with more occurrences have their contexts dealt by ranges of shifts instead of all to one group.
+HOT = 4000
+#: Occurrences in one text that count for that at most; over 1 is repeated in any case.
+OFTEN = 16
+#: Narrow at both ends: where a passage begins or ends, contexts then differ in a few bytes only, and most are equal.
+SHIFTS = ((0, 3), (4, 11), (12, 35), (36, 132), (133, 156), (157, 164), (165, LENGTH - GRAM))
 #: Bytes hashed at once; the arrays for them stay in a core's cache.
 SEGMENT = 1 << 16
 
@@ -174,22 +181,51 @@ def _first(batches):
             _, h = anchors(np.frombuffer(t, np.uint8))
             h, n = np.unique(h, return_counts=True)
             keys.append(h)
-            many.append(np.minimum(n, 2))
+            many.append(np.minimum(n, OFTEN))
             rows.append(np.full(len(h), k))
         if keys:
             ids = batch.column("row").take(pa.array(np.concatenate(rows)))
             yield pa.RecordBatch.from_arrays([as_long(np.concatenate(keys)), pa.array(np.concatenate(many).astype(np.int32)), ids], ["h", "n", "row"])
 
 
-def _contexts(t: bytes, hits: np.ndarray):
-    """(anchor, context id, left length, context, position) for the text's anchors that are in hits."""
+def _contexts(t: bytes, hits: np.ndarray, hot: set[int]):
+    """(group, context id, left length, context, position) for the text's anchors that are in hits.
+
+    A group is an anchor. The contexts of an anchor in `hot` go, once for each range (a, b) of shifts, to smaller
+    groups: strings that start o before the anchor, a <= o <= b, share a bytes to the left and LENGTH - b from the
+    anchor on, so these bytes make the group, and no more than the strings of these shifts makes the context.
+    """
     at, h = anchors(np.frombuffer(t, np.uint8))
     live = np.isin(h, hits)
     back = LENGTH - GRAM
+    split: dict[tuple[int, bytes, int], list] = {}  # in periodic text the same surroundings come again and again
     for p, key in zip(at[live].tolist(), h[live].view(np.int64).tolist()):
-        a = max(0, p - back)
-        c = t[a : p + LENGTH]
-        yield key, xxhash.xxh3_64_intdigest(c, p - a) - 2**63, p - a, c, p
+        left = min(p, back)
+        c = t[p - left : p + LENGTH]
+        if key not in hot:
+            yield key, xxhash.xxh3_64_intdigest(c, left) - 2**63, left, c, p
+            continue
+        parts = split.get((key, c, left))
+        if parts is None:
+            parts = split[key, c, left] = list(_split(key, c, left))
+        for part in parts:
+            yield *part, p
+
+
+def _split(key: int, c: bytes, left: int):
+    """(group, context id, left length, context) for the ranges of shifts that a hot anchor's context has strings of."""
+    for a, b in SHIFTS:
+        if left < a or len(c) - left < LENGTH - b:
+            continue
+        group = xxhash.xxh3_64_intdigest(c[left - a : left + LENGTH - b], (key + a) & (2**64 - 1)) - 2**63
+        near = min(left, b)
+        body = c[left - near : left + LENGTH - a]
+        yield group, xxhash.xxh3_64_intdigest(body, near) - 2**63, near, body
+
+
+def _hit_lists(batch):
+    for hits, hot in zip(batch.column("hits"), batch.column("hot")):
+        yield (hits.values.to_numpy().view(np.uint64), set(hot.values.to_pylist())) if hits.is_valid else (None, None)
 
 
 def _emit_bodies(batches):
@@ -197,8 +233,8 @@ def _emit_bodies(batches):
     told: dict[tuple[int, int], int] = {}
     for batch in pieces(batches):
         rows = []
-        for t, hits in zip(utf8(batch.column("text")), batch.column("hits")):
-            for key, c, left, body, _ in _contexts(t, hits.values.to_numpy().view(np.uint64)):
+        for t, lists in zip(utf8(batch.column("text")), _hit_lists(batch)):
+            for key, c, left, body, _ in _contexts(t, *lists):
                 times = told.get((key, c), 0)
                 if times < 2:
                     told[key, c] = times + 1
@@ -213,8 +249,8 @@ def _emit_bodies(batches):
 def _emit_owners(batches):
     for batch in pieces(batches):
         rows = []
-        for t, hits, row in zip(utf8(batch.column("text")), batch.column("hits"), batch.column("row").to_pylist()):
-            rows += [(key, c, row) for key, c in {x[:2] for x in _contexts(t, hits.values.to_numpy().view(np.uint64))}]
+        for t, lists, row in zip(utf8(batch.column("text")), _hit_lists(batch), batch.column("row").to_pylist()):
+            rows += [(key, c, row) for key, c in {x[:2] for x in _contexts(t, *lists)}]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows)], ["h", "c", "row"])
 
@@ -241,6 +277,7 @@ def repeated_shifts(h: np.ndarray, count: np.ndarray, left: np.ndarray, body: li
     flat.append(0)
     sa = np.asarray(suffix_array(flat))
     starts = sa[(sa % (wide + 1) == 0) & (sa < n * (wide + 1))] // (wide + 1)
+    starts = starts[np.argsort(h[starts], kind="stable")]  # groups of one hot anchor begin alike; each in its own stretch
     rights, lefts, right_len, left_len = rights[starts], lefts[starts], right_len[starts], left[starts]
     weight, anchor = count[starts], h[starts]
     same = rights[1:] == rights[:-1]
@@ -315,13 +352,12 @@ def _answer(full: bool):
     def run(batches):
         for batch in pieces(batches):
             out = []
-            for t, found in zip(utf8(batch.column("text")), batch.column("found").to_pylist()):
+            for t, found, lists in zip(utf8(batch.column("text")), batch.column("found").to_pylist(), _hit_lists(batch)):
                 gone = np.zeros(len(t), bool)
                 if found:
                     known = {(x["h"], x["c"]): np.flatnonzero(np.unpackbits(np.frombuffer(x["bits"], np.uint8))) for x in found}
-                    keys = np.unique(np.array([k for k, _ in known], np.int64)).view(np.uint64)
                     edge = np.zeros(len(t) + 1, np.int64)
-                    for key, c, _, _, p in _contexts(t, keys):
+                    for key, c, _, _, p in _contexts(t, *lists):
                         shifts = known.get((key, c))
                         if shifts is not None:
                             edge[p - shifts] += 1
@@ -337,19 +373,19 @@ def _answer(full: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, digest: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes, or their SHA-256)."""
     texts = keyed_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     dealt = texts.repartition("row")
     first = texts.mapInArrow(_first, "h long, n int, row long")
     repeated = first.select("h", "row", F.sum("n").over(Window.partitionBy("h")).alias("n")).where("n > 1")
-    hits = repeated.groupBy("row").agg(F.collect_set("h").alias("hits"))
+    hits = repeated.groupBy("row").agg(F.collect_set("h").alias("hits"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
     holders = dealt.join(hits, "row")
     verdict = (
         holders.mapInArrow(_emit_bodies, "h long, c long, left int, bytes binary")
         .repartition("h").sortWithinPartitions("h", "c").mapInArrow(_judge, "h long, c long, bits binary")
     )
     owners = holders.mapInArrow(_emit_owners, "h long, c long, row long")
-    found = owners.join(verdict, ["h", "c"]).groupBy("row").agg(F.collect_list(F.struct("h", "c", "bits")).alias("found"))
+    found = owners.join(verdict, ["h", "c"]).groupBy("row").agg(F.collect_list(F.struct("h", "c", "bits")).alias("found")).join(hits, "row")
     kind = "string" if digest else "binary"
     return dealt.join(found, "row", "left").mapInArrow(_answer(not digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")

@@ -69,7 +69,16 @@ def test_suffix_array():
 def test_bytes_against_brute_force(spark):
     for seed in (5, 6):
         rows = tricky(seed)
-        assert Counter(map(tuple, suffix_dedup(frame(spark, rows), digest=True).collect())) == brute_bytes(rows)
+        for hot in (4000, 3, 1):  # with and without anchors that count as hot
+            assert Counter(map(tuple, suffix_dedup(frame(spark, rows), digest=True, hot=hot).collect())) == brute_bytes(rows)
+
+
+def test_passage_in_many_surroundings(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    passage = word(330)
+    rows = [(k, word(rng.randint(0, 120)) + passage + word(rng.randint(0, 120)), None, None, None, 1, "") for k in range(60)]
+    assert Counter(map(tuple, suffix_dedup(frame(spark, rows), digest=True, hot=20).collect())) == brute_bytes(rows)
 
 
 def test_kept_bytes(spark):
