@@ -286,14 +286,15 @@ def repeated_shifts(h: np.ndarray, count: np.ndarray, left: np.ndarray, body: li
     common[anchor[1:] != anchor[:-1]] = 0
     bits = np.zeros((n, back + 1), bool)
     left_hash = np.zeros(n, np.uint64)
-    # rows without any partner far enough to the right need no look at all
+    # a row whose neighbours share too few bytes is alone in its run: it needs no look unless it stands for several
+    near = np.maximum(np.append(common, 0), np.insert(common, 0, 0))
     for o in range(back + 1):
         if o:
             left_hash = mix(left_hash + lefts[:, o - 1].astype(np.uint64) + np.uint64(o << 8))
         need = LENGTH - o
         run = np.zeros(n, np.int64)
         np.cumsum(common < need, out=run[1:])
-        at = np.flatnonzero((left_len >= o) & (right_len >= need))
+        at = np.flatnonzero((left_len >= o) & (right_len >= need) & ((near >= need) | (weight > 1)))
         if not len(at):
             continue
         key = left_hash[at] ^ mix(run[at].astype(np.uint64) + np.uint64(1))
