@@ -5,8 +5,10 @@ the Hilbert curve through them is its key. Documents are range-sorted by key (do
 break ties, so a third of all rows with one key still spread over tasks) and laid end to end; each task cuts its
 stretch of the curve into full sequences. Its rest is cut at powers of two, so that nothing is padded.
 
-Token ids fit 16 bits here (a vocabulary over 65,536 takes 32). They are made once, by tiktoken on the ranks of the
-same vocabulary, several times faster than the other library with equal ids (see the tests), and stashed.
+Token ids fit 16 bits here. They are made once, by the library of the vocabulary, and stashed. No pre-token of a
+byte-level vocabulary begins before a single space and ends after it, so a text's ids are those of its stretches
+between such spaces: each distinct stretch is encoded once per process and remembered, up to bounds on their
+number and ids. New ones are encoded joined, and told apart again by the byte lengths of the ids.
 
 Defined cases: a null or empty text is the closing id alone; rows that repeat a doc_id, or have none, are packed
 one by one; other columns are not read; long documents run over as many sequences as they need.
@@ -14,7 +16,7 @@ one by one; other columns are not read; long documents run over as many sequence
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 
 import numpy as np
@@ -29,24 +31,104 @@ SEQUENCE = 2048
 CLOSING_ID = 1
 DIMENSIONS = 4
 BITS = 10
-#: The vocabulary's special string and its id.
-SPECIAL = {"<|endoftext|>": 50256}
+VOCABULARY = "byte_bpe_50k.json"
+#: Remembered stretches and ids in a process (some 250 MB at most); beyond either, the memory starts anew.
+MEMORY = 1_000_000
+MEMORY_IDS = 8_000_000
+#: Characters of joined stretches that one call encodes.
+JOINED = 1 << 18
+#: Where a text may be cut: before one space between two characters that are no white space.
+CUT = re.compile(r"(?<=\S)(?= \S)")
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[str, Encoder] = {}
 
 
-def encoder(path: str):
-    """Encoder of a file of ranks (`.tiktoken`), once per process."""
+def encoder(path: str) -> Encoder:
+    """The encoder of this file, once per process."""
     if path not in _LOADED:
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        _LOADED[path] = Encoder(path)
     return _LOADED[path]
 
 
+class Encoder:
+    """ids(texts): what the library gives for each whole text, from remembered stretches.
+
+    A stretch's key is the word after its space, or a tuple of the whole stretch if it must be encoded alone.
+    """
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        special = {i for i, t in self.tok.get_added_tokens_decoder().items()}
+        names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
+        if len(names) > 1 << 16:
+            raise ValueError("vocabularies of over 65,536 ids are not supported")
+        # in a byte-level vocabulary each character of a token stands for one byte
+        self.bytes_of = np.array([len(t.encode()) if i in special else len(t) for i, t in enumerate(names)], np.int64)
+        self._forget()
+
+    def _forget(self):
+        self.code: dict[str | tuple[str], int] = {}
+        self.flat = np.empty(0, np.uint16)
+        self.at = np.zeros(1, np.int64)
+
+    def _learn(self, keys: list) -> None:
+        alone = [k for k in keys if type(k) is tuple]
+        words = [k for k in keys if type(k) is str]
+        joined, sizes, part, size = [], [], [], 0
+        for w in words:
+            part.append(w)
+            size += len(w) + 1
+            sizes.append(len(w.encode()) + 1)
+            if size > JOINED:
+                joined.append(" " + " ".join(part))
+                part, size = [], 0
+        if part:
+            joined.append(" " + " ".join(part))
+        got = [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast(joined + [k[0] for k in alone], add_special_tokens=False)]
+        run = np.concatenate([np.empty(0, np.uint16), *got[: len(joined)]])
+        # a stretch ends with the id that ends at its last byte
+        ends = np.searchsorted(np.cumsum(self.bytes_of[run]), np.cumsum(np.array(sizes, np.int64)), side="left") + 1
+        ends = np.concatenate([ends, len(run) + np.cumsum(np.array([len(x) for x in got[len(joined) :]], np.int64))])
+        self.code.update(zip(words + alone, range(len(self.at) - 1, len(self.at) - 1 + len(ends))))
+        self.at = np.concatenate([self.at, len(self.flat) + ends])
+        self.flat = np.concatenate([self.flat, run, *got[len(joined) :]])
+
+    @staticmethod
+    def _odd(word: str) -> bool:
+        return not word or word[0].isspace() or word[-1].isspace()
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.code) > MEMORY or len(self.flat) > MEMORY_IDS:
+            self._forget()
+        keys = []
+        for t in texts:
+            first, *words = t.split(" ")
+            keys.append([(first,), *words])
+        new = set().union(*keys).difference(self.code)
+        odd = {k for k in new if type(k) is str and self._odd(k)}
+        self._learn(list(new - odd))
+        self.code.update(dict.fromkeys(odd, -1))
+        codes = [np.fromiter(map(self.code.__getitem__, k), np.int64, len(k)) for k in keys]
+        # white space beside a blank: such a text is cut with more care
+        rest = [i for i, (t, k, c) in enumerate(zip(texts, keys, codes)) if len(k) > 1 and (not k[0][0] or k[0][0][-1].isspace() or c.min() < 0)]
+        careful = [CUT.split(texts[i]) for i in rest]
+        careful = [[(c[0],), *(w[1:] for w in c[1:-1]), *((w,) for w in c[1:][-1:])] for c in careful]
+        self._learn(list(set().union(*careful).difference(self.code)))
+        for i, k in zip(rest, careful):
+            codes[i] = np.fromiter(map(self.code.__getitem__, k), np.int64, len(k))
+        out = []
+        for code in codes:
+            start = self.at[code]
+            n = self.at[code + 1] - start
+            out.append(self.flat[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        return out
+
+
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Index along the Hilbert curve of integer points (rows), each coordinate under 2**bits.
 
@@ -90,7 +172,7 @@ def _encode(path: str):
         enc = encoder(path)
         signs = _signs(1 << 16)
         for batch in pieces(batches):
-            ids = [np.append(enc.encode_to_numpy(t, allowed_special="all") if t else np.empty(0, np.uint32), CLOSING_ID).astype(np.uint16) for t in batch.column("text").to_pylist()]
+            ids = [np.append(x, np.uint16(CLOSING_ID)) for x in enc.ids([t or "" for t in batch.column("text").to_pylist()])]
             n = np.array([len(x) for x in ids])
             sums = np.add.reduceat(signs[np.concatenate(ids)], np.concatenate(([0], np.cumsum(n)[:-1])), axis=0)
             mean = sums / n[:, None]
@@ -160,7 +242,7 @@ def _pack(length: int):
 
 
 def pack(docs: DataFrame, path: str, length: int = SEQUENCE) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """`path`: the vocabulary, on every executor. One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     coded = stash(keyed_text(docs).mapInArrow(_encode(path), "doc_id long, curve long, tie long, ids binary"), "ids")
     along = coded.repartitionByRange("curve", "doc_id", "tie").sortWithinPartitions("curve", "doc_id", "tie")
     return along.mapInArrow(_pack(length), _PIECE)

@@ -34,9 +34,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from corvid.llm.packing import pack
+    from corvid.llm.packing import VOCABULARY, pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

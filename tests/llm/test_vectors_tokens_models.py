@@ -73,7 +73,7 @@ def test_packing_round_trip(spark):
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = [r for r in tricky() if r[0] is not None and r[:2] != (5, tricky()[4][1])] + [(90, "a<|endoftext|>b " * 2000, None, None, None, 1, "")]
     ids = {d: [*slow.encode(t or "", add_special_tokens=False).ids, 1] for d, t, *_ in rows}
-    out = packing.pack(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.tiktoken"), 256).collect()
+    out = packing.pack(frame(spark, rows), public_tokenizers.path(packing.VOCABULARY), 256).collect()
     place = defaultdict(list)
     seen = defaultdict(list)
     for r in out:
@@ -89,7 +89,18 @@ def test_packing_round_trip(spark):
             at += n
     assert all((n := sum(x[1] for x in s)) == 256 or n & (n - 1) == 0 for s in place.values())
     assert all(sum(x[1] for x in seen[d]) == len(i) for d, i in ids.items())
-    assert packing.pack(frame(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+    assert packing.pack(frame(spark, []), public_tokenizers.path(packing.VOCABULARY)).count() == 0
+
+
+def test_remembered_stretches_equal_whole_encoding():
+    path = public_tokenizers.path(packing.VOCABULARY)
+    enc = packing.Encoder(path)
+    whole = enc.tok
+    rng = random.Random(5)
+    parts = [" ", " ", " ", "  ", "\n", " \n", "\t ", "\x1c", "\u00a0", "\u3000 ", "a", "bc", "it's", "'s", "12", "é", "日本", "\U0001f600", "e\u0301", "<|endoftext|>", "<|end", "!?", "\x00", "…"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(50)]
+        assert [x.tolist() for x in enc.ids(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_hilbert_curve_steps_to_neighbours():
