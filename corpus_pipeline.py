@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corvid.llm.common import stash, table
 from corvid.llm.decontaminate import drop_contaminated
 from corvid.llm.minhash_dedup import keep_one
-from corvid.llm.packing import pack
+from corvid.llm.packing import VOCABULARY, pack
 from corvid.llm.substring_dedup import cut_repeats
 from corvid.llm.toxicity import drop_toxic
 
@@ -35,7 +35,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces, packed."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(docs, public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [
