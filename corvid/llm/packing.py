@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,19 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
+class _Codes(dict):
+    """Numbers for keys in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key):
+        self.new.append(key)
+        self[key] = code = len(self)
+        return code
+
+
 class Encoder:
     """ids(texts): what the library gives for each whole text, from remembered stretches.
 
@@ -72,61 +86,67 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.code: dict[str | tuple[str], int] = {}
+        self.code = _Codes()
         self.flat = np.empty(0, np.uint16)
-        self.at = np.zeros(1, np.int64)
-
-    def _learn(self, keys: list) -> None:
-        alone = [k for k in keys if type(k) is tuple]
-        words = [k for k in keys if type(k) is str]
-        joined, sizes, part, size = [], [], [], 0
-        for w in words:
-            part.append(w)
-            size += len(w) + 1
-            sizes.append(len(w.encode()) + 1)
-            if size > JOINED:
-                joined.append(" " + " ".join(part))
-                part, size = [], 0
-        if part:
+        # by code: where a stretch's ids begin and how many they are; a word that may not be joined has none
+        self.start, self.size, self.odd = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+
+    def _learn(self) -> None:
+        """The ids of all keys that were asked for and are not known."""
+        new, self.code.new = self.code.new, []
+        words = [i for i, k in enumerate(new) if type(k) is str and k and not k[0].isspace() and not k[-1].isspace()]
+        alone = [i for i, k in enumerate(new) if type(k) is tuple]
+        joined, sizes, at = [], [], 0
+        while at < len(words):
+            part, total = [], 0
+            while at < len(words) and total <= JOINED:
+                part.append(new[words[at]])
+                total += len(part[-1]) + 1
+                at += 1
             joined.append(" " + " ".join(part))
-        got = [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast(joined + [k[0] for k in alone], add_special_tokens=False)]
+            sizes += map(len, part) if joined[-1].isascii() else (len(w.encode()) for w in part)
+        got = [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast(joined + [new[i][0] for i in alone], add_special_tokens=False)]
         run = np.concatenate([np.empty(0, np.uint16), *got[: len(joined)]])
         # a stretch ends with the id that ends at its last byte
-        ends = np.searchsorted(np.cumsum(self.bytes_of[run]), np.cumsum(np.array(sizes, np.int64)), side="left") + 1
+        ends = np.searchsorted(np.cumsum(self.bytes_of[run]), np.cumsum(np.array(sizes, np.int64) + 1)) + 1
         ends = np.concatenate([ends, len(run) + np.cumsum(np.array([len(x) for x in got[len(joined) :]], np.int64))])
-        self.code.update(zip(words + alone, range(len(self.at) - 1, len(self.at) - 1 + len(ends))))
-        self.at = np.concatenate([self.at, len(self.flat) + ends])
+        start, size, odd = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), np.ones(len(new), bool)
+        place = np.array(words + alone, np.int64)
+        size[place] = np.diff(ends, prepend=0)
+        start[place] = len(self.flat) + ends - size[place]
+        odd[place] = False
+        self.start, self.size, self.odd = np.append(self.start, start), np.append(self.size, size), np.append(self.odd, odd)
         self.flat = np.concatenate([self.flat, run, *got[len(joined) :]])
 
-    @staticmethod
-    def _odd(word: str) -> bool:
-        return not word or word[0].isspace() or word[-1].isspace()
+    def _codes(self, keys: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of all keys in a row, and where each text's keys end."""
+        ends = np.cumsum([len(k) for k in keys], dtype=np.int64)
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(keys)), np.int64, int(ends[-1]) if len(ends) else 0)
+        self._learn()
+        return codes, ends
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
         if len(self.code) > MEMORY or len(self.flat) > MEMORY_IDS:
             self._forget()
         keys = []
         for t in texts:
             first, *words = t.split(" ")
             keys.append([(first,), *words])
-        new = set().union(*keys).difference(self.code)
-        odd = {k for k in new if type(k) is str and self._odd(k)}
-        self._learn(list(new - odd))
-        self.code.update(dict.fromkeys(odd, -1))
-        codes = [np.fromiter(map(self.code.__getitem__, k), np.int64, len(k)) for k in keys]
+        codes, ends = self._codes(keys)
         # white space beside a blank: such a text is cut with more care
-        rest = [i for i, (t, k, c) in enumerate(zip(texts, keys, codes)) if len(k) > 1 and (not k[0][0] or k[0][0][-1].isspace() or c.min() < 0)]
-        careful = [CUT.split(texts[i]) for i in rest]
-        careful = [[(c[0],), *(w[1:] for w in c[1:-1]), *((w,) for w in c[1:][-1:])] for c in careful]
-        self._learn(list(set().union(*careful).difference(self.code)))
-        for i, k in zip(rest, careful):
-            codes[i] = np.fromiter(map(self.code.__getitem__, k), np.int64, len(k))
-        out = []
-        for code in codes:
-            start = self.at[code]
-            n = self.at[code + 1] - start
-            out.append(self.flat[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        return out
+        careful = set(np.searchsorted(ends, np.flatnonzero(self.odd[codes]), side="right").tolist())
+        careful |= {i for i, k in enumerate(keys) if len(k) > 1 and (not k[0][0] or k[0][0][-1].isspace())}
+        if careful:
+            for i in careful:
+                first, *words = CUT.split(texts[i])
+                keys[i] = [(first,), *(w[1:] for w in words[:-1]), *((w,) for w in words[-1:])]
+            codes, ends = self._codes(keys)
+        n = self.size[codes]
+        at = np.cumsum(n)
+        out = self.flat[np.repeat(self.start[codes] - at + n, n) + np.arange(at[-1])]
+        return np.split(out, at[ends[:-1] - 1])
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
