@@ -52,6 +52,19 @@ def test_pivot_dedup(spark):
     assert pivot_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_pivot_dedup_dense_group(spark):
+    rng = np.random.default_rng(3)
+    for n in (2_000, 6_000, 12_000):
+        x = rng.normal(size=(n, 64))
+        x[: n // 3] = x[0] + rng.normal(size=(n // 3, 64)) * np.sqrt((1 / 0.985 - 1) * (x[0] @ x[0]) / 64)
+        x = x.astype(np.float32)
+        unit = x / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+        want = (unit @ unit.T >= 0.98).sum(1) - 1
+        rows = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+        got = np.array([r.n_links for r in pivot_dedup(rows).orderBy("vec_id").collect()])
+        assert (got <= want + 1).all() and got.sum() >= 0.9 * want.sum() > 0
+
+
 def test_tokens(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = tokenizer(path)
