@@ -7,7 +7,8 @@ groups have an exact second round: each pivot has a list of all vectors with a c
 the triangle inequality of angles, a vector that is near enough to a pivot has all its links in that list, and is in no list
 of several pivots. So two vectors meet if they are close to one pivot or share `SHARED` of their nearest. Vectors
 that meet are compared by cosine in double precision. A pair that meets in several lists counts in one only: that of the
-first pivot both are close to, or else of the first `SHARED` of their common pivots. Equal vectors are one class
+first pivot both are close to, or else of the first `SHARED` of their common pivots. Vectors of a rare length that the
+sample of pivots lacks are in one list per label and length. Equal vectors are one class
 from the start, with their number, and lists over `BLOCK` members are dealt out as pairs of blocks; a task returns sums of
 links and a spanning forest, never all pairs.
 
@@ -58,14 +59,13 @@ def _unit(a: np.ndarray) -> np.ndarray:
 def fit_pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
     """Pivots by vector length: `count` vectors of a length at most, by hash of their values, none close to another."""
     rows = (
-        vectors.where("vector is not null and label is not null").select("vector").distinct()
+        vectors.where("vector is not null and label is not null")
+        .where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists("vector", lambda x: x != 0)).select("vector").distinct()
         .orderBy(F.xxhash64("vector"), "vector").limit(4 * count).collect()
     )
     by: dict[int, list] = {}
     for r in rows:
-        a = np.array([math.nan if x is None else x for x in r.vector], np.float64)
-        if len(a) and np.isfinite(a).all() and a.any():
-            by.setdefault(len(a), []).append(_unit(a))
+        by.setdefault(len(r.vector), []).append(_unit(np.array(r.vector, np.float64)))
     return {n: _thin(np.stack(v), count) for n, v in by.items()}
 
 
@@ -102,6 +102,9 @@ def _describe(pivots: dict[int, np.ndarray], nearest: int, shared: int, least: f
             near: list[list[int] | None] = [None] * len(vectors)
             own: list[list[int] | None] = [None] * len(vectors)
             settled = [False] * len(vectors)
+            for k, v in enumerate(vectors):
+                if v is not None and labels[k] is not None and len(v) not in pivots:
+                    near[k], own[k] = [], []
             for size, points in pivots.items():
                 at = [k for k, v in enumerate(vectors) if v is not None and len(v) == size and labels[k] is not None]
                 if at:
@@ -130,6 +133,8 @@ def _describe(pivots: dict[int, np.ndarray], nearest: int, shared: int, least: f
 def _compare(least: float, shared: int):
     def other_lists(key, near, own, head):
         """Per row, the other lists that would come before this one: two rows that share one of these count there."""
+        if not near[0]:
+            return near
         for p in own[0]:
             if _key(head, p, own=True) == key:
                 return [[q for q in mine if q < p] for mine in own]

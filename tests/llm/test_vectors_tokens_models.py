@@ -65,6 +65,15 @@ def test_pivot_dedup_dense_group(spark):
         assert (got <= want + 1).all() and got.sum() >= 0.9 * want.sum() > 0
 
 
+def test_pivot_dedup_rare_length(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(rng.normal(size=(4000, 8)))]
+    rows += [(k + 5000, [float("nan"), None][k % 2 : k % 2 + 1] + [float(k)] * 7, 0) for k in range(300)]
+    rows += [(9000 + n, [1.0, n + 1.0] + [0.0] * n, 0) for n in range(20, 40)] + [(9100 + n, [2.0, 2 * n + 2.0] + [0.0] * n, 0) for n in range(20, 40)]
+    out = pivot_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).where("vec_id >= 9000")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out.collect()) == sorted((k + n, 1, 9000 + n) for k in (9000, 9100) for n in range(20, 40))
+
+
 def test_tokens(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = tokenizer(path)
