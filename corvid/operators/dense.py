@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +13,8 @@ from corvid.operators.scoring import top_k
 
 #: Queries that one task holds at once; more are taken in blocks of this many.
 QUERY_BLOCK = 4096
+#: Share of an inverted file's cells that a query looks into: vectors without clusters lie near many cells.
+PROBED = 0.7
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -90,15 +93,16 @@ def ivf_assign(vectors: DataFrame, centroids: np.ndarray, id_col: str, probes: i
     return rows.mapInPandas(run, f"{id_col} {kind}, vector array<double>, cell array<int>").select(id_col, "vector", F.explode("cell").alias("cell"))
 
 
-def ivf_top_k(docs: DataFrame, queries: DataFrame, k: int = 100, probes: int = 8, centroids: np.ndarray | None = None) -> DataFrame:
-    """Approximate top-k: exact scores within the queries' nearest cells."""
+def ivf_top_k(docs: DataFrame, queries: DataFrame, k: int = 100, probes: int | None = None, centroids: np.ndarray | None = None) -> DataFrame:
+    """Approximate top-k: exact scores within the queries' nearest cells, `PROBED` of all unless `probes` says how many."""
     centroids = cells(docs) if centroids is None else centroids
+    probes = probes or max(8, math.ceil(PROBED * len(centroids)))
     d = ivf_assign(docs, centroids, "doc_id")
     q = ivf_assign(queries, centroids, "q_id", probes).withColumnRenamed("vector", "query")
     return top_k(d.join(q, "cell").select("q_id", "doc_id", F.round(dot(F.col("vector"), F.col("query")), 6).alias("score")), k)
 
 
-def lsh_top_k(docs: DataFrame, queries: DataFrame, k: int = 100, tables: int = 24, bits: int = 8, seed: int = 7) -> DataFrame:
+def lsh_top_k(docs: DataFrame, queries: DataFrame, k: int = 100, tables: int = 64, bits: int = 6, seed: int = 7) -> DataFrame:
     """Approximate top-k by random-hyperplane hashing: candidates share a bucket in some table, then exact scores."""
 
     def hashed(vectors: DataFrame, id_col: str) -> DataFrame:

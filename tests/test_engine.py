@@ -199,6 +199,20 @@ def test_vectors(spark):
     assert math.isclose(sum(v * v for v in unit), 1.0)
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_registered_ann_recall(spark, size):
+    from corvid.plans import queries
+
+    d = f"/root/testdata/{size}"
+    docs, asked = queries._vectors(spark, d)
+    pairs = lambda run: {(r.q_id, r.doc_id) for r in run.select("q_id", "doc_id").collect()}
+    want = pairs(dense.exact_top_k(docs, asked, 10))
+    for name in ("ann_ivf", "ann_lsh"):
+        found = len(pairs(queries.QUERIES[name](spark, d)) & want) / len(want)
+        print(name, size, round(found, 3))
+        assert found >= 0.9
+
+
 def test_sources(spark, tmp_path, songs):
     (tmp_path / "a.jsonl").write_text('{"id": "1", "text": "one"}\n{"id": "2", "text": "two"}\n')
     (tmp_path / "a.csv").write_text("id,text\n1,one\n2,two\n")
