@@ -123,8 +123,8 @@ def lsh_top_k(docs: DataFrame, queries: DataFrame, k: int = 100, tables: int = 6
     return top_k(scored.select("q_id", "doc_id", F.round(dot(F.col("vector"), F.col("query")), 6).alias("score")), k)
 
 
-def hashing_encoder(dim: int = 64, max_length: int = 128) -> Callable:
-    """A deterministic text encoder for tests and baselines: mean of signed hashes of the first max_length words."""
+def hashing_encoder(dim: int = 64, max_length: int | None = None) -> Callable:
+    """A deterministic text encoder for tests and baselines: mean of signed hashes of all words, or of the first max_length."""
 
     def encode(texts) -> list[np.ndarray]:
         import xxhash

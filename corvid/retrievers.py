@@ -143,7 +143,7 @@ SearchEngine = SparseRetriever
 class DenseRetriever(_Retriever):
     kind = "dense"
 
-    def __init__(self, spark: SparkSession, index_name: str = "new-index", base_path: str | None = None, model: Callable | None = None, normalize: bool = True, max_length: int = 128, use_ann: bool = True, dim: int = 64):
+    def __init__(self, spark: SparkSession, index_name: str = "new-index", base_path: str | None = None, model: Callable | None = None, normalize: bool = True, max_length: int | None = None, use_ann: bool = True, dim: int = 64):
         super().__init__(spark, index_name, base_path)
         self.normalize, self.use_ann = normalize, use_ann
         self.encoder = model or dense.hashing_encoder(dim, max_length)

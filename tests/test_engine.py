@@ -213,6 +213,17 @@ def test_registered_ann_recall(spark, size):
         assert found >= 0.9
 
 
+def test_encode_reads_whole_texts(spark, tmp_path):
+    from corvid.plans import queries
+
+    rows = [(k, "same " * 128 + tail) for k, tail in enumerate(("apple pear", "iron copper zinc"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = {r.doc_id: r.vector for r in queries.QUERIES["encode_texts"](spark, str(tmp_path)).collect()}
+    assert vectors[0] != vectors[1]
+    a, b = DenseRetriever(spark, "w", str(tmp_path)).encoder([t for _, t in rows])
+    assert (a != b).any()
+
+
 def test_sources(spark, tmp_path, songs):
     (tmp_path / "a.jsonl").write_text('{"id": "1", "text": "one"}\n{"id": "2", "text": "two"}\n')
     (tmp_path / "a.csv").write_text("id,text\n1,one\n2,two\n")
