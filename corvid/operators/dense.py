@@ -32,13 +32,16 @@ def exact_top_k(docs: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     The documents are read once for each block of `QUERY_BLOCK` queries, which travels with the task's code; each
     batch keeps k candidates per query before anything is exchanged.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = docs.select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
     out = None
     block: list = []
-    asked = queries.select(F.col("q_id").cast("long").alias("q_id"), F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.select("q_id", F.col("vector").cast("array<double>").alias("vector"))
+
+    schema = f"q_id {asked.schema['q_id'].dataType.simpleString()}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double"
 
     def scored(block):
-        ids, points = np.array([r.q_id for r in block]), np.array([r.vector for r in block], np.float64)
+        ids = [r.q_id for r in block]
+        ids, points = np.array(ids, None if all(isinstance(x, int) for x in ids) else object), np.array([r.vector for r in block], np.float64)
 
         def run(frames):
             import pandas as pd
@@ -50,10 +53,11 @@ def exact_top_k(docs: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
                 close = np.round(points @ np.stack(f["vector"].to_numpy()).T, 6)
                 doc = f["doc_id"].to_numpy()
                 n = min(k, close.shape[1])
-                order = np.lexsort((np.broadcast_to(doc, close.shape), -close), axis=1)[:, :n]
+                place = doc if doc.dtype != object else pd.factorize(doc, sort=True)[0]
+                order = np.lexsort((np.broadcast_to(place, close.shape), -close), axis=1)[:, :n]
                 yield pd.DataFrame({"q_id": np.repeat(ids, n), "doc_id": doc[order].ravel(), "score": np.take_along_axis(close, order, 1).ravel()})
 
-        return rows.mapInPandas(run, "q_id long, doc_id long, score double")
+        return rows.mapInPandas(run, schema)
 
     for r in asked.where("vector is not null").toLocalIterator():
         block.append(r)
@@ -62,7 +66,7 @@ def exact_top_k(docs: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     if block:
         out = scored(block) if out is None else out.union(scored(block))
     if out is None:
-        out = docs.sparkSession.createDataFrame([], "q_id long, doc_id long, score double")
+        out = docs.sparkSession.createDataFrame([], schema)
     return top_k(out, k)
 
 

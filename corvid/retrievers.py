@@ -174,8 +174,7 @@ class DenseRetriever(_Retriever):
         vectors = asked if "vector" in asked.columns else dense.encode(asked, self.encoder, "q_id", "text", self.normalize)
         if self.use_ann:
             return dense.ivf_top_k(self.vectors, vectors, cutoff, centroids=np.array(self.centroids))
-        both = self.vectors.join(F.broadcast(vectors.withColumnRenamed("vector", "query").limit(10_000)))
-        return scoring.top_k(both.select("q_id", "doc_id", F.round(dense.dot(F.col("vector"), F.col("query")), 6).alias("score")), cutoff)
+        return dense.exact_top_k(self.vectors, vectors, cutoff)
 
     def search(self, query: str, return_docs: bool = True, cutoff: int = 100) -> DataFrame:
         return self._results(self.msearch(query, cutoff), return_docs)

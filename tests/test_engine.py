@@ -281,6 +281,15 @@ def test_dense_and_hybrid(spark, songs, tmp_path):
     assert h.merger.autotune(h._runs([{"id": "a", "text": "generals"}]), qrels).first().value == 1.0
 
 
+def test_exact_dense_answers_every_query(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
+    made = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, vector array<double>")
+    r = DenseRetriever(spark, "many", str(tmp_path), use_ann=False).index(docs, embeddings=made)
+    asked = spark.range(10_050).select(F.concat(F.lit("q"), "id").alias("q_id"), F.array(F.lit(1.0), F.lit(1.0)).alias("vector"))
+    got = r.msearch(asked, 1)
+    assert got.count() == got.select("q_id").distinct().count() == 10_050 and {x.doc_id for x in got.collect()} == {"a"}
+
+
 def test_query_stream(spark, shane, tmp_path):
     (tmp_path / "in").mkdir()
     spark.createDataFrame([("q_1", "connelly")], "q_id string, text string").write.mode("overwrite").json(str(tmp_path / "in"))
