@@ -1,6 +1,6 @@
 """Main text of web pages by wrapper induction.
 
-1. Each host's exemplar is one of its pages. Every page of the host is aligned with it by simple tree matching (nodes of
+1. Each host's exemplar is one of its pages that have text. Every page of the host is aligned with it by simple tree matching (nodes of
    equal tag, in order, parents with parents), and for each exemplar node with text of its own it is counted
    how often the aligned node has the same text. Nodes that stay the same on nearly all pages are template; the
    others are slots.
@@ -317,7 +317,8 @@ def _afresh(name: str) -> Column:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, marks): the marks of the template nodes of each host that has some. pages: host, page_id, html."""
-    exemplar = pages.groupBy("host").agg(F.min(F.struct("page_id", "html")).alias("x")).select(_afresh("host"), F.col("x.html").alias("exemplar"))
+    told = F.col("html").rlike(r">\s*[^<\s]")  # a page without text has no nodes to learn from
+    exemplar = pages.groupBy("host").agg(F.min(F.when(told, F.struct("page_id", "html"))).alias("x")).select(_afresh("host"), F.col("x.html").alias("exemplar"))
     counts = pages.join(exemplar, "host").mapInArrow(_align, "host string, mark long, n long, same long")
     total = counts.groupBy("host", "mark").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
     fixed = total.where((F.col("n") >= TEMPLATE_PAGES) & (F.col("same") >= TEMPLATE_SHARE * F.col("n")))

@@ -86,3 +86,11 @@ def test_wrapper_drops_what_is_constant(spark):
     assert texts[20, "http://other.example/"] == "Welcome to our site\n\nstory 3 with its own words\n\nAll rights"
     assert texts[21, None] == "" and all(r.n_chars == len(r.text) for r in out)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_empty_page_is_no_exemplar(spark):
+    page = "<html><body><div><p>Home and contact</p></div><div><p>Text number {0} of its own</p></div></body></html>"
+    rows = [(None, "http://a.b/0", None), (0, "http://a.b/x", ""), (1, "http://a.b/y", "<html><body></body></html>")]
+    rows += [(k, f"http://a.b/{k}", page.format(k)) for k in range(2, 12)]
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id > 1").collect()
+    assert sorted(r.text for r in out) == sorted(f"Text number {k} of its own" for k in range(2, 12))
