@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Nodes that a task holds at once when it reduces edges (some 40 MB).
+FOREST = 200_000
 #: Text bytes that one round of vectorised work takes at most (a longer single text goes alone).
 PIECE_BYTES = 2 << 20
 
@@ -21,34 +26,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema); each task hands its memory back when it ends, as Spark keeps its Python workers."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # another C library than glibc has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; outside a cluster (unset), a temporary one."""
+    """The folder that driver and executors share. Where it is unset, a local master gets a temporary one; a cluster must name it."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
-        known = f"file://{tempfile.mkdtemp(prefix='corvid-')}"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="corvid-")
+        known = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", known)
+        atexit.register(_delete, spark, known)
     return known.rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    try:
+    with suppress(Exception):  # the JVM may have gone already at exit
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may have gone already at exit
-        return
+    _SCRATCH.discard(path)
+
+
+#: Paths of the scratch tables that are there.
+_SCRATCH: set[str] = set()
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, lost executors cost a read.
 
-    The folder goes when the driver's Python ends.
+    The folder goes when `sweep` is called or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvid-{tag}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(sweep, spark, frozenset())
+    _SCRATCH.add(path)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def scratch() -> frozenset[str]:
+    """The scratch tables that are there now."""
+    return frozenset(_SCRATCH)
+
+
+def sweep(spark: SparkSession, keep: frozenset[str]) -> None:
+    """Delete all scratch tables but those in `keep`: for callers that have written their results."""
+    for path in _SCRATCH - keep:
+        _delete(spark, path)
 
 
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +201,7 @@ def _forest(batches):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > 2_000_000:  # bounded memory: hand on what there is
+        if len(parent) > FOREST:  # bounded memory: hand on what there is
             yield from _stars(parent, find)
             parent.clear()
     yield from _stars(parent, find)
@@ -180,15 +221,16 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     large-star and small-star steps until nothing changes; each step's edges are written to the shared folder.
     """
     tidy = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = stash(tidy.mapInArrow(_forest, "a long, b long").distinct(), tag)
+    now = stash(by_batches(tidy, _forest, "a long, b long").distinct(), tag)
     seen = None
     while True:
         # xor of row hashes: equal exactly when the (distinct) edge sets are equal, up to 64-bit chance
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == seen or mark[0] == 0:
             break
-        seen = mark
-        now = stash(star_round(now), tag)
+        seen, last = mark, now
+        now = stash(star_round(last), tag)
+        _delete(last.sparkSession, last.scratch)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

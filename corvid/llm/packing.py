@@ -7,8 +7,9 @@ stretch of the curve into full sequences. Its rest is cut at powers of two, so t
 
 Token ids fit 16 bits here. They are made once, by the library of the vocabulary, and stashed. No pre-token of a
 byte-level vocabulary begins before a single space and ends after it, so a text's ids are those of its stretches
-between such spaces: each distinct stretch is encoded once per process and remembered, up to bounds on their
-number and ids. New ones are encoded joined, and told apart again by the byte lengths of the ids.
+between such spaces: each distinct stretch is encoded once per task and remembered, up to bounds on their number, characters
+and ids. New ones are encoded joined, and told apart again by the byte lengths of the ids. What a task has remembered
+goes when it ends, since Spark keeps its Python workers.
 
 Defined cases: a null or empty text is the closing id alone; rows that repeat a doc_id, or have none, are packed
 one by one; other columns are not read; long documents run over as many sequences as they need.
@@ -26,16 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import keyed_text, mix, pieces, stash
+from corvid.llm.common import by_batches, keyed_text, mix, pieces, stash
 
 SEQUENCE = 2048
 CLOSING_ID = 1
 DIMENSIONS = 4
 BITS = 10
 VOCABULARY = "byte_bpe_50k.json"
-#: Remembered stretches and ids in a process (some 250 MB at most); beyond either, the memory starts anew.
-MEMORY = 1_000_000
-MEMORY_IDS = 8_000_000
+#: Remembered stretches, their characters, and ids in a task (some 100 MB at most); beyond any, the memory starts anew.
+MEMORY = 400_000
+MEMORY_CHARACTERS = 8_000_000
+MEMORY_IDS = 2_000_000
 #: Characters of joined stretches that one call encodes.
 JOINED = 1 << 18
 #: Where a text may be cut: before one space between two characters that are no white space.
@@ -83,10 +85,11 @@ class Encoder:
             raise ValueError("vocabularies of over 65,536 ids are not supported")
         # in a byte-level vocabulary each character of a token stands for one byte
         self.bytes_of = np.array([len(t.encode()) if i in special else len(t) for i, t in enumerate(names)], np.int64)
-        self._forget()
+        self.forget()
 
-    def _forget(self):
+    def forget(self) -> None:
         self.code = _Codes()
+        self.characters = 0
         self.flat = np.empty(0, np.uint16)
         # by code: where a stretch's ids begin and how many they are; a word that may not be joined has none
         self.start, self.size, self.odd = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
@@ -94,6 +97,7 @@ class Encoder:
     def _learn(self) -> None:
         """The ids of all keys that were asked for and are not known."""
         new, self.code.new = self.code.new, []
+        self.characters += sum(len(k if type(k) is str else k[0]) for k in new)
         words = [i for i, k in enumerate(new) if type(k) is str and k and not k[0].isspace() and not k[-1].isspace()]
         alone = [i for i, k in enumerate(new) if type(k) is tuple]
         joined, sizes, at = [], [], 0
@@ -128,8 +132,8 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
-        if len(self.code) > MEMORY or len(self.flat) > MEMORY_IDS:
-            self._forget()
+        if len(self.code) > MEMORY or self.characters > MEMORY_CHARACTERS or len(self.flat) > MEMORY_IDS:
+            self.forget()
         keys = []
         for t in texts:
             first, *words = t.split(" ")
@@ -188,14 +192,12 @@ def _signs(vocabulary: int) -> np.ndarray:
 
 
 def _encode(path: str):
-    def run(batches):
-        enc = encoder(path)
+    def coded(batches, enc: Encoder):
         signs = _signs(1 << 16)
         for batch in pieces(batches):
             ids = [np.append(x, np.uint16(CLOSING_ID)) for x in enc.ids([t or "" for t in batch.column("text").to_pylist()])]
             n = np.array([len(x) for x in ids])
-            sums = np.add.reduceat(signs[np.concatenate(ids)], np.concatenate(([0], np.cumsum(n)[:-1])), axis=0)
-            mean = sums / n[:, None]
+            mean = np.stack([_sum(signs, x) for x in ids]) / n[:, None]
             grid = np.clip(((np.arctan(6 * mean) / np.pi) + 0.5) * (1 << BITS), 0, (1 << BITS) - 1)
             tie = [zlib.crc32(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
@@ -203,9 +205,21 @@ def _encode(path: str):
                 ["doc_id", "curve", "tie", "ids"],
             )
 
+    def run(batches):
+        enc = encoder(path)
+        try:
+            yield from coded(batches, enc)
+        finally:
+            enc.forget()
+
     return run
 
 
+def _sum(signs: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Sum of the ids' vectors; a very long text is taken in stretches."""
+    return sum((signs[ids[a : a + JOINED]].sum(0, dtype=np.float64) for a in range(0, len(ids), JOINED)), np.zeros(DIMENSIONS))
+
+
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -263,6 +277,6 @@ def _pack(length: int):
 
 def pack(docs: DataFrame, path: str, length: int = SEQUENCE) -> DataFrame:
     """`path`: the vocabulary, on every executor. One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    coded = stash(keyed_text(docs).mapInArrow(_encode(path), "doc_id long, curve long, tie long, ids binary"), "ids")
+    coded = stash(keyed_text(docs).transform(by_batches, _encode(path), "doc_id long, curve long, tie long, ids binary"), "ids")
     along = coded.repartitionByRange("curve", "doc_id", "tie").sortWithinPartitions("curve", "doc_id", "tie")
-    return along.mapInArrow(_pack(length), _PIECE)
+    return along.transform(by_batches, _pack(length), _PIECE)
