@@ -5,9 +5,12 @@ values cost 72 evaluations. They are cut into 36 bands of four (two permutations
 band agrees with a chance of 0.75**4, so a pair shares no band with a chance of about 1e-6.
 
 Documents with equal shingle sets are one class from the start. A band's bucket is dropped if another bucket holds
-the same classes. In a bucket all pairs of classes that are not yet linked are compared on their full sets, by a
-matrix product of the set indicators over blocks of about 512 members; a larger bucket is dealt out as pairs of
-blocks. Only links that join two groups leave the task, never all pairs. Components are found by star contraction.
+the same classes. Classes of a bucket are compared on their full sets, by a matrix product of the set indicators. A bucket of
+over `BLOCK` members is dealt out in parts of about that size, and its first member goes into each part, so that a
+group of near copies of any size becomes one component at the cost of its size. Then only a bucket that still holds several
+components has a second round: members of different components meet in pairs of blocks (a large component's own
+blocks never meet each other), until every pair that is not known to be connected has been compared. Only links that
+join two groups leave the task, never all pairs. Components are found by star contraction.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; fewer than five words
 are one shingle; rows that repeat a doc_id share its component; a null doc_id gets a null component, kept is
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import as_long, components, grams, keyed_text, mix, pieces, stash, utf8, word_hashes
+from corvid.llm.common import as_long, by_batches, components, grams, keyed_text, mix, pieces, stash, utf8, word_hashes
 
 SHINGLE = 5
 PERMUTATIONS = 72
@@ -146,10 +149,44 @@ def _compare(percent: int):
     return run
 
 
-def minhash_dedup(docs: DataFrame, percent: int = 75) -> DataFrame:
+def _links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the members (grp, rep, side) that meet in a group."""
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    full = keyed_text(docs).join(wanted.hint("merge"), "doc_id", "left_semi").transform(by_batches, _sets, "doc_id long, shingles binary").withColumnRenamed("doc_id", "rep")
+    full = full.dropDuplicates(["rep", "shingles"])
+    return members.join(full, "rep").repartition("grp").sortWithinPartitions("grp").transform(by_batches, _compare(percent), "a long, b long")
+
+
+def _across(rows: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """Members of a second round: of each key in rows (key, rep), those of different components (found: node, component).
+
+    A component with at least `block` members of a key has blocks of its own; the others of the key share mixed ones.
+    Mixed blocks meet all blocks and themselves; a component's own blocks meet those of other components.
+    """
+    named = rows.join(found, rows.rep == found.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    totals = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") < block, F.col("n")).otherwise(0)).alias("few")).where("kinds > 1")
+    own = F.col("n") >= block
+    shared = sizes.join(totals, "key").select(
+        "key", "component", F.when(own, F.col("component")).alias("whose"),
+        F.ceil(F.when(own, F.col("n")).otherwise(F.col("few")) / block).alias("blocks"),
+    )
+    dealt = named.join(shared, ["key", "component"]).select(
+        "key", "rep", "whose", F.xxhash64("whose", F.pmod(F.when(F.col("whose").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("rep")), F.col("blocks"))).alias("block")
+    )
+    blocks = dealt.groupBy("key", "block").agg(F.max("whose").alias("whose"))
+    left, right = (blocks.select("key", F.col("block").alias(x), F.col("whose").alias(f"{x}_whose")) for x in ("one", "two"))
+    mixed = left.where("one_whose is null").join(right, "key").where("two_whose is not null or one <= two")
+    apart = left.where("one_whose is not null").join(right.where("two_whose is not null"), "key").where("one_whose < two_whose")
+    pairs = mixed.union(apart).select("key", "one", "two", F.xxhash64("key", "one", "two").alias("grp"))
+    ends = pairs.select("key", "grp", F.explode(F.when(F.col("one") == F.col("two"), F.array(F.struct(F.col("one").alias("block"), F.lit(2).alias("side"))))
+        .otherwise(F.array(F.struct(F.col("one").alias("block"), F.lit(0).alias("side")), F.struct(F.col("two").alias("block"), F.lit(1).alias("side"))))).alias("e"))
+    return dealt.join(ends.select("key", "grp", "e.block", "e.side"), ["key", "block"]).select("grp", "rep", "side")
+
+
+def minhash_dedup(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    texts = keyed_text(docs)
-    signed = stash(texts.mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
+    signed = stash(keyed_text(docs).transform(by_batches, _sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
     sets = signed.select("doc_id", "d1", "d2").where("doc_id is not null and d1 is not null")
     classes = stash(sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     # the rows of each class's first document carry its bands
@@ -158,27 +195,21 @@ def minhash_dedup(docs: DataFrame, percent: int = 75) -> DataFrame:
         .select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).repartition("key")
     )
     buckets = (
-        rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(3))).alias("x2")).where("n > 1")
-        .groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n")
+        rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(3))).alias("x2")).where("n > 1")
+        .groupBy("n", "lead", "x1", "x2").agg(F.min("key").alias("key"))
     )
+    blocks = F.ceil(F.col("n") / block)
     members = stash(
-        rows.join(buckets, "key")
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-        .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("grp"),
-            "rep",
-            F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
-        ),
+        rows.join(buckets.select("key", "n", "lead"), "key")
+        .withColumn("part", F.explode(F.when(F.col("rep") == F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), blocks)))))
+        .select(F.xxhash64("key", "part").alias("grp"), "rep", F.lit(2).alias("side"), F.when(F.col("n") > block, F.col("key")).alias("key")),
         "buckets",
     )
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    full = texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").withColumnRenamed("doc_id", "rep")
-    if docs.columns:
-        full = full.dropDuplicates(["rep", "shingles"])
-    edges = members.join(full, "rep").repartition("grp").sortWithinPartitions("grp").mapInArrow(_compare(percent), "a long, b long")
-    found = components(edges, "links")
+    found = components(_links(members.drop("key"), docs, percent), "links")
+    large = members.where("key is not null").select("key", "rep").distinct()
+    again = stash(_across(large, found, block), "across")
+    if not again.isEmpty():
+        found = components(_links(again, docs, percent).union(found.select("node", "component")), "links")
     of_class = classes.join(found, classes.rep == found.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     own = signed.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
