@@ -11,9 +11,15 @@ curve, fitted on the same rows, turns it into a score.
 The model is fitted on about `SAMPLE` labelled rows (a documented bound, by hash of doc_id; a fifth of them
 calibrates) and has `BUCKETS` weights; scoring reads every whole text.
 
+Counts are whole numbers of distinct texts over the whole sample, and the calibrating rows are put in order, so the
+partitioning of the tables changes nothing.
+
 Defined cases: null, empty and wordless texts have no passage and get the curve's value at no evidence; rows with
-a null doc_id or label are never learned from; rows that repeat a doc_id are scored one by one; held_out of a null
-doc_id is false; without rows of both labels every score is 0; documents' other columns are not read.
+a null doc_id or label are never learned from; rows that repeat a doc_id are scored one by one; a doc_id that `labels`
+repeats is learned from once for each of its rows (equal texts of one label count once); a text that has both labels counts
+for both; very long texts are scanned whole; a passage's ties with a longer one of equal score go to the shorter; held_out
+of a null doc_id is false; without rows of both labels, as in empty tables, every score is 0; documents' other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import pieces
+from corvid.llm.common import by_batches, pieces
 from corvid.llm.language_id import sampled
 
 SAMPLE = 25_000
@@ -72,18 +78,13 @@ def segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _tally(batches):
-    """Texts of each label that hold a bucket (a text that repeats one, or a text repeated in this task, counts once)."""
-    seen = np.zeros((2, BUCKETS))
-    known: set[int] = set()
+    """Texts of each label that hold a bucket (a text that repeats one counts once)."""
+    seen = np.zeros((2, BUCKETS), np.int64)
     for batch in pieces(batches):
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        flat, sizes = buckets(texts)
+        flat, sizes = buckets([t or "" for t in batch.column("text").to_pylist()])
         at = 0
-        for t, n, y in zip(texts, sizes.tolist(), batch.column("label").to_pylist()):
-            mark = xxhash.xxh3_64_intdigest(t.encode())
-            if mark not in known:
-                known.add(mark)
-                seen[y][np.unique(flat[at : at + n])] += 1
+        for n, y in zip(sizes.tolist(), batch.column("label").to_pylist()):
+            seen[y][np.unique(flat[at : at + n])] += 1
             at += n
     at = np.flatnonzero(seen.any(0))
     if len(at):
@@ -105,7 +106,7 @@ def _evidence(flat: np.ndarray, sizes: np.ndarray, weights: np.ndarray, law) ->
     lam, lnk = law
     out, at = [], 0
     for n in sizes.tolist():
-        found = segments(weights[flat[at : at + n]])
+        found = segments(weights[flat[at : at + n]].astype(np.float64))
         at += n
         bar = lnk + np.log(max(n, 1))
         strong = [(a, b, lam * s - bar) for a, b, s in found if lam * s > bar]
@@ -120,10 +121,10 @@ def _best(weights):
             rows = _evidence(flat, sizes, weights, (1.0, 0.0))
             at, passages = 0, []
             for n in sizes.tolist():
-                passages.append([s for _, _, s in segments(weights[flat[at : at + n]])])
+                passages.append([s for _, _, s in segments(weights[flat[at : at + n]].astype(np.float64))])
                 at += n
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array(sizes), pa.array([r[1] for r in rows]), pa.array(passages, pa.list_(pa.float64()))], ["label", "n", "best", "passages"]
+                [batch.column("m1"), batch.column("label"), pa.array(sizes), pa.array([r[1] for r in rows]), pa.array(passages, pa.list_(pa.float64()))], ["m1", "label", "n", "best", "passages"]
             )
 
     return run
@@ -170,15 +171,17 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE):
     picked = sampled(usable.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("label")), bound)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # the picked labels are at most about `bound` rows of two numbers, so they go to the texts and not the texts to them
-    rows = texts.join(F.broadcast(picked), "doc_id")
+    rows = texts.join(F.broadcast(picked), "doc_id").withColumns({"m1": F.xxhash64("text"), "m2": F.xxhash64("text", F.lit("second"))})
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 0
-    counts = rows.where(~calibrates).mapInArrow(_tally, "bucket long, n0 double, n1 double").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    distinct = rows.where(~calibrates).groupBy("m1", "m2", "label").agg(F.first("text").alias("text"))  # equal hashes, equal texts
+    counts = distinct.transform(by_batches, _tally, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     n0, n1 = np.zeros(BUCKETS), np.zeros(BUCKETS)
     n0[counts["bucket"]], n1[counts["bucket"]] = counts["n0"], counts["n1"]
     if not n0.sum() or not n1.sum():
         return None
     weights = (log_odds(n0, n1) - DRIFT).astype(np.float32)
-    held = rows.where(calibrates).mapInArrow(_best(weights), "label int, n long, best double, passages array<double>").toPandas()
+    held = rows.where(calibrates).transform(by_batches, _best(weights), "m1 long, label int, n long, best double, passages array<double>").toPandas()
+    held = held.sort_values(["m1", "label"], kind="stable", ignore_index=True)
     clean = held[held["label"] == 0]
     law = extreme_value_law(clean["best"].to_numpy(), clean["n"].to_numpy())
     bar = law[1] + np.log(np.maximum(held["n"].to_numpy(), 1))
@@ -215,7 +218,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFra
     model = fit(docs, labels, bound)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int, n_passages int")
+    return rows.transform(by_batches, _score(model), "doc_id long, held_out boolean, score double, predicted int, n_passages int")
 
 
 def _keep(model):
@@ -228,4 +231,4 @@ def _keep(model):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     """The documents that are not predicted toxic, all columns."""
-    return docs.mapInArrow(_keep(fit(docs, labels, bound)), docs.schema)
+    return docs.transform(by_batches, _keep(fit(docs, labels, bound)), docs.schema)
