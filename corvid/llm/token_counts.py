@@ -1,8 +1,8 @@
 """Token counts with overlap resynchronisation for huge documents.
 
 A text of up to `chunk` characters is counted as the sum over its blank-separated stretches: no pre-token of this
-kind of vocabulary spans white space, so the library encodes each distinct stretch once per task and the counts
-are remembered (at most `MEMORY` of them). A longer one is encoded in chunks that overlap; where two
+kind of vocabulary spans white space, so the library encodes each distinct stretch of up to `WORD` characters once per
+task and the counts are remembered (at most `MEMORY` of them); longer stretches are counted where they stand. A longer text is encoded in chunks that overlap; where two
 chunks overlap, they are spliced at a boundary that both prove: a blank or line break (no pre-token of this kind of
 vocabulary spans white space), with equal tokens at equal offsets on the way to the next such place. If a chunk's
 overlap holds no such boundary, the overlap is doubled and the chunk encoded anew, at worst up to the end.
@@ -16,12 +16,13 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvid.llm.common import keyed_text, pieces
+from corvid.llm.common import by_batches, keyed_text, pieces
 
 CHUNK = 1 << 16
 OVERLAP = 512
 TOKEN_LIMIT = 2048
 MEMORY = 400_000
+WORD = 32
 VOCABULARY = "word_bpe_49k.json"
 
 _LOADED: dict[str, object] = {}
@@ -84,13 +85,21 @@ def _boundary(text: str, lo: int, hi: int, left: list, right: list) -> int | Non
     return first if a and a == b and not crossing else None
 
 
+def _lengths(tok, stretches: list[str]) -> list[int]:
+    return [len(e.ids) for a in range(0, len(stretches), 10_000) for e in tok.encode_batch_fast(stretches[a : a + 10_000], add_special_tokens=False)]
+
+
 def _remembered(tok, texts: list[str], known: dict[str, int]) -> list[int]:
     split = [t.replace("\n", " ").split(" ") for t in texts]
     if len(known) > MEMORY:
         known.clear()
     new = list(set().union(*split).difference(known))
-    known.update(zip(new, [len(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False)]))
-    return [sum(map(known.__getitem__, words)) for words in split]
+    known.update(zip(new, _lengths(tok, new)))
+    out = [sum(map(known.__getitem__, words)) for words in split]
+    for w in new:
+        if len(w) > WORD:
+            del known[w]
+    return out
 
 
 def _count(path: str, chunk: int, limit: int):
@@ -112,4 +121,4 @@ def _count(path: str, chunk: int, limit: int):
 
 def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK, limit: int = TOKEN_LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit. `path`: the vocabulary, on every executor."""
-    return keyed_text(docs).mapInArrow(_count(path, chunk, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return keyed_text(docs).transform(by_batches, _count(path, chunk, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
