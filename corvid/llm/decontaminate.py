@@ -4,8 +4,10 @@ Texts are compared as lower-cased words joined by blanks. An item of m character
 edits. Cut into k + 1 pieces, at least one piece is then untouched, so exact hits of pieces (one automaton for the pieces of a block
 of items, one pass over each text) give every place to look at; there Myers' bit-parallel distance decides.
 
-Items go to the tasks in blocks of at most `BLOCK_CHARS` characters, so what is shipped is bounded whatever the size of
-the benchmark: a larger one means more passes. Texts are scanned where they are; nothing is exchanged.
+Items go to the tasks in blocks of at most `BLOCK_CHARS` characters (a single longer item is a block). One block is one pass
+over the texts, where they are, and nothing is exchanged. A larger benchmark means a pass for each block: its finds are
+written to the shared folder before the next block is fetched, so neither the driver nor a task ever holds two, and documents
+to drop are then told by two 64-bit hashes of their texts.
 
 Defined cases: null and empty texts hold nothing; items without a word are skipped; an item shorter than one error's
 worth must be there exactly, at word bounds; rows that repeat a doc_id are scanned one by one; equal items all match;
@@ -16,13 +18,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import keyed_text, pieces
+from corvid.llm.common import by_batches, keyed_text, pieces, stash
 
 CHARACTERS_PER_ERROR = 12
 BLOCK_CHARS = 4 << 20
@@ -141,26 +144,50 @@ def _hits(items: list[Item], per_error: int):
 _HIT = "doc_id long, item_id long, distance long, start long, end long"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, per_error: int = CHARACTERS_PER_ERROR) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, per_error: int = CHARACTERS_PER_ERROR, limit: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, distance, start, end."""
-    texts, out = keyed_text(docs), None
-    for block in item_blocks(benchmark):
-        found = texts.mapInArrow(_hits(block, per_error), _HIT)
-        out = found if out is None else out.union(found)
+    out = _by_blocks(benchmark, limit, lambda block: keyed_text(docs).transform(by_batches, _hits(block, per_error), _HIT))
     return docs.sparkSession.createDataFrame([], _HIT) if out is None else out
 
 
-def _clean(items: list[Item], per_error: int):
+def _by_blocks(benchmark: DataFrame, limit: int, scan) -> DataFrame | None:
+    """What scan(block) finds, over all blocks: a plan if there is one block, else written tables."""
+    blocks = item_blocks(benchmark, limit)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return None
+    out = scan(first)
+    if second is not None:
+        out = stash(out, "found")
+        for block in chain([second], blocks):
+            out = out.union(stash(scan(block), "found"))
+    return out
+
+
+def _verdicts(items: list[Item], per_error: int, keep: bool):
+    """The rows that hold no item, or (not keep) that hold one."""
+
     def run(batches):
         matcher = Matcher(items, per_error)
         for batch in pieces(batches):
-            yield batch.filter(pa.array([not matcher.find(t or "") for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([bool(matcher.find(t or "")) != keep for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, per_error: int = CHARACTERS_PER_ERROR) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, per_error: int = CHARACTERS_PER_ERROR, limit: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no item, all columns."""
-    for block in item_blocks(benchmark):
-        docs = docs.mapInArrow(_clean(block, per_error), docs.schema)
-    return docs
+    blocks = item_blocks(benchmark, limit)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return docs.transform(by_batches, _verdicts(first, per_error, True), docs.schema)
+    marks = [F.xxhash64("text"), F.xxhash64("text", F.lit("second"))]
+
+    def scan(block):
+        texts = docs.select(F.col("text").cast("string").alias("text"), *(m.alias(f"m{k}") for k, m in enumerate(marks)))
+        return texts.transform(by_batches, _verdicts(block, per_error, False), texts.schema).select("m0", "m1").distinct()
+
+    gone = _by_blocks(benchmark, limit, scan).withColumnsRenamed({"m0": "_gone0", "m1": "_gone1"})
+    return docs.join(gone, (marks[0] == gone["_gone0"]) & (marks[1] == gone["_gone1"]), "left_anti")

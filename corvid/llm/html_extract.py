@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import pieces
+from corvid.llm.common import by_batches, pieces
 
 #: Element names of the HTML standard, by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -319,7 +319,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """(host, marks): the marks of the template nodes of each host that has some. pages: host, page_id, html."""
     told = F.col("html").rlike(r">\s*[^<\s]")  # a page without text has no nodes to learn from
     exemplar = pages.groupBy("host").agg(F.min(F.when(told, F.struct("page_id", "html"))).alias("x")).select(_afresh("host"), F.col("x.html").alias("exemplar"))
-    counts = pages.join(exemplar, "host").mapInArrow(_align, "host string, mark long, n long, same long")
+    counts = pages.join(exemplar, "host").transform(by_batches, _align, "host string, mark long, n long, same long")
     total = counts.groupBy("host", "mark").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
     fixed = total.where((F.col("n") >= TEMPLATE_PAGES) & (F.col("same") >= TEMPLATE_SHARE * F.col("n")))
     return fixed.groupBy("host").agg(F.collect_list("mark").alias("marks")).select(_afresh("host"), "marks")
@@ -331,4 +331,4 @@ def extract(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
         F.lower(F.coalesce(F.regexp_extract("url", r"^\w+://([^/?#:]+)", 1), F.lit(""))).alias("host"),
     )
-    return rows.join(wrappers(rows), "host", "left").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(wrappers(rows), "host", "left").transform(by_batches, _extract, "page_id long, url string, text string, n_chars long")

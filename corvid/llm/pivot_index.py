@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import components, stash
+from corvid.llm.common import by_batches, components, stash
 
 NEAREST = 6
 SHARED = 3
@@ -207,7 +207,7 @@ def pivot_dedup(vectors: DataFrame, least: float = 0.98, nearest: int = NEAREST,
     if pivots is None:
         pivots = min(PIVOTS[1], max(PIVOTS[0], 2 ** math.ceil(math.log2(max(2, base.count())) / 2)))
     told = stash(
-        base.mapInArrow(_describe(fit_pivots(base, pivots), nearest, shared, least), "vec_id long, class long, keys array<long>, near array<int>, own array<int>, vector array<double>, label string"),
+        base.transform(by_batches, _describe(fit_pivots(base, pivots), nearest, shared, least), "vec_id long, class long, keys array<long>, near array<int>, own array<int>, vector array<double>, label string"),
         "described",
     )
     live = told.where("class is not null")
@@ -224,7 +224,7 @@ def pivot_dedup(vectors: DataFrame, least: float = 0.98, nearest: int = NEAREST,
         )
     )
     bodies = live.select("class", "near", "own", "vector", "label").dropDuplicates(["class"])
-    met = stash(members.join(bodies, "class").repartition("grp").sortWithinPartitions("grp", "key").mapInArrow(_compare(least, shared), "a long, b long, n long"), "links")
+    met = stash(members.join(bodies, "class").repartition("grp").sortWithinPartitions("grp", "key").transform(by_batches, _compare(least, shared), "a long, b long, n long"), "links")
     joined = components(met.where("b is not null").select("a", "b"), "components")
     links = met.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("links"))
     named = classes.join(links, "class", "left").join(joined, classes["class"] == joined["node"], "left").select("class", "size", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "class").alias("component"))

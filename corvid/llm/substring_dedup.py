@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import as_long, dealt_text, grams, keyed_text, pieces, sliding_min, utf8, word_hashes
+from corvid.llm.common import as_long, by_batches, dealt_text, grams, keyed_text, pieces, sliding_min, utf8, word_hashes
 
 SEED_WORDS = 7
 MIN_WORDS = 13
@@ -131,7 +131,7 @@ def _repeats(docs: DataFrame, dealt: DataFrame, min_words: int, seed_words: int)
     before, hits = None, None
     for length in level_lengths(seed_words, min_words):
         source = keyed_text(docs).where("doc_id is not null") if hits is None else dealt.join(hits, "key")
-        rows = source.mapInArrow(_emit(length, before, min_words), "k1 long, k2 int, doc_id long")
+        rows = source.transform(by_batches, _emit(length, before, min_words), "k1 long, k2 int, doc_id long")
         hits, before = _settle(rows, length == min_words), length
     return hits
 
@@ -140,7 +140,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     """One row per document: doc_id, n_words, n_removed, kept (the words that stay, or their SHA-256)."""
     dealt = dealt_text(docs)
     hits = _repeats(docs, dealt, min_words, seed_words)
-    return dealt.join(hits, "key", "left").mapInArrow(_answer(min_words, not digest), _COUNTS)
+    return dealt.join(hits, "key", "left").transform(by_batches, _answer(min_words, not digest), _COUNTS)
 
 
 def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -153,7 +153,7 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = S
     dealt = dealt_text(docs, others)
     hits = _repeats(docs, dealt, min_words, seed_words)
     kind = f", rest {dealt.schema['rest'].dataType.simpleString()}" if others else ""
-    cut = dealt.join(hits, "key", "left").mapInArrow(_answer(min_words, True, bool(others)), _COUNTS + kind)
+    cut = dealt.join(hits, "key", "left").transform(by_batches, _answer(min_words, True, bool(others)), _COUNTS + kind)
 
     def column(name: str):
         if name == "doc_id":

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import as_long, keyed_text, mix, pieces, sliding_min, utf8
+from corvid.llm.common import as_long, by_batches, keyed_text, mix, pieces, sliding_min, utf8
 
 LENGTH = 200
 GRAM = 32
@@ -378,15 +378,15 @@ def suffix_dedup(docs: DataFrame, digest: bool = False, hot: int = HOT) -> DataF
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes, or their SHA-256)."""
     texts = keyed_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     dealt = texts.repartition("row")
-    first = texts.mapInArrow(_first, "h long, n int, row long")
+    first = texts.transform(by_batches, _first, "h long, n int, row long")
     repeated = first.select("h", "row", F.sum("n").over(Window.partitionBy("h")).alias("n")).where("n > 1")
     hits = repeated.groupBy("row").agg(F.collect_set("h").alias("hits"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
     holders = dealt.join(hits, "row")
     verdict = (
-        holders.mapInArrow(_emit_bodies, "h long, c long, left int, bytes binary")
-        .repartition("h").sortWithinPartitions("h", "c").mapInArrow(_judge, "h long, c long, bits binary")
+        holders.transform(by_batches, _emit_bodies, "h long, c long, left int, bytes binary")
+        .repartition("h").sortWithinPartitions("h", "c").transform(by_batches, _judge, "h long, c long, bits binary")
     )
-    owners = holders.mapInArrow(_emit_owners, "h long, c long, row long")
+    owners = holders.transform(by_batches, _emit_owners, "h long, c long, row long")
     found = owners.join(verdict, ["h", "c"]).groupBy("row").agg(F.collect_list(F.struct("h", "c", "bits")).alias("found")).join(hits, "row")
     kind = "string" if digest else "binary"
-    return dealt.join(found, "row", "left").mapInArrow(_answer(not digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
+    return dealt.join(found, "row", "left").transform(by_batches, _answer(not digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")

@@ -57,6 +57,19 @@ def test_tables(spark):
     assert matches(docs, bench.limit(0)).count() == 0 and matches(docs.limit(0), bench).count() == 0
 
 
+def test_many_blocks_of_items_give_what_one_gives(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 6)))
+    items = [(k, " ".join(word() for _ in range(15))) for k in range(12)]
+    texts = [" ".join([word(), rng.choice(items)[1].replace("a", "x", rng.randint(0, 2)), word() * 2]) if rng.random() < 0.6 else " ".join(word() for _ in range(20)) for _ in range(40)]
+    docs = frame(spark, [(k, t, "en", "s", 1, 1, "") for k, t in enumerate([*texts, None, "", "long " * 60_000 + items[3][1]])] + [(None, items[0][1], None, None, None, 1, ""), (3, "free", None, None, None, 1, "")])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, matches(docs, bench, limit=n).collect())) for n in (1 << 20, 200))
+    assert one == many and len(one) > 10
+    one, many = (sorted(map(str, drop_contaminated(docs, bench, limit=n).collect())) for n in (1 << 20, 200))
+    assert one == many and 2 < len(one) < 43
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>menu</li></ul></nav>
 <div class="ad">buy</div><article><header><h1>Head &amp; line</h1></header><p><b>One<br>two  three<br><p>Four<div class="comments"><p>me too</p></div></article>
 <div id="site-footer">foot</div></body></html>"""
