@@ -7,9 +7,10 @@ stretch of the curve into full sequences. Its rest is cut at powers of two, so t
 
 Token ids fit 16 bits here. They are made once, by the library of the vocabulary, and stashed. No pre-token of a
 byte-level vocabulary begins before a single space and ends after it, so a text's ids are those of its stretches
-between such spaces: each distinct stretch is encoded once per task and remembered, up to bounds on their number, characters
-and ids. New ones are encoded joined, and told apart again by the byte lengths of the ids. What a task has remembered
-goes when it ends, since Spark keeps its Python workers.
+between such spaces: each distinct stretch is encoded once per task and remembered by a 64-bit hash of its bytes, up to bounds
+on their number and ids. New ones are encoded joined, and told apart again by the byte lengths of the ids. A text
+with other white space beside a blank is encoded in slices that end at safe places. When a task ends, only stretches that came
+again are still remembered, `KEPT` at most (some 5 MB), since Spark keeps its Python workers.
 
 Defined cases: a null or empty text is the closing id alone; rows that repeat a doc_id, or have none, are packed
 one by one; other columns are not read; long documents run over as many sequences as they need.
@@ -19,29 +20,34 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import by_batches, keyed_text, mix, pieces, stash
+from corvid.llm.common import by_batches, keyed_text, mix, pieces, stash, utf8
 
 SEQUENCE = 2048
 CLOSING_ID = 1
 DIMENSIONS = 4
 BITS = 10
 VOCABULARY = "byte_bpe_50k.json"
-#: Remembered stretches, their characters, and ids in a task (some 100 MB at most); beyond any, the memory starts anew.
-MEMORY = 400_000
-MEMORY_CHARACTERS = 8_000_000
-MEMORY_IDS = 2_000_000
-#: Characters of joined stretches that one call encodes.
-JOINED = 1 << 18
+#: Remembered stretches and ids in a task (some 60 MB at most); beyond either, the memory starts anew.
+MEMORY = 1_000_000
+MEMORY_IDS = 8_000_000
+KEPT = 150_000
+#: Bytes of stretches that are joined to one string, and strings that one call encodes.
+JOINED, CALL = 2000, 128
+#: Stretches whose ids are gathered at once.
+GATHERED = 1 << 18
 #: Where a text may be cut: before one space between two characters that are no white space.
 CUT = re.compile(r"(?<=\S)(?= \S)")
+#: The first stretch of a text has no space before it, which makes it another one than its bytes say.
+FIRST = np.uint64(0x5851F42D4C957F2D)
 
 _LOADED: dict[str, Encoder] = {}
 
@@ -53,23 +59,11 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
-class _Codes(dict):
-    """Numbers for keys in the order in which they are first asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
-
-    def __missing__(self, key):
-        self.new.append(key)
-        self[key] = code = len(self)
-        return code
-
-
 class Encoder:
     """ids(texts): what the library gives for each whole text, from remembered stretches.
 
-    A stretch's key is the word after its space, or a tuple of the whole stretch if it must be encoded alone.
+    The table is sorted by key: where a stretch's ids begin, how many they are, whether it may not be joined (white space
+    at an end, or empty; it has no ids then), and how often it was seen.
     """
 
     def __init__(self, path: str):
@@ -79,6 +73,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        if hasattr(self.tok.model, "_resize_cache"):
+            self.tok.model._resize_cache(0)  # stretches are new here: looking for them costs more than it saves
         special = {i for i, t in self.tok.get_added_tokens_decoder().items()}
         names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
         if len(names) > 1 << 16:
@@ -88,69 +84,164 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.code = _Codes()
-        self.characters = 0
-        self.flat = np.empty(0, np.uint16)
-        # by code: where a stretch's ids begin and how many they are; a word that may not be joined has none
-        self.start, self.size, self.odd = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-
-    def _learn(self) -> None:
-        """The ids of all keys that were asked for and are not known."""
-        new, self.code.new = self.code.new, []
-        self.characters += sum(len(k if type(k) is str else k[0]) for k in new)
-        words = [i for i, k in enumerate(new) if type(k) is str and k and not k[0].isspace() and not k[-1].isspace()]
-        alone = [i for i, k in enumerate(new) if type(k) is tuple]
-        joined, sizes, at = [], [], 0
-        while at < len(words):
-            part, total = [], 0
-            while at < len(words) and total <= JOINED:
-                part.append(new[words[at]])
-                total += len(part[-1]) + 1
-                at += 1
-            joined.append(" " + " ".join(part))
-            sizes += map(len, part) if joined[-1].isascii() else (len(w.encode()) for w in part)
-        got = [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast(joined + [new[i][0] for i in alone], add_special_tokens=False)]
+        self.key, self.flat = np.empty(0, np.uint64), np.empty(0, np.uint16)
+        self.start, self.size, self.odd, self.seen = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool), np.empty(0, np.int32)
+
+    def shrink(self) -> None:
+        """Forget the stretches that came once, and more if over `KEPT` are left."""
+        least = 2
+        while (few := self.seen >= least).sum() > KEPT:
+            least *= 2
+        at = np.flatnonzero(few)
+        self.flat, self.key, self.size, self.odd = self._gather(at), self.key[at], self.size[at], self.odd[at]
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.seen = self.seen[at] // 2  # what was seen in earlier tasks counts for less and less
+
+    def _encode(self, strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for k in range(0, len(strings), CALL) for e in self.tok.encode_batch_fast(strings[k : k + CALL], add_special_tokens=False)]
+
+    def _learn(self, raw: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> None:
+        """Stretches raw[start:end] of ascending, unknown keys."""
+        odd = ~first & ((start == end) | _blank_starts(raw, start, end) | _blank_ends(raw, start, end))
+        joint, alone = np.flatnonzero(~first & ~odd), np.flatnonzero(first)
+        size = end[joint] - start[joint] + 1  # with the space before it
+        bounds = np.cumsum(size)
+        text = raw[np.repeat(start[joint] - 1 - bounds + size, size) + np.arange(bounds[-1])] if len(joint) else raw[:0]
+        cuts = [0, *bounds[np.flatnonzero(np.diff(bounds // JOINED))].tolist(), len(text)]
+        joined = [text[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:]) if a < b]
+        got = self._encode(joined + [raw[a:b].tobytes().decode() for a, b in zip(start[alone].tolist(), end[alone].tolist())])
         run = np.concatenate([np.empty(0, np.uint16), *got[: len(joined)]])
         # a stretch ends with the id that ends at its last byte
-        ends = np.searchsorted(np.cumsum(self.bytes_of[run]), np.cumsum(np.array(sizes, np.int64) + 1)) + 1
-        ends = np.concatenate([ends, len(run) + np.cumsum(np.array([len(x) for x in got[len(joined) :]], np.int64))])
-        start, size, odd = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), np.ones(len(new), bool)
-        place = np.array(words + alone, np.int64)
-        size[place] = np.diff(ends, prepend=0)
-        start[place] = len(self.flat) + ends - size[place]
-        odd[place] = False
-        self.start, self.size, self.odd = np.append(self.start, start), np.append(self.size, size), np.append(self.odd, odd)
+        stops = np.searchsorted(np.cumsum(self.bytes_of[run]), bounds) + 1
+        order = np.concatenate([joint, alone, np.flatnonzero(odd)])
+        sizes = np.concatenate([np.diff(stops, prepend=0), np.array([len(x) for x in got[len(joined) :]], np.int64), np.zeros(odd.sum(), np.int64)])
+        begins = np.empty(len(key), np.int64)
+        begins[order] = len(self.flat) + np.cumsum(sizes) - sizes
+        many = np.empty(len(key), np.int32)
+        many[order] = sizes
         self.flat = np.concatenate([self.flat, run, *got[len(joined) :]])
-
-    def _codes(self, keys: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """The codes of all keys in a row, and where each text's keys end."""
-        ends = np.cumsum([len(k) for k in keys], dtype=np.int64)
-        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(keys)), np.int64, int(ends[-1]) if len(ends) else 0)
-        self._learn()
-        return codes, ends
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
+        at = np.searchsorted(self.key, key)
+        self.key, self.start, self.size = np.insert(self.key, at, key), np.insert(self.start, at, begins), np.insert(self.size, at, many)
+        self.odd, self.seen = np.insert(self.odd, at, odd), np.insert(self.seen, at, 0)
+
+    def _gather(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of all stretches in a row."""
+        out = [np.empty(0, np.uint16)]
+        for a in range(0, len(codes), GATHERED):
+            part = codes[a : a + GATHERED]
+            n = self.size[part].astype(np.int64)
+            at = np.cumsum(n)
+            out.append(self.flat[np.repeat(self.start[part] - at + n, n) + np.arange(at[-1])])
+        return np.concatenate(out)
+
+    def _carefully(self, text: str) -> np.ndarray:
+        """The ids of a text in slices of whole stretches."""
+        slices, size = [[]], 0
+        for x in CUT.split(text):
+            if size > JOINED:
+                slices.append([])
+                size = 0
+            slices[-1].append(x)
+            size += len(x)
+        return np.concatenate(self._encode(["".join(x) for x in slices]))
+
+    def ids(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        if not len(texts):
             return []
-        if len(self.code) > MEMORY or self.characters > MEMORY_CHARACTERS or len(self.flat) > MEMORY_IDS:
+        if len(self.key) > MEMORY or len(self.flat) > MEMORY_IDS:
             self.forget()
-        keys = []
-        for t in texts:
-            first, *words = t.split(" ")
-            keys.append([(first,), *words])
-        codes, ends = self._codes(keys)
-        # white space beside a blank: such a text is cut with more care
-        careful = set(np.searchsorted(ends, np.flatnonzero(self.odd[codes]), side="right").tolist())
-        careful |= {i for i, k in enumerate(keys) if len(k) > 1 and (not k[0][0] or k[0][0][-1].isspace())}
-        if careful:
-            for i in careful:
-                first, *words = CUT.split(texts[i])
-                keys[i] = [(first,), *(w[1:] for w in words[:-1]), *((w,) for w in words[-1:])]
-            codes, ends = self._codes(keys)
-        n = self.size[codes]
-        at = np.cumsum(n)
-        out = self.flat[np.repeat(self.start[codes] - at + n, n) + np.arange(at[-1])]
-        return np.split(out, at[ends[:-1] - 1])
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        blob = b" ".join([*utf8(column), b""])
+        raw = np.frombuffer(blob, np.uint8)
+        sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        end = np.flatnonzero(raw == 32)
+        start = np.append(0, end[:-1] + 1)
+        last = np.searchsorted(end, np.cumsum(sizes + 1) - 1) + 1  # of each text, the stretch after its last
+        first = np.zeros(len(end), bool)
+        first[0] = True
+        first[last[:-1]] = True
+        key = stretch_keys(raw, start, end) ^ np.where(first, FIRST, np.uint64(0))
+        distinct, index, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.key, distinct)
+        new = np.append(self.key, np.uint64(0))[at] != distinct
+        new |= at == len(self.key)
+        if new.any():
+            index = index[new]
+            self._learn(raw, distinct[new], start[index], end[index], first[index])
+            at = np.searchsorted(self.key, distinct)
+        self.seen[at] += count.astype(np.int32)
+        codes = at[inverse]
+        n = np.concatenate(([0], np.cumsum(self.size[codes], dtype=np.int64)))
+        out = np.split(self._gather(codes), n[last[:-1]])
+        # white space beside a blank
+        bad = self.odd[codes] | (first & np.append(~first[1:], False) & ((start == end) | _blank_ends(raw, start, end)))
+        for i in set(np.searchsorted(last, np.flatnonzero(bad), side="right").tolist()):
+            out[i] = self._carefully(column[i].as_py())
+        return out
+
+
+def _blank(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether 1, 2 and 3 bytes are a character of white space other than the space, in UTF-8."""
+    one = ((a >= 9) & (a <= 13)) | ((a >= 28) & (a <= 31))
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    general = (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    three = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (general | ((b == 0x81) & (c == 0x9F)))) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    return one, two, three
+
+
+def _blank_starts(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    a, b, c = (raw[np.minimum(start + k, len(raw) - 1)] for k in range(3))
+    one, two, three = _blank(a, b, c)  # what reaches beyond a stretch's end meets the space there
+    return one | two | three
+
+
+def _blank_ends(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    c, b, a = (raw[np.maximum(end - k, 0)] for k in (1, 2, 3))
+    none = np.zeros_like(c)
+    return (end > start) & (_blank(c, none, none)[0] | _blank(b, c, none)[1] | _blank(a, b, c)[2])
+
+
+def stretch_keys(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches raw[start:end], which follow each other with a byte between."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        # so many stretches as fit a segment, one at least
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + SEGMENT)))
+        a, b = int(start[at]), int(end[stop - 1])
+        power, inverse = _powers(b - a + 1)
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_BYTES[raw[a:b]] * power[: b - a], out=total[1:])
+        s, e = start[at:stop] - a, end[at:stop] - a
+        out[at:stop] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * FIRST)
+        at = stop
+    return out
+
+
+#: Bytes that are hashed at once: the arrays stay in a core's cache.
+SEGMENT = 1 << 16
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+@lru_cache(1)
+def _segment_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _make_powers(SEGMENT + 1024)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    power, inverse = _segment_powers() if n <= SEGMENT + 1024 else _make_powers(n)
+    return power[:n], inverse[:n]
+
+
+def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0xA24BAED4963EE407
+    rows = []
+    for b in (base, pow(base, -1, 2**64)):
+        row = np.full(n, np.uint64(b))
+        row[0] = 1
+        rows.append(np.cumprod(row))
+    return rows[0], rows[1]
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -186,18 +277,32 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _signs(vocabulary: int) -> np.ndarray:
-    h = mix(np.arange(1, vocabulary + 1, dtype=np.uint64))
-    return (((h[:, None] >> np.arange(DIMENSIONS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32) * 2) - 1
+def _lanes() -> np.ndarray:
+    """For each id its random signs, one in each 16 bits of a word: 1 for plus, 0 for minus."""
+    h = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+    return sum(((h >> np.uint64(k)) & np.uint64(1)) << np.uint64(16 * k) for k in range(DIMENSIONS))
+
+
+_LANES = _lanes()
+
+
+def _sums(ids: list[np.ndarray]) -> np.ndarray:
+    """Sum of the ids' signs in each dimension, for each document; 2**15 ids at a time, which 16 bits can count."""
+    out = np.zeros((len(ids), DIMENSIONS), np.int64)
+    for row, x in zip(out, ids):
+        for a in range(0, len(x), 1 << 15):
+            some = x[a : a + (1 << 15)]
+            total = int(_LANES[some].sum())
+            row += [2 * (total >> 16 * k & 0xFFFF) - len(some) for k in range(DIMENSIONS)]
+    return out
 
 
 def _encode(path: str):
     def coded(batches, enc: Encoder):
-        signs = _signs(1 << 16)
         for batch in pieces(batches):
-            ids = [np.append(x, np.uint16(CLOSING_ID)) for x in enc.ids([t or "" for t in batch.column("text").to_pylist()])]
+            ids = [np.append(x, np.uint16(CLOSING_ID)) for x in enc.ids(batch.column("text"))]
             n = np.array([len(x) for x in ids])
-            mean = np.stack([_sum(signs, x) for x in ids]) / n[:, None]
+            mean = _sums(ids) / n[:, None]
             grid = np.clip(((np.arctan(6 * mean) / np.pi) + 0.5) * (1 << BITS), 0, (1 << BITS) - 1)
             tie = [zlib.crc32(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
@@ -210,16 +315,11 @@ def _encode(path: str):
         try:
             yield from coded(batches, enc)
         finally:
-            enc.forget()
+            enc.shrink()
 
     return run
 
 
-def _sum(signs: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Sum of the ids' vectors; a very long text is taken in stretches."""
-    return sum((signs[ids[a : a + JOINED]].sum(0, dtype=np.float64) for a in range(0, len(ids), JOINED)), np.zeros(DIMENSIONS))
-
-
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

@@ -119,7 +119,7 @@ def test_remembered_stretches_equal_whole_encoding():
     enc = packing.Encoder(path)
     whole = enc.tok
     rng = random.Random(5)
-    parts = [" ", " ", " ", "  ", "\n", " \n", "\t ", "\x1c", "\u00a0", "\u3000 ", "a", "bc", "it's", "'s", "12", "é", "日本", "\U0001f600", "e\u0301", "<|endoftext|>", "<|end", "!?", "\x00", "…"]
+    parts = [" ", " ", " ", "  ", "\n", " \n", "\t ", "\x1c", "\u00a0", "\u3000 ", "a", "bc", "it's", "'s", "12", "é", "日本", "\U0001f600", "e\u0301", "<|endoftext|>", "<|end", "!?", "\x00", "…", "²", "Ⅷ", "...", "a,", ".b", "|>", "(c)", "\u0301"]
     for _ in range(60):
         texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(50)]
         assert [x.tolist() for x in enc.ids(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
