@@ -1,20 +1,26 @@
 """Main text of web pages by wrapper induction.
 
-1. Each host's exemplar is one of its pages that have text. Every page of the host is aligned with it by simple tree matching (nodes of
-   equal tag, in order, parents with parents), and for each exemplar node with text of its own it is counted
-   how often the aligned node has the same text. Nodes that stay the same on nearly all pages are template; the
-   others are slots.
-2. A page's blocks come from its article (or main) element, or from the whole body where it has neither. Elements
-   that name a page's furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
-   are left out, and so is, outside of an explicit article, text that is template at its place.
-
-Counts are summed per exemplar node before they are exchanged. A host's pages meet its exemplar and its wrapper in
-joins that Spark may split when one host holds a third of all pages; both joins share one shuffle of the pages.
+1. A host's pages are dealt to `LAYOUTS` classes by which structural elements they use, and in each class the page with the
+   smallest hash that has text is the exemplar. Every page is aligned with the exemplar of its class by simple tree
+   matching: nodes of equal tag, in order, parents with parents, so that most nodes are paired. For each exemplar node
+   with text of its own it is counted, over all pages, how often the aligned node has the same text. Counts of equal
+   nodes of a host's exemplars are added up.
+2. Nodes with the same text on nearly all pages are template, inside articles too; the others are slots. A page most of
+   whose main text is the exemplar's is a copy and tells nothing about that (else repeated articles would be template),
+   and neither does a page with few elements at the exemplar's places, which has another layout.
+3. A page's blocks are the slots of its article (or main) element, or of the whole body where it has neither. As
+   furniture may also differ from page to page, elements that name it (menus, headers, footers, sidebars, notices,
+   adverts, forms, comments, related articles, scripts, styles) are left out by element, role, or class and id.
+
+Counts are summed per exemplar node before they are exchanged. A host's pages meet their exemplar and their wrapper in
+joins that Spark may split when one host holds a third of all pages.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as browsers do in broad terms (implied
-ends of p, li, dt, dd, option, tr, td, th; unclosed elements end with their parent); a null url is a host of its own
-name ""; rows that repeat a page_id are answered one by one; a host with one page has no template; other columns
-are not read. No part of a page's text is cut for its length.
+ends of p, li, dt, dd, option, tr, td, th; quotes count only after an equals sign; a tag or quote that never ends takes the
+rest of the page; unclosed elements end with their parent); a null url is a host of its own name ""; rows that repeat a
+page_id are answered one by one; of pages with one hash (repeated rows) any is the exemplar, as they are equal; a host with
+one page has no template; an empty table gives an empty result; other columns are not read, whatever their names. No part of
+a page's text is cut for its length, and no depth of nesting changes what is done.
 """
 
 from __future__ import annotations
@@ -37,46 +43,79 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-FURNITURE = frozenset("nav footer aside form script style noscript template iframe button select textarea svg canvas object dialog menu head title search input label".split())
+FURNITURE = frozenset("nav footer aside form script style noscript template iframe button select textarea input svg canvas object dialog menu head title search".split())
 ENDS_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary", "figcaption"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = frozenset("ul ol dl table select tr body article section div".split())
-#: Class and id words that name furniture.
+#: Words of a class or id that name furniture, if all its other words only say where or what kind of box it is.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay sidebar side aside comment comments reply replies respond disqus related recommended share sharing social nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer newsletter subscribe subscription signup login pagination pager toolbar widget skip".split()
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay sidebar sidebars comment comments reply replies respond disqus related recommended recommendations share sharing social nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer newsletter subscribe subscription signup login pagination pager toolbar topbar widget widgets skip discussion responses".split()
+)
+PLACES = frozenset(
+    "site page global top bottom main left right center inner outer box bar block list section sections wrapper wrap container area region zone slot unit panel row col column item items link links button buttons icon icons form message msg text content body title heading area primary secondary article articles post posts entry story stories news reader readers user users media more also you and the in to by on of by for policy label info warning success error danger thread count author meta small large fixed sticky floating hidden visible desktop mobile js no".split()
 )
+#: A header is the page's, not the article's, if its other words say so.
+HEADERS = frozenset("header head top bar wrapper container inner box section area".split())
+SITES = frozenset("site global masthead nav".split())
+PAGES = frozenset("page main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-HEADERS_INSIDE = frozenset(("article", "main"))
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_WORDS = re.compile(r"[a-z]+")
+#: Elements that tell layouts apart.
+STRUCTURE = ("aside", "main", "article", "section", "ul", "ol", "table", "form")
+
+#: As the HTML standard reads a tag: quotes count only where a value begins.
+_VALUE = r"(?>\s*=\s*(?>\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)"
+_TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[\s/]+|[^\s/>][^\s/>=]*{_VALUE}?)*)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?>\s*=\s*(?>\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*))?)?")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 #: At least so many aligned pages, and this share of them with the same text, make a node template.
 TEMPLATE_PAGES = 3
 TEMPLATE_SHARE = 0.9
-DEEPEST = 200
+#: A page that shares this much of its main text with the exemplar is a copy of it.
+COPY_SHARE = 0.75
+#: A page with less than this share of its places among the exemplar's has another layout.
+LAYOUT_SHARE = 0.5
+#: Classes of layouts that a host's pages are dealt to.
+LAYOUTS = 4
+#: Cells of an alignment's table that are held at once; a larger one is halved until it fits.
+CELLS = 1 << 20
+
+
+def names_furniture(name: str, inside: bool) -> bool:
+    """Whether one class or id names furniture; inside an article a header is furniture only if it is the site's."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    if words & NAMES and words <= NAMES | PLACES:
+        return True
+    more = SITES if inside else SITES | PAGES
+    return "header" in words and words <= HEADERS | more and (not inside or bool(words & SITES))
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "parts", "up", "hidden")
+    __slots__ = ("tag", "names", "role", "parts", "up", "hidden", "shape", "size", "at", "text")
 
     def __init__(self, tag: str, up):
-        self.tag, self.up, self.names, self.role, self.parts, self.hidden = tag, up, frozenset(), "", [], False
+        self.tag, self.up, self.names, self.role, self.parts, self.hidden = tag, up, (), "", [], False
+        self.shape, self.size, self.at, self.text = 0, 1, 0, None
 
     def children(self) -> list[Node]:
-        return [x for x in self.parts if isinstance(x, Node)]
+        return [x for x in self.parts if x.__class__ is Node]
 
     def own_text(self) -> str:
-        return _SPACE.sub(" ", " ".join(x for x in self.parts if isinstance(x, str))).strip()
+        """Its own text nodes, white space made one blank; kept, as nodes do not change once a page is parsed."""
+        if self.text is None:
+            self.text = " ".join(" ".join([x for x in self.parts if x.__class__ is str]).split())
+        return self.text
 
     def furniture(self, inside: bool) -> bool:
+        """Whether the element names itself furniture; the header of an article is not."""
         if self.hidden or self.tag in FURNITURE or self.role in ROLES:
             return True
-        if self.tag == "header":
-            return not inside
-        return self.tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(self.names)
+        if self.tag in ("html", "body", "main"):
+            return False
+        if self.tag == "header" and not inside:
+            return True
+        return any(names_furniture(x, inside) for x in self.names)
 
 
 def parse(page: str) -> Node:
@@ -116,17 +155,16 @@ def parse(page: str) -> Node:
                     now = now.up
         node = Node(tag, now)
         if m[3].strip():
-            words: list[str] = []
-            for name, a, b, c in _ATTRIBUTE.findall(m[3]):
+            names: list[str] = []
+            for name, x, y, z in _ATTRIBUTE.findall(m[3]):
                 name = name.lower()
                 if name in ("class", "id"):
-                    words += _WORDS.findall((a or b or c).lower())
+                    names += entities.unescape(x or y or z).split()
                 elif name == "role":
-                    node.role = (a or b or c).strip().lower()
-                elif name == "aria-hidden" and (a or b or c) == "true":
+                    node.role = (x or y or z).strip().lower()
+                elif name == "hidden" or (name == "aria-hidden" and (x or y or z).lower() == "true"):
                     node.hidden = True
-            node.names = frozenset(words)
-            node.hidden = node.hidden or re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", m[3])) is not None
+            node.names = tuple(names)
         now.parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -137,76 +175,175 @@ def parse(page: str) -> Node:
             now = node
         elif tag not in VOID and tag not in ("svg", "path"):
             now = node  # the slash of a non-void element says nothing
+    _measure(root)
     return root
 
 
-def match(a: Node, b: Node, out: list[tuple[Node, Node]], depth: int = 0) -> None:
-    """Simple tree matching of two nodes of equal tag: append the pairs of a largest mapping.
-
-    Nodes over `DEEPEST` levels down stay unmatched, which makes them slots: their text is never template.
+def _measure(root: Node) -> None:
+    """Of all nodes: size of the subtree, shape (equal for subtrees of equal tags), and place (a hash of the tags and names
+    that lead there, equal on all pages of one layout)."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        if x.up is not None:
+            x.at = xxhash.xxh3_64_intdigest(" ".join((x.tag, *x.names)), x.up.at)
+        stack += [c for c in x.parts if c.__class__ is Node]
+    for x in reversed(order):
+        below = [c for c in x.parts if c.__class__ is Node]
+        x.size = 1 + sum(c.size for c in below)
+        x.shape = hash((x.tag, *(c.shape for c in below)))
+
+
+class Matching:
+    """Simple tree matching: the largest mapping of two trees that keeps tags, order and parents.
+
+    Subtrees of equal shape match whole, so their weight is their size, and equal first or last children can always
+    be paired. What is between is aligned by a table over the children, row by row; weights of pairs of shapes are
+    remembered. Nothing here recurses with the depth of the trees.
     """
-    out.append((a, b))
-    if depth > DEEPEST:
-        return
-    left, right = a.children(), b.children()
-    if not left or not right:
-        return
-    tags = {x.tag for x in left} | {x.tag for x in right}
-    if len(tags) == 1 and not any(x.children() for x in left) and not any(x.children() for x in right):
-        out.extend(zip(left, right))  # leaves of one tag: any order-keeping mapping is largest
-        return
-    # equal beginnings and ends by tag need no table
-    head = 0
-    while head < min(len(left), len(right)) and left[head].tag == right[head].tag:
-        match(left[head], right[head], out, depth + 1)
-        head += 1
-    left, right = left[head:], right[head:]
-    if not left or not right:
-        return
-    made: dict[tuple[int, int], list] = {}
-    best = np.zeros((len(left) + 1, len(right) + 1), np.int64)
-    for i, x in enumerate(left):
-        for j, y in enumerate(right):
-            best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j])
-            if x.tag == y.tag:
-                made[i, j] = pairs = []
-                match(x, y, pairs, depth + 1)
-                best[i + 1, j + 1] = max(best[i + 1, j + 1], best[i, j] + len(pairs))
-    i, j = len(left), len(right)
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            out.extend(made[i - 1, j - 1])
-            i, j = i - 1, j - 1
-
 
-def place(node: Node) -> str:
-    """The path of tags and names that leads to a node; equal on all pages of one layout."""
-    steps = []
-    while node.up is not None:
-        steps.append(node.tag + "".join(f".{x}" for x in sorted(node.names)))
-        node = node.up
-    return ">".join(reversed(steps))
+    def __init__(self, keep: int = 200_000):
+        self.keep, self.known = keep, {}
+
+    def _middle(self, a: Node, b: Node) -> tuple[list[Node], list[Node], list[Node], list[Node], int]:
+        """Both nodes' children, and those without equal ends; how many equal ones come first."""
+        left, right = a.children(), b.children()
+        most = min(len(left), len(right))
+        head = 0
+        while head < most and left[head].shape == right[head].shape:
+            head += 1
+        tail = 0
+        while tail < most - head and left[-1 - tail].shape == right[-1 - tail].shape:
+            tail += 1
+        return left, right, left[head : len(left) - tail], right[head : len(right) - tail], head
+
+    def weight(self, a: Node, b: Node) -> int:
+        """Pairs of the largest mapping of two subtrees with equal tags at the top."""
+        if a.shape == b.shape:
+            return a.size
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if (x.shape, y.shape) in self.known:
+                todo.pop()
+                continue
+            left, right, some, others, _ = self._middle(x, y)
+            need = {}
+            for p in {p.shape: p for p in some}.values():
+                for q in {q.shape: q for q in others}.values():
+                    if p.tag == q.tag and p.shape != q.shape and (p.shape, q.shape) not in self.known:
+                        need[p.shape, q.shape] = (p, q)
+            if need:
+                todo += need.values()
+                continue
+            total = 1 + sum(p.size for p in left) - sum(p.size for p in some)
+            if some and others:
+                total += int(self._row(some, others)[-1])
+            self.known[x.shape, y.shape] = total
+            todo.pop()
+        return self.known[a.shape, b.shape]
+
+    def _table(self, some: list[Node], others: list[Node]):
+        """Row of weights of each node in some with all others."""
+        kinds = {q.shape: q for q in others}
+        codes = {s: k for k, s in enumerate(kinds)}
+        where = np.fromiter((codes[q.shape] for q in others), np.int64, len(others))
+        rows: dict[int, np.ndarray] = {}
+        for p in some:
+            if p.shape not in rows:
+                rows[p.shape] = np.array([0 if p.tag != q.tag else p.size if p.shape == q.shape else self.known[p.shape, q.shape] for q in kinds.values()], np.int64)[where]
+        return rows
+
+    def _row(self, some: list[Node], others: list[Node]) -> np.ndarray:
+        """Best weight of some with each beginning of others."""
+        rows, best = self._table(some, others), np.zeros(len(others) + 1, np.int64)
+        for p in some:
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + rows[p.shape]))
+        return best
+
+    def _aligned(self, some: list[Node], others: list[Node]):
+        """Pairs of a best alignment of children; large tables are halved at a best place."""
+        todo = [(some, others)]
+        while todo:
+            left, right = todo.pop()
+            if not left or not right:
+                continue
+            if len(left) > 1 and len(left) * len(right) > CELLS:
+                half = len(left) // 2
+                ahead = self._row(left[:half], right) + self._row(left[half:][::-1], right[::-1])[::-1]
+                cut = int(ahead.argmax())
+                todo += [(left[:half], right[:cut]), (left[half:], right[cut:])]
+                continue
+            rows = self._table(left, right)
+            best = np.zeros((len(left) + 1, len(right) + 1), np.int64)
+            for i, p in enumerate(left):
+                best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + rows[p.shape]))
+            i, j = len(left), len(right)
+            while i and j:
+                if best[i, j] == best[i - 1, j]:
+                    i -= 1
+                elif best[i, j] == best[i, j - 1]:
+                    j -= 1
+                else:
+                    yield left[i - 1], right[j - 1]
+                    i, j = i - 1, j - 1
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """The pairs of a largest mapping of two trees with equal tags at the top."""
+        if len(self.known) > self.keep:
+            self.known.clear()
+        out, todo = [], [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            out.append((x, y))
+            if x.shape == y.shape:
+                todo += zip(x.children(), y.children())
+                continue
+            self.weight(x, y)
+            left, right, some, others, head = self._middle(x, y)
+            todo += zip(left[:head], right[:head])
+            todo += zip(left[head + len(some) :], right[head + len(others) :])
+            todo += self._aligned(some, others)
+        return out
+
+
+def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    return Matching().pairs(a, b)
 
 
 def mark(node: Node, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{place(node)}\x00{text}") - 2**63
+    """What names a text at a place."""
+    return xxhash.xxh3_64_intdigest(text, node.at) - 2**63
+
+
+def _tops(root: Node) -> tuple[list[Node], bool]:
+    """The elements that hold the main text, and whether the page names them."""
+    found = _outermost(root, "article") or _outermost(root, "main") or [x for x in _all(root) if x.role == "main"][:1]
+    return found or [root], bool(found)
 
 
 def body_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    root = parse(page)
-    tops = _outermost(root, "article") or _outermost(root, "main") or [x for x in _all(root) if x.role == "main"][:1]
+    tops, named = _tops(parse(page))
     blocks: list[str] = []
-    for top in tops or [root]:
+    for top in tops:
         line: list[str] = []
-        _walk(top, bool(tops), frozenset() if tops else template, line, blocks)
+        _walk(top, named, template, line, blocks)
         _close(line, blocks)
     return "\n\n".join(blocks)
 
 
+def _main_nodes(root: Node) -> list[Node]:
+    """The elements of the main text that are no furniture."""
+    tops, named = _tops(root)
+    out, stack = [], list(tops)
+    while stack:
+        x = stack.pop()
+        out.append(x)
+        stack += [c for c in x.children() if not c.furniture(named)]
+    return out
+
+
 def _all(node: Node):
     stack = [node]
     while stack:
@@ -216,15 +353,15 @@ def _all(node: Node):
 
 
 def _outermost(node: Node, tag: str) -> list[Node]:
-    found, stack = [], [(node, False)]
+    found, stack = [], [node]
     while stack:
-        x, inside = stack.pop()
+        x = stack.pop()
+        if x.up is not None and x.furniture(False):
+            continue
         if x.tag == tag:
             found.append(x)
             continue
-        if x.up is not None and x.furniture(inside):
-            continue
-        stack.extend((c, inside) for c in reversed(x.children()))
+        stack.extend(reversed(x.children()))
     return found
 
 
@@ -262,23 +399,36 @@ def _walk(top: Node, inside: bool, template: frozenset[int], line: list[str], bl
 
 
 class _Exemplars:
-    """The last parsed exemplars of this task."""
+    """The last parsed exemplars of this task, with their places."""
 
     def __init__(self, keep: int = 256):
         self.keep, self.known = keep, OrderedDict()
 
-    def get(self, page: str) -> Node:
-        key = xxhash.xxh3_64_intdigest(page)
+    def get(self, page: str) -> tuple[Node, set[int]]:
+        key = xxhash.xxh3_128_intdigest(page)
         if key not in self.known:
-            self.known[key] = parse(page)
+            root = parse(page)
+            self.known[key] = root, {x.at for x in _all(root)}
             if len(self.known) > self.keep:
                 self.known.popitem(last=False)
         self.known.move_to_end(key)
         return self.known[key]
 
 
+def told(model: Node, places: set[int], page: Node, matching: Matching) -> list[tuple[Node, str, bool]]:
+    """(exemplar node, its text, whether the page has the same there), if the page tells something about the template."""
+    own = {x.at for x in _all(page)}
+    if len(own & places) < LAYOUT_SHARE * len(own):
+        return []
+    found = [(a, b, text, text == b.own_text()) for a, b in matching.pairs(model, page) if a.up is not None and (text := a.own_text())]
+    main = {id(x): len(x.own_text()) for x in _main_nodes(page)}
+    if sum(main.get(id(b), 0) for _, b, _, same in found if same) >= COPY_SHARE * max(1, sum(main.values())):
+        return []
+    return [(a, text, same) for a, _, text, same in found]
+
+
 def _align(batches):
-    trees = _Exemplars()
+    trees, matching = _Exemplars(), Matching()
     seen: dict[tuple[str, int], list[int]] = {}
 
     def out():
@@ -288,13 +438,10 @@ def _align(batches):
 
     for batch in pieces(batches, "html"):
         for host, page, model in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "exemplar"))):
-            pairs: list[tuple[Node, Node]] = []
-            match(trees.get(model or ""), parse(page or ""), pairs)
-            for a, b in pairs:
-                if a.up is not None and (text := a.own_text()):
-                    count = seen.setdefault((host, mark(a, text)), [0, 0])
-                    count[0] += 1
-                    count[1] += text == b.own_text()
+            for node, text, same in told(*trees.get(model or ""), parse(page or ""), matching):
+                count = seen.setdefault((host, mark(node, text)), [0, 0])
+                count[0] += 1
+                count[1] += same
         if len(seen) > 200_000:
             yield out()
     if seen:
@@ -316,19 +463,22 @@ def _afresh(name: str) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, marks): the marks of the template nodes of each host that has some. pages: host, page_id, html."""
-    told = F.col("html").rlike(r">\s*[^<\s]")  # a page without text has no nodes to learn from
-    exemplar = pages.groupBy("host").agg(F.min(F.when(told, F.struct("page_id", "html"))).alias("x")).select(_afresh("host"), F.col("x.html").alias("exemplar"))
-    counts = pages.join(exemplar, "host").transform(by_batches, _align, "host string, mark long, n long, same long")
+    """(host, layout, marks): the marks of the template nodes of each host that has some. pages: host, layout, html."""
+    told_ = F.col("html").rlike(r">\s*[^<\s]")  # a page without text has no nodes to learn from
+    exemplar = pages.groupBy("host", "layout").agg(F.min(F.when(told_, F.struct(F.xxhash64("html"), "html"))).alias("x")).select(_afresh("host"), "layout", F.col("x.html").alias("exemplar"))
+    counts = pages.join(exemplar, ["host", "layout"]).transform(by_batches, _align, "host string, mark long, n long, same long")
     total = counts.groupBy("host", "mark").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
     fixed = total.where((F.col("n") >= TEMPLATE_PAGES) & (F.col("same") >= TEMPLATE_SHARE * F.col("n")))
-    return fixed.groupBy("host").agg(F.collect_list("mark").alias("marks")).select(_afresh("host"), "marks")
+    every = F.explode(F.sequence(F.lit(0), F.lit(LAYOUTS - 1))).alias("layout")  # so that both joins can use one exchange of the pages
+    return fixed.groupBy("host").agg(F.collect_list("mark").alias("marks")).select(_afresh("host"), every, "marks")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
+    bits = sum((F.when(F.contains(F.col("html"), F.lit(f"<{tag}")), F.lit(1 << k)).otherwise(0) for k, tag in enumerate(STRUCTURE)), F.lit(0))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
         F.lower(F.coalesce(F.regexp_extract("url", r"^\w+://([^/?#:]+)", 1), F.lit(""))).alias("host"),
-    )
-    return rows.join(wrappers(rows), "host", "left").transform(by_batches, _extract, "page_id long, url string, text string, n_chars long")
+    ).withColumn("layout", F.coalesce(F.pmod(F.xxhash64(bits), F.lit(LAYOUTS)).cast("int"), F.lit(0)))
+    # a layout that cannot be null needs no filter in either join, so both use one exchange
+    return rows.join(wrappers(rows), ["host", "layout"], "left").transform(by_batches, _extract, "page_id long, url string, text string, n_chars long")

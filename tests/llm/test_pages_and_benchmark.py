@@ -1,6 +1,7 @@
 import random
 
 from corvid.llm.decontaminate import Matcher, drop_contaminated, item_blocks, matches, myers, normal
+from corvid.llm import html_extract
 from corvid.llm.html_extract import body_text, extract, match, parse
 from tests.llm.cases import frame
 
@@ -84,9 +85,99 @@ def test_body():
 
 def test_match_is_largest():
     a, b = parse("<div><p>1</p><ul><li>2</li></ul><p>3</p></div>"), parse("<div><ul><li>2</li></ul><p>3</p><p>4</p></div>")
-    pairs = []
-    match(a, b, pairs)
-    assert len(pairs) == 5  # root, div, ul, li, p
+    assert len(match(a, b)) == 5  # root, div, ul, li, p
+    a, b = parse("<div><i>1</i></div><div><p>2</p><p>3</p><p>4</p></div>"), parse("<div><p>2</p><p>3</p><p>4</p></div>")
+    assert len(match(a, b)) == len(match(b, a)) == 5  # a div in front costs nothing
+
+
+def largest(a, b):
+    """Pairs of the largest mapping, by the textbook recursion."""
+    left, right = a.children(), b.children()
+    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (largest(x, y) if x.tag == y.tag else 0))
+    return 1 + best[-1][-1]
+
+
+def test_match_against_recursion(monkeypatch):
+    rng = random.Random(6)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if rng.random() < 0.7 else 'x'}</{t}>" for t in (rng.choice(["div", "b", "i"]) for _ in range(rng.randint(0, 4)))) if depth else ""
+
+    for cells in (html_extract.CELLS, 2):
+        monkeypatch.setattr(html_extract, "CELLS", cells)
+        for _ in range(150):
+            a, b = parse(tree(4)), parse(tree(4))
+            pairs = match(a, b)
+            assert len(pairs) == largest(a, b)
+            assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+            to = {id(x): y for x, y in pairs}
+            at = lambda n: [id(c) for c in n.children()]
+            for x, y in pairs:  # parents with parents, in order
+                assert x.tag == y.tag and (x.up is None or to[id(x.up)] is y.up)
+                order = [at(y).index(id(to[c])) for c in at(x) if c in to]
+                assert order == sorted(order)
+
+
+def test_match_of_deep_and_wide_trees():
+    a, b = parse("<div>" * 4000 + "<p>x"), parse("<div>" * 4000 + "<b>x")
+    assert len(match(a, b)) == 4001
+    wide = lambda tags: parse("".join(f"<{t}>1</{t}>" for t in tags))
+    a, b = wide(["p", "b"] * 900), wide(["b", "p"] * 900)
+    assert len(match(a, b)) == 1800
+
+
+def test_what_browsers_read_and_what_names_furniture():
+    body = lambda x: body_text(f"<body><article>{x}</article></body>")
+    assert body('One <a href="x" title="5" tall">link</a> and <b>') == "One link and"
+    assert body("It<a href='x>y") == "It" and body("a < b <!-- c --!> d </> e") == "a < b d e"
+    assert body_text('<article>Main<article class="comment">reader</article></article><article class="related">more</article>') == "Main"
+    assert body('<h1 class="article-header">Title</h1><p class="share-price">Up 3</p><div class="side">by side</div><label>name</label>') == "Title\n\nUp 3\n\nby side\n\nname"
+    for name in "comments reader-comments share-buttons advert site-header ad-slot cookie-banner relatedPosts newsletter-signup post-comments sidebar".split():
+        assert body(f"<p>text</p><div class='x {name}'>no</div>") == "text", name
+        assert body(f"<p>text</p><div id={name}>no</div>") == "text", name
+    for name in "article-header post-header header story-body noticeable comment-free menu-del-dia".split():
+        assert body(f"<div class='{name}'>yes</div>") == "yes", name
+    assert body_text("<header>site</header><div class='page-header'>top</div><p>text</p><p hidden>no</p><div role=navigation>no</div>") == "text"
+
+
+def _texts(spark, pages):
+    out = extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(out) == len(pages)
+    return {r.page_id: r.text for r in out}
+
+
+def test_wrapper_decides_inside_articles(spark):
+    """Without the wrapper the constant lines would be part of each text."""
+    page = "<html><body><article><h1>Title {0}</h1><p>First of {0}, with words</p><p>Thank you for reading</p><p>More {0}<b>Save this</b></p>{1}</article></body></html>"
+    pages = [(k, f"http://a.example/{k}", page.format(f"n{k}", f"<ul><li>e{k}</li></ul>" * (k % 3))) for k in range(30)]
+    got = _texts(spark, pages)
+    for k, _, html in pages:
+        assert "Thank you for reading" in body_text(html) and "Save this" in body_text(html)
+        assert got[k] == "\n\n".join([f"Title n{k}", f"First of n{k}, with words", f"More n{k}", *[f"e{k}"] * (k % 3)])
+    # one page of a host has no template, and neither have copies of one article
+    copy = [(k, f"http://b.example/{k}", pages[0][2]) for k in range(20)] + [(50, "http://c.example/", pages[1][2])]
+    assert all(t == body_text(html) for (k, _, html), t in zip(copy, (_texts(spark, copy)[k] for k, *_ in copy)))
+
+
+def test_layouts_of_a_host_have_their_own_exemplars(spark):
+    one = "<body><article><p>Start of series one</p><p>Own words of {0}</p></article></body>"
+    two = "<body><main><table><tr><td>Facts and figures</td></tr><tr><td>Value {0} here</td></tr></table></main></body>"
+    three = "<body><section><h1>Heading {0}</h1><ol><li>Our usual list</li><li>entry {0}</li></ol></section></body>"
+    got = _texts(spark, [(k, f"http://a.example/{k}", (one, two, three)[k % 3].format(f"n{k}")) for k in range(45)])
+    classes = {0: ("Own words of n{0}",), 1: ("Value n{0} here",), 2: ("Heading n{0}", "entry n{0}")}
+    assert sum(got[k] == "\n\n".join(classes[k % 3]).format(k) for k in got) >= 30  # layouts may share a class by their hash
+
+
+def test_repeated_and_tied_pages(spark):
+    page = lambda k: f"<div><p>Welcome to our site</p><p>story {k} with its own words</p></div>"
+    rows = [(1, "http://h.example/1", page(k)) for k in range(8)] + [(1, "http://h.example/1", page(3))] * 3
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.text for r in out) == sorted(f"story {k} with its own words" for k in [*range(8), 3, 3, 3])
+    long = "<article><p>" + "word " * 300_000 + "</p></article>"
+    assert _texts(spark, [(1, "http://x.example", long), (2, "http://x.example", long)])[1] == ("word " * 300_000).strip()
 
 
 def test_wrapper_drops_what_is_constant(spark):
