@@ -69,12 +69,21 @@ class Analyzer:
             c = F.filter(c, lambda t: ~F.array_contains(stops, t))
         return c
 
+    @property
+    def stops(self) -> frozenset[str]:
+        """The words that are dropped: compared with tokens that are not stemmed, but stemmed themselves."""
+        return self._stops
+
+    def words(self, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, term) with one row per occurrence, before stemming."""
+        return texts.select(F.col(id_col), F.explode(self.tokens(F.col(text_col))).alias("term"))
+
+    def stems(self, vocabulary: DataFrame) -> DataFrame:
+        """(term, stem) of distinct terms."""
+        return vocabulary.mapInPandas(stem_batches(get_stemmer(self.stemmer)), "term string, stem string")
+
     def terms(self, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, term) with one row per occurrence."""
-        rows = texts.select(F.col(id_col), F.explode(self.tokens(F.col(text_col))).alias("term"))
-        stemmer = get_stemmer(self.stemmer)
-        if stemmer is None:
-            return rows
-        # each distinct word is stemmed once; words outnumber distinct ones by far
-        stems = rows.select("term").distinct().mapInPandas(stem_batches(stemmer), "term string, stem string")
-        return rows.join(stems, "term").select(id_col, F.col("stem").alias("term"))
+        rows = self.words(texts, id_col, text_col)
+        # for tables of queries and other small ones; large ones are counted before they are stemmed
+        return rows if self.stemmer is None else rows.join(self.stems(rows.select("term").distinct()), "term").select(id_col, F.col("stem").alias("term"))

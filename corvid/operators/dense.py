@@ -13,6 +13,8 @@ from corvid.operators.scoring import top_k
 
 #: Queries that one task holds at once; more are taken in blocks of this many.
 QUERY_BLOCK = 4096
+#: Scores that are held at once (some 60 MB, with their order).
+CELLS = 1 << 21
 #: Share of an inverted file's cells that a query looks into: vectors without clusters lie near many cells.
 PROBED = 0.7
 
@@ -50,12 +52,14 @@ def exact_top_k(docs: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
                 f = f[f["vector"].notna()]
                 if f.empty:
                     continue
-                close = np.round(points @ np.stack(f["vector"].to_numpy()).T, 6)
-                doc = f["doc_id"].to_numpy()
-                n = min(k, close.shape[1])
-                place = doc if doc.dtype != object else pd.factorize(doc, sort=True)[0]
-                order = np.lexsort((np.broadcast_to(place, close.shape), -close), axis=1)[:, :n]
-                yield pd.DataFrame({"q_id": np.repeat(ids, n), "doc_id": doc[order].ravel(), "score": np.take_along_axis(close, order, 1).ravel()})
+                # by doc_id, so that a stable order of scores puts ties in theirs
+                f = f.sort_values("doc_id", kind="stable")
+                doc, vectors = f["doc_id"].to_numpy(), np.stack(f["vector"].to_numpy())
+                n, step = min(k, len(doc)), max(1, CELLS // len(doc))
+                for a in range(0, len(points), step):
+                    close = np.round(points[a : a + step] @ vectors.T, 6)
+                    order = np.argsort(-close, axis=1, kind="stable")[:, :n]
+                    yield pd.DataFrame({"q_id": np.repeat(ids[a : a + step], n), "doc_id": doc[order].ravel(), "score": np.take_along_axis(close, order, 1).ravel()})
 
         return rows.mapInPandas(run, schema)
 
@@ -97,11 +101,19 @@ def ivf_assign(vectors: DataFrame, centroids: np.ndarray, id_col: str, probes: i
     return rows.mapInPandas(run, f"{id_col} {kind}, vector array<double>, cell array<int>").select(id_col, "vector", F.explode("cell").alias("cell"))
 
 
+def ivf_lists(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """(doc_id, vector, cell): the inverted file, to be written once (by cell) and searched often."""
+    return ivf_assign(docs, centroids, "doc_id").repartition("cell").sortWithinPartitions("cell", "doc_id")
+
+
 def ivf_top_k(docs: DataFrame, queries: DataFrame, k: int = 100, probes: int | None = None, centroids: np.ndarray | None = None) -> DataFrame:
-    """Approximate top-k: exact scores within the queries' nearest cells, `PROBED` of all unless `probes` says how many."""
+    """Approximate top-k: exact scores within the queries' nearest cells, `PROBED` of all unless `probes` says how many.
+
+    docs: (doc_id, vector), or an inverted file of `ivf_lists` with the centroids it was made with.
+    """
     centroids = cells(docs) if centroids is None else centroids
     probes = probes or max(8, math.ceil(PROBED * len(centroids)))
-    d = ivf_assign(docs, centroids, "doc_id")
+    d = docs if "cell" in docs.columns else ivf_assign(docs, centroids, "doc_id")
     q = ivf_assign(queries, centroids, "q_id", probes).withColumnRenamed("vector", "query")
     return top_k(d.join(q, "cell").select("q_id", "doc_id", F.round(dot(F.col("vector"), F.col("query")), 6).alias("score")), k)
 

@@ -92,11 +92,15 @@ def parse_filters(filters: Mapping[str, Any], schema: Mapping[str, str], clause:
     return out
 
 
+def conditions(query: Mapping[str, Any], schema: Mapping[str, str]) -> list[tuple[str, str, Any, str | None]]:
+    """(field, clause, value, operator) of a query's `where`, `where_not` and bare fields."""
+    rest = {k: v for k, v in query.items() if k not in ("text", "where", "where_not")}
+    return parse_filters(query.get("where") or {}, schema) + parse_filters(query.get("where_not") or {}, schema, "must not") + parse_filters(rest, schema)
+
+
 def compile_query(query: Mapping[str, Any], schema: Mapping[str, str]) -> tuple[str | None, Column | None]:
     """(text, condition) of a query: `where`, `where_not` and bare fields are joined by and; without any, no condition."""
-    rest = {k: v for k, v in query.items() if k not in ("text", "where", "where_not")}
-    specs = parse_filters(query.get("where") or {}, schema) + parse_filters(query.get("where_not") or {}, schema, "must not") + parse_filters(rest, schema)
-    parts = [predicate(schema, name, clause, value, operator) for name, clause, value, operator in specs]
+    parts = [predicate(schema, name, clause, value, operator) for name, clause, value, operator in conditions(query, schema)]
     return query.get("text"), reduce(Column.__and__, parts) if parts else None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +27,19 @@ def spread(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, analyzer: Analyzer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, doc_id, tf). Partial counts are made before the exchange."""
-    terms = analyzer.terms(spread(docs.select(id_col, text_col)), id_col, text_col).withColumnRenamed(id_col, "doc_id")
+    """(term, doc_id, tf). Partial counts are made before the exchange; words are stemmed after they are counted."""
+    words = analyzer.words(spread(docs.select(id_col, text_col)), id_col, text_col).withColumnRenamed(id_col, "doc_id")
     # the null filters that some of the uses would add stand in all of them, so that all share one exchange
-    return terms.where("term is not null and doc_id is not null").groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
+    return stemmed(words.where("term is not null and doc_id is not null").groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf")), analyzer)
+
+
+def stemmed(counts: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """Counts of words as counts of their stems; each distinct word is stemmed once."""
+    if analyzer.stemmer is None:
+        return counts
+    # the vocabulary is read off the counts (with tf, which their other use reads too), so the texts are analysed once
+    stems = analyzer.stems(counts.where("tf > 0").select("term").distinct())
+    return counts.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("tf").cast("int").alias("tf"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -66,25 +75,34 @@ def build_index(docs: DataFrame, analyzer: Analyzer = Analyzer(), min_df: int |
     return derive(postings, stats, ids)
 
 
+def _lay(postings: DataFrame, path: str) -> None:
+    """Postings in files by ranges of (term, doc_id): a common term's list spreads over many, and rare ones share few."""
+    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+
+
 def persist_index(docs: DataFrame, path: str, analyzer: Analyzer = Analyzer(), min_df: int | float = 1, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Build and write an index. Texts are analysed once: the statistics are derived from the written postings, which lie
-    by term, so that a query reads few row groups of few files."""
+    """Build and write an index. Texts are analysed once: the statistics are derived from the written postings. These lie by
+    ranges of terms, so that a filter on a query's terms reads few row groups (`scored_postings`)."""
     if min_df <= 0:
         raise ValueError("min_df must be positive")
     spark = docs.sparkSession
     ids = docs.select(F.col(id_col).alias("doc_id"))
-    counts = term_counts(docs, analyzer, id_col, text_col)
+    words = replace(analyzer, stemmer=None, stopwords=analyzer.stops)
     pruned = min_df != 1 or isinstance(min_df, float)
-    first = f"{path}/counts" if pruned else f"{path}/postings"
-    counts.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(first)
-    written = spark.read.parquet(first)
-    stats = kept_terms(document_frequency(written), ids, min_df)
-    stats.write.mode("overwrite").parquet(f"{path}/term_stats")
+    first = f"{path}/counts"
+    if pruned or analyzer.stemmer is not None:
+        term_counts(docs, words, id_col, text_col).write.mode("overwrite").parquet(first)
+        counts = stemmed(spark.read.parquet(first), analyzer)
+    else:
+        counts = term_counts(docs, words, id_col, text_col)
+    if not pruned:
+        _lay(counts, f"{path}/postings")
+        counts = spark.read.parquet(f"{path}/postings")
+    kept_terms(document_frequency(counts), ids, min_df).write.mode("overwrite").parquet(f"{path}/term_stats")
     stats = spark.read.parquet(f"{path}/term_stats")
     if pruned:
-        written.join(stats, "term", "left_semi").repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        written = spark.read.parquet(f"{path}/postings")
-    index = derive(written, stats, ids)
+        _lay(counts.join(stats, "term", "left_semi"), f"{path}/postings")
+    index = derive(spark.read.parquet(f"{path}/postings"), stats, ids)
     index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
     lengths = spark.read.parquet(f"{path}/doc_stats")
     lengths.agg(F.count("*").alias("n_docs"), (F.sum("doc_len") / F.count("*")).alias("avg_len")).write.mode("overwrite").parquet(f"{path}/totals")

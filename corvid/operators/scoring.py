@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from corvid.analysis.analyzer import Analyzer
 from corvid.operators.index import Index
 
 
+#: So many distinct terms of queries are looked for by a filter on the postings; more by a join.
+FEW_TERMS = 100
+
+
 def query_terms(queries: DataFrame, analyzer: Analyzer, id_col: str = "q_id", text_col: str = "text") -> DataFrame:
     """(q_id, term, qtf): a term that a query repeats counts as often."""
     return analyzer.terms(queries, id_col, text_col).withColumnRenamed(id_col, "q_id").groupBy("q_id", "term").agg(F.count("*").alias("qtf"))
@@ -38,6 +44,18 @@ def scored_postings(index: Index, terms: DataFrame) -> DataFrame:
     return index.postings.join(wanted, "term").join(index.doc_stats, "doc_id").join(F.broadcast(index.totals))
 
 
+def only_terms(index: Index, terms: list[str]) -> Index:
+    """The index as far as these terms go; a written one, which lies by term, is read only at their row groups."""
+    any_ = reduce(Column.__or__, (F.col("term") == F.lit(t) for t in terms)) if terms else F.lit(False)
+    return Index(index.postings.where(any_), index.term_stats.where(any_), index.doc_stats, index.totals)
+
+
+def few_terms(queries: DataFrame, analyzer: Analyzer) -> list[str] | None:
+    """The distinct terms of queries, or None if there are more than `FEW_TERMS`."""
+    found = analyzer.terms(queries, "q_id", "text").select("term").distinct().limit(FEW_TERMS + 1).collect()
+    return [r.term for r in found] if len(found) <= FEW_TERMS else None
+
+
 def score(index: Index, terms: DataFrame, weight: Column, operator: str = "OR", subset: DataFrame | None = None) -> DataFrame:
     """(q_id, doc_id, score) of all matching documents.
 

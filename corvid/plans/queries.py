@@ -415,7 +415,10 @@ for _metric, _value in _VALUES.items():
 
 @_register()
 def autotune_bm25_grid(spark, d):
-    relevant = _docs(spark, d).join(_asked(spark, d).withColumnRenamed("text", "q"), F.expr("contains(text, q)")).select("q_id", "doc_id", F.lit(1).alias("rel"))
+    # a document that holds a query's text has its longest inner word: that joins, and only what meets is searched
+    asked = _asked(spark, d).withColumnRenamed("text", "q").withColumn("w", F.expr("array_max(transform(slice(split(q, ' '), 2, greatest(size(split(q, ' ')) - 2, 0)), x -> struct(length(x) as n, x as x))).x"))
+    words = _docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
+    relevant = words.join(asked.where("w is not null"), "w").where(F.expr("contains(text, q)")).select("q_id", "doc_id", F.lit(1).alias("rel"))
     return evaluation.tune_bm25(build_index(_docs(spark, d)), _asked(spark, d), relevant, PLAIN, "ndcg@10", [0.0, 0.5, 1.0], [0.5, 1.5], 10)
 
 

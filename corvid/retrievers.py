@@ -40,7 +40,8 @@ class _Retriever:
         self.id_col, self.text_col = "id", "text"
 
     def _store(self, docs: DataFrame) -> DataFrame:
-        docs.write.mode("overwrite").parquet(self.folder.table("docs"))
+        # sorted within files, so that a lookup by id reads few row groups
+        docs.sortWithinPartitions(self.id_col).write.mode("overwrite").parquet(self.folder.table("docs"))
         self.docs = self.spark.read.parquet(self.folder.table("docs"))
         return self.docs
 
@@ -119,8 +120,10 @@ class SparseRetriever(_Retriever):
         return self
 
     def msearch(self, queries, cutoff: int = 100, operator: str = "OR", subset: DataFrame | None = None) -> DataFrame:
-        c = self.config
-        return scoring.search(self.tables, _queries(self.spark, queries), self.analyzer, c.model, c.b, c.k1, cutoff, operator, subset)
+        c, asked, tables = self.config, _queries(self.spark, queries), self.tables
+        if not isinstance(queries, DataFrame) and (terms := scoring.few_terms(asked, self.analyzer)) is not None:
+            tables = scoring.only_terms(tables, terms)
+        return scoring.search(tables, asked, self.analyzer, c.model, c.b, c.k1, cutoff, operator, subset)
 
     def search(self, query: str, return_docs: bool = True, cutoff: int = 100) -> DataFrame:
         return self._results(self.msearch(query, cutoff), return_docs)
@@ -154,13 +157,18 @@ class DenseRetriever(_Retriever):
         docs = self._store(apply_callback(from_rows(self.spark, collection), callback, callback_schema))
         made = embeddings if embeddings is not None else dense.encode(docs, self.encoder, self.id_col, self.text_col, self.normalize)
         made.select(F.col(made.columns[0]).alias("doc_id"), F.col(made.columns[1]).alias("vector")).write.mode("overwrite").parquet(self.folder.table("vectors"))
-        self.folder.write_meta({"normalize": self.normalize, "use_ann": self.use_ann, "centroids": dense.cells(self.spark.read.parquet(self.folder.table("vectors"))).tolist() if self.use_ann else None})
+        vectors, centroids = self.spark.read.parquet(self.folder.table("vectors")), None
+        if self.use_ann:  # the inverted file is made once, and only read by searches
+            centroids = dense.cells(vectors)
+            dense.ivf_lists(vectors, centroids).write.mode("overwrite").parquet(self.folder.table("lists"))
+        self.folder.write_meta({"normalize": self.normalize, "use_ann": self.use_ann, "centroids": None if centroids is None else centroids.tolist()})
         return self._open()
 
     def _open(self):
         meta = self.folder.read_meta()
         self.docs, self.vectors = self.spark.read.parquet(self.folder.table("docs")), self.spark.read.parquet(self.folder.table("vectors"))
         self.normalize, self.use_ann, self.centroids = meta["normalize"], meta["use_ann"], meta["centroids"]
+        self.lists = self.spark.read.parquet(self.folder.table("lists")) if self.use_ann else None
         return self
 
     @classmethod
@@ -173,7 +181,7 @@ class DenseRetriever(_Retriever):
         asked = _queries(self.spark, queries)
         vectors = asked if "vector" in asked.columns else dense.encode(asked, self.encoder, "q_id", "text", self.normalize)
         if self.use_ann:
-            return dense.ivf_top_k(self.vectors, vectors, cutoff, centroids=np.array(self.centroids))
+            return dense.ivf_top_k(self.lists, vectors, cutoff, centroids=np.array(self.centroids))
         return dense.exact_top_k(self.vectors, vectors, cutoff)
 
     def search(self, query: str, return_docs: bool = True, cutoff: int = 100) -> DataFrame:
@@ -185,6 +193,14 @@ class Merger:
     norm: str = "min-max"
     weights: list[float] = field(default_factory=lambda: [1.0, 1.0])
 
+    def save(self, spark: SparkSession, name: str, base_path: str | None = None) -> Merger:
+        IndexFolder(spark, base_path or _BASE["path"], name).write_meta(asdict(self))
+        return self
+
+    @classmethod
+    def load(cls, spark: SparkSession, name: str, base_path: str | None = None) -> Merger:
+        return cls(**IndexFolder(spark, base_path or _BASE["path"], name).read_meta())
+
     def fuse(self, runs: list[DataFrame], cutoff: int = 100) -> DataFrame:
         return fusion.fuse(runs, self.norm, self.weights, cutoff)
 
@@ -267,12 +283,23 @@ class AdvancedRetriever(SparseRetriever):
         self.docs, self.tables = spark.read.parquet(self.folder.table("docs")), load_index(spark, self.folder.path)
         return self
 
-    def search(self, query: str | Mapping[str, Any], return_docs: bool = True, cutoff: int = 100, operator: str = "OR", subset_doc_ids: list | None = None) -> DataFrame:
-        """A query without usable terms gives every document that passes the filters, at score 1 and without a cutoff."""
+    def filter_docs(self, query: Mapping[str, Any], strict: bool = False) -> DataFrame:
+        """The documents that pass; strict: a keyword value that no document has is an error."""
+        if strict:
+            for name, _, value, _ in filters.conditions(query, self.schema):
+                if self.schema.get(name) == "keyword":
+                    filters.check_keyword(self.docs, name, value)
+        return filters.filter_documents(self.docs, self.schema, query)
+
+    def search(self, query: str | Mapping[str, Any], return_docs: bool = True, cutoff: int = 100, operator: str = "OR", subset_doc_ids: list | None = None, strict: bool = False) -> DataFrame:
+        """A query without usable terms gives every document that passes the filters, at score 1, by id and without a cutoff.
+
+        All of these tie, so their rank is 1 and nothing is sorted in one task.
+        """
         text, condition = (query, None) if isinstance(query, str) else filters.compile_query(query, self.schema)
         subset = None
         if condition is not None or subset_doc_ids is not None:
-            passing = self.docs if condition is None else self.docs.where(condition)
+            passing = self.docs if condition is None else self.filter_docs({k: v for k, v in query.items() if k != "text"}, strict)
             if subset_doc_ids is not None:
                 passing = passing.where(F.col(self.id_col).isin(list(subset_doc_ids)))
             subset = passing.select(F.col(self.id_col).alias("doc_id"))
@@ -280,8 +307,9 @@ class AdvancedRetriever(SparseRetriever):
         if text is not None and self.tables is not None:
             known = scoring.query_terms(_queries(self.spark, text), self.analyzer).join(self.tables.term_stats, "term", "left_semi").limit(1).count()
         if known:
-            run = self.msearch(text, cutoff, operator, subset)
-        else:
-            every = subset if subset is not None else self.docs.select(F.col(self.id_col).alias("doc_id"))
-            run = scoring.top_k(every.select(F.lit("q").alias("q_id"), "doc_id", F.lit(1.0).alias("score")), 2**31 - 1)
-        return self._results(run, return_docs)
+            return self._results(self.msearch(text, cutoff, operator, subset), return_docs)
+        every = passing if subset is not None else self.docs
+        tied = [F.lit("q").alias("q_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank")]
+        if return_docs:
+            return every.select(*tied, "*").orderBy(self.id_col)
+        return every.select(tied[0], F.col(self.id_col).alias("doc_id"), *tied[1:]).orderBy("doc_id")

@@ -59,19 +59,39 @@ def get_doc(docs: DataFrame, id_: object, id_col: str = "doc_id") -> DataFrame:
     return docs.where(F.col(id_col) == F.lit(id_))
 
 
+def with_position(docs: DataFrame, name: str = "position") -> DataFrame:
+    """The rows with their place in the order in which the collection is read, counted from 0."""
+    marked = docs.withColumn("_mark", F.monotonically_increasing_id())  # the partition's number, and 33 bits of the row's
+    counts = dict(marked.groupBy(F.shiftright("_mark", 33).alias("part")).count().toLocalIterator())  # a row per partition
+    before, total = {}, 0
+    for part in sorted(counts):
+        before[part], total = total, total + counts[part]
+    starts = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    place = starts[F.shiftright("_mark", 33)] + F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.withColumn(name, place.cast("long")).drop("_mark")
+
+
 def import_embeddings(spark: SparkSession, path: str, ids: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, vector). Parquet keyed by id, or a local .npy matrix whose rows follow the order of `ids`' ids."""
+    """(id, vector). Parquet keyed by id, or a .npy matrix, on a path that all executors see, whose rows follow the collection.
+
+    Row k of the matrix belongs to the k-th row of `ids`, in the order in which that table is read; ids keep their type. Without
+    `ids` the rows' numbers are the ids. Each task reads the rows it needs from the file.
+    """
     if not path.endswith(".npy"):
         return spark.read.parquet(path)
     import numpy as np
 
-    matrix = np.load(path, mmap_mode="r")
-    step, out = 1 << 16, None
-    names = [r[0] for r in ids.select(id_col).orderBy(id_col).toLocalIterator()] if ids is not None else range(len(matrix))
-    for a in range(0, len(matrix), step):
-        part = spark.createDataFrame([(names[a + k], v.tolist()) for k, v in enumerate(matrix[a : a + step])], f"{id_col} long, vector array<double>")
-        out = part if out is None else out.union(part)
-    return out
+    size = len(np.load(path, mmap_mode="r"))
+    rows = spark.range(size).select(F.col("id").alias("position"), F.col("id").alias(id_col)) if ids is None else with_position(ids.select(id_col))
+    if ids is not None and (n := rows.count()) != size:
+        raise ValueError(f"{path} has {size} rows, and the collection {n}")
+
+    def run(frames):
+        matrix = np.load(path, mmap_mode="r")
+        for f in frames:
+            yield f.assign(vector=list(np.asarray(matrix[f["position"].to_numpy()], np.float64)))[[id_col, "vector"]]
+
+    return rows.mapInPandas(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, vector array<double>")
 
 
 def write_results(results: DataFrame, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ from corvid.analysis.stemmers import cistem, english, german, get_stemmer, porte
 from corvid.analysis.stopwords import get_stopwords, register_stopwords
 from corvid.operators import dense, evaluation, filters, fusion, scoring, sets
 from corvid.operators.index import build_index
-from corvid.retrievers import AdvancedRetriever, DenseRetriever, HybridRetriever, SearchEngine, SparseRetriever
+from corvid.retrievers import AdvancedRetriever, DenseRetriever, HybridRetriever, Merger, SearchEngine, SparseRetriever
 from corvid.sources.collections import IndexFolder, get_docs, import_embeddings, read_collection
 from corvid.streaming.query_stream import stream_search
 
@@ -239,6 +239,38 @@ def test_sources(spark, tmp_path, songs):
     assert {(r.id, tuple(r.vector)) for r in import_embeddings(spark, str(tmp_path / "v.npy"), spark.range(10, 13), "id").collect()} == {(10, (1, 0, 0)), (11, (0, 1, 0)), (12, (0, 0, 1))}
 
 
+def test_embeddings_follow_the_collection(spark, tmp_path):
+    np.save(tmp_path / "v.npy", np.arange(12.0).reshape(6, 2))
+    for ids, kind in (([30, 10, 20, 5, 50, 40], "long"), (["doc_10", "doc_2", "b", "a", "zz", "c"], "string")):
+        spark.createDataFrame([(i,) for i in ids], f"id {kind}").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "ids"))
+        for table in (spark.read.parquet(str(tmp_path / "ids")), spark.createDataFrame([(i,) for i in ids], f"id {kind}")):
+            assert {r.id: list(r.vector) for r in import_embeddings(spark, str(tmp_path / "v.npy"), table, "id").collect()} == {i: [2.0 * k, 2 * k + 1] for k, i in enumerate(ids)}
+    assert {r.doc_id for r in import_embeddings(spark, str(tmp_path / "v.npy")).collect()} == set(range(6))
+    with pytest.raises(ValueError):
+        import_embeddings(spark, str(tmp_path / "v.npy"), spark.range(5), "id")
+
+
+def test_a_query_reads_only_its_terms(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"common word{k} word{k % 7}") for k in range(3000)], "id long, text string")
+    r = SparseRetriever(spark, "pruned", str(tmp_path), stemmer=None, stopwords=None).index(docs)
+    plan = scoring.search(scoring.only_terms(r.tables, scoring.few_terms(spark.createDataFrame([("q", "word12 word3")], "q_id string, text string"), r.analyzer)), spark.createDataFrame([("q", "word12 word3")], "q_id string, text string"), r.analyzer)
+    told = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in told and "EqualTo(term,word12)" in told and "EqualTo(term,word3)" in told
+    want = scoring.search(r.tables, spark.createDataFrame([("q", "word12 word3")], "q_id string, text string"), r.analyzer)
+    assert [tuple(x) for x in r.msearch("word12 word3").orderBy("rank").collect()] == [tuple(x) for x in want.orderBy("rank").collect()]
+    many = " ".join(f"word{k}" for k in range(300))
+    assert scoring.few_terms(spark.createDataFrame([("q", many)], "q_id string, text string"), r.analyzer) is None and r.msearch(many, 1000).count() > 290
+
+
+def test_words_are_stemmed_after_they_are_counted(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "running runs the ran"), (2, "run running runner"), (3, None), (4, "the")], "id long, text string")
+    an = Analyzer(stemmer="english", stopwords="english")
+    made, kept = build_index(docs, an, id_col="id"), SparseRetriever(spark, "stems", str(tmp_path)).index(docs).tables
+    for name in ("postings", "term_stats", "doc_stats", "totals"):
+        assert sorted(map(tuple, getattr(made, name).collect())) == sorted(map(tuple, getattr(kept, name).collect()))
+    assert {(r.term, r.doc_id): r.tf for r in kept.postings.collect()} == {("run", 1): 2, ("ran", 1): 1, ("run", 2): 2, ("runner", 2): 1}
+
+
 def test_sparse_retriever(spark, shane, tmp_path):
     base = str(tmp_path)
     SearchEngine(spark, "shane", base, stopwords=None, b=0.5, k1=0.0).index(shane)
@@ -266,6 +298,15 @@ def test_advanced_retriever(spark, songs, tmp_path):
     assert ids({"text": "witches masses", "where": {"year": ("gte", 1970)}}) == {"doc_1"} and ids({"text": "witches masses", "where_not": {"album": "Paranoid"}}) == {"doc_0"}
     assert ids({"where": {"ozzy": True}}) == {"doc_0", "doc_1"} and ids({"text": "zzz", "ozzy": True}) == {"doc_0", "doc_1"} and ids("masses", subset_doc_ids=["doc_1", "doc_2"]) == {"doc_1"}
     assert {x.score for x in r.search({"ozzy": True}, cutoff=1).collect()} == {1.0} and ids({"text": "masses"}) == {"doc_0", "doc_1"}
+    for back in (True, False):
+        found = r.search({"ozzy": True}, return_docs=back)
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        assert [(x.q_id, x["id" if back else "doc_id"], x.score, x["rank"]) for x in found.collect()] == [("q", "doc_0", 1.0, 1), ("q", "doc_1", 1.0, 1)]
+    assert ids({"album": "Unknown"}) == set() and r.filter_docs({"album": "Paranoid"}, strict=True).count() == 1
+    with pytest.raises(ValueError):
+        r.search({"album": "Unknown"}, strict=True)
+    Merger("sum", [0.3, 0.7]).save(spark, "m", str(tmp_path))
+    assert Merger.load(spark, "m", str(tmp_path)) == Merger("sum", [0.3, 0.7])
 
 
 def test_dense_and_hybrid(spark, songs, tmp_path):
