@@ -56,13 +56,19 @@ def _unit(a: np.ndarray) -> np.ndarray:
     return a / np.sqrt((a * a).sum(axis=-1, keepdims=True))
 
 
-def fit_pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Pivots by vector length: `count` vectors of a length at most, by hash of their values, none close to another."""
-    rows = (
-        vectors.where("vector is not null and label is not null")
-        .where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists("vector", lambda x: x != 0)).select("vector").distinct()
-        .orderBy(F.xxhash64("vector"), "vector").limit(4 * count).collect()
-    )
+def fit_pivots(vectors: DataFrame, count: int, total: int) -> dict[int, np.ndarray]:
+    """Pivots by vector length: `count` vectors of a length at most, by hash of their values, none close to another.
+
+    total: about the number of vectors. Only those with a small hash are sorted out and exchanged, unless they are mostly copies.
+    """
+    usable = vectors.where("vector is not null and label is not null").where(
+        F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists("vector", lambda x: x != 0)
+    ).select("vector")
+    first = lambda some: some.distinct().orderBy(F.xxhash64("vector"), "vector").limit(4 * count).collect()
+    share = 64 * count / max(1, total)
+    rows = first(usable.where(F.xxhash64("vector") < int(-(2**63) + share * 2**64))) if share < 1 else []
+    if len(rows) < 4 * count:
+        rows = first(usable)
     by: dict[int, list] = {}
     for r in rows:
         by.setdefault(len(r.vector), []).append(_unit(np.array(r.vector, np.float64)))
@@ -204,10 +210,11 @@ def _compare(least: float, shared: int):
 def pivot_dedup(vectors: DataFrame, least: float = 0.98, nearest: int = NEAREST, shared: int = SHARED, pivots: int | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept. vectors: vec_id, embedding, label."""
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
+    total = base.count()
     if pivots is None:
-        pivots = min(PIVOTS[1], max(PIVOTS[0], 2 ** math.ceil(math.log2(max(2, base.count())) / 2)))
+        pivots = min(PIVOTS[1], max(PIVOTS[0], 2 ** math.ceil(math.log2(max(2, total)) / 2)))
     told = stash(
-        base.transform(by_batches, _describe(fit_pivots(base, pivots), nearest, shared, least), "vec_id long, class long, keys array<long>, near array<int>, own array<int>, vector array<double>, label string"),
+        base.transform(by_batches, _describe(fit_pivots(base, pivots, total), nearest, shared, least), "vec_id long, class long, keys array<long>, near array<int>, own array<int>, vector array<double>, label string"),
         "described",
     )
     live = told.where("class is not null")

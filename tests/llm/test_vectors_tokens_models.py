@@ -65,6 +65,61 @@ def test_pivot_dedup_dense_group(spark):
         assert (got <= want + 1).all() and got.sum() >= 0.9 * want.sum() > 0
 
 
+def _recall(spark, x, **options):
+    """Share of the true links that are found; none may be found that is not there."""
+    unit = x / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    rows = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = np.array([r.n_links for r in pivot_dedup(rows, **options).orderBy("vec_id").collect()])
+    assert want.sum() > 0 and (got <= want + 1).all()
+    return got.sum() / want.sum()
+
+
+def _near(rng, x, cosine):
+    """Vectors at these cosines to x."""
+    side = rng.normal(size=x.shape)
+    x = x / np.linalg.norm(x, axis=-1, keepdims=True)
+    side -= (side * x).sum(-1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=-1, keepdims=True)
+    return cosine[:, None] * x + np.sqrt(1 - cosine**2)[:, None] * side
+
+
+def test_pivot_recall_of_planted_pairs(spark):
+    rng = np.random.default_rng(9)
+    for pivots in (64, 512, 2048):
+        base = rng.normal(size=(1500, 64))
+        x = np.concatenate([base, _near(rng, base, rng.uniform(0.9801, 0.99, len(base)))])
+        assert _recall(spark, x, pivots=pivots) >= 0.95
+
+
+def test_pivot_recall_of_groups(spark):
+    rng = np.random.default_rng(10)
+    for dims, alone, group in ((64, 2000, 1000), (16, 0, 300)):
+        x = rng.normal(size=(alone + group, dims))
+        x[:group] = _near(rng, np.repeat(x[:1], group, 0), rng.uniform(0.985, 0.995, group))
+        assert _recall(spark, x) >= 0.95
+
+
+def test_pivot_dedup_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 1, 5, 6, "k"), (2, [1.0, 0.01], 1, 5, 6, "k"), (2, [0.0, 1.0], 1, 5, 6, "k")]
+    out = pivot_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n_links long, class long, key string"))
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 1, True), (2, 0, 2, True), (2, 1, 1, False)]
+
+
+def test_packed_documents_follow_the_curve(spark):
+    rng = random.Random(12)
+    words = [[f"{c}{k}" for k in range(40)] for c in "abcdefgh"]
+    rows = [(k, " ".join(rng.choice(words[k % 8]) for _ in range(rng.randint(1, 80))), None, None, None, 1, "") for k in range(400)]
+    path = public_tokenizers.path(packing.VOCABULARY)
+    coded = {r.doc_id: r.curve for r in frame(spark, rows).select("doc_id", "text").mapInArrow(packing._encode(path), "doc_id long, curve long, tie long, ids binary").collect()}
+    place = {}
+    for r in packing.pack(frame(spark, rows), path, 256).collect():
+        place[r.doc_id] = min(place.get(r.doc_id, (1 << 62, 0)), (r.sequence_id, r.offset))
+    walk = [coded[d] for d, _ in sorted(place.items(), key=lambda x: x[1])]
+    assert sum(a > b for a, b in zip(walk, walk[1:])) <= 8 < len(set(walk))  # rests at the ends of tasks come in pieces
+    assert len(set(coded.values())) > 100
+
+
 def test_pivot_dedup_rare_length(spark):
     rng = np.random.default_rng(4)
     rows = [(k, v.tolist(), 0) for k, v in enumerate(rng.normal(size=(4000, 8)))]
