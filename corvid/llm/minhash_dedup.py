@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.llm.common import as_long, by_batches, components, grams, keyed_text, mix, pieces, stash, utf8, word_hashes
@@ -218,6 +218,19 @@ def minhash_dedup(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> Dat
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents that lead their component, all columns; documents without a doc_id stay."""
-    gone = minhash_dedup(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each component, that with its smallest doc_id, all columns; documents without a doc_id stay.
+
+    Rows that share a doc_id share its component: if it leads, its different texts stay, each once (the rows with an equal text
+    tie in all that counts here, so one of them stays).
+    """
+    told = stash(minhash_dedup(docs, percent), "decided")
+    out = docs.join(told.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
+    repeated = told.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        names = [f"c{k}" for k in range(len(docs.columns))]  # a name that is added may clash with one of the documents' own
+        some = out.join(repeated, "doc_id", "left_semi").select(docs.columns).toDF(*names)
+        id_, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+        once = Window.partitionBy(id_, F.xxhash64(text), F.xxhash64(text, F.lit("second"))).orderBy(F.lit(0))
+        some = some.withColumn("once", F.row_number().over(once)).where("once = 1").select(names).toDF(*docs.columns)
+        out = out.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(some)
+    return out.select(docs.columns)

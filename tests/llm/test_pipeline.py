@@ -97,3 +97,35 @@ def test_run(spark, folder):
     assert names == ["toxicity", "minhash near-dedup", "substring dedup", "benchmark decontamination", "packing"]
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_rows(spark, folder):
+    """Empty tables, repeated and missing ids, clashing names, a very long text: every stage stands them."""
+    rng = random.Random(5)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(5000)) for _ in range(150_000))
+    kind = "doc_id long, text string, n_chars long, n_shingles long, component_id long, kept boolean, key long, hits string, score double, ids string, row long, rest string, _once int, label int"
+    clash = (5, 6, True, 7, "h", 0.5, "i", 8, "r", 9, 1)
+    texts = [(1, "one two three four five six"), (1, "one two three four five six"), (1, "another text of seven words is here"), (None, "no id at all"), (None, None), (2, None), (3, ""), (4, long), (5, "one two three four five six")]
+    docs = spark.createDataFrame([(d, t, None if t is None else len(t), *clash) for d, t in texts], kind)
+    frame, empty = docs, docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame, empty = stage(spark, frame, folder), stage(spark, empty, folder)
+        assert frame.schema == docs.schema == empty.schema and empty.count() == 0
+        got = Counter((r.doc_id, r.text) for r in frame.collect())
+        want = Counter(texts)
+        if name != "toxicity":
+            want -= Counter([texts[0], texts[-1]])
+        assert got == want
+        assert all(tuple(r)[3:] == clash for r in frame.collect())
+    packed = corpus_pipeline.packing(spark, frame, folder)
+    assert {r.doc_id for r in packed.collect()} == {None, 1, 2, 3, 4} and corpus_pipeline.packing(spark, empty, folder).count() == 0
+
+
+def test_scratch_tables_go(spark, folder):
+    from corvid.llm.common import scratch, stash, sweep
+
+    before = scratch()
+    made = stash(spark.range(3).toDF("a"), "mine")
+    assert made.count() == 3 and scratch() == before | {made.scratch}
+    sweep(spark, before)
+    assert scratch() == before
