@@ -1,11 +1,18 @@
-"""A training-data pipeline: each stage calls one operator on what its predecessor kept."""
+"""A training-data pipeline: each stage calls one operator on what its predecessor kept.
+
+What the stages do with odd rows: a null text is never toxic, similar, cut or contaminated, and is packed as the closing id
+alone; an empty text likewise. A null doc_id is kept by every stage that drops documents. Rows that repeat a doc_id
+share the fate of that id in the near-dedup (equal texts stay once) and are treated one by one elsewhere. Very long texts
+are read whole. Empty tables give empty results with the same columns. Columns beside doc_id, text and n_chars are carried along
+unread, whatever their names; ties go to the smaller doc_id.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm.common import stash, table
+from corvid.llm.common import scratch, stash, sweep, table
 from corvid.llm.decontaminate import drop_contaminated
 from corvid.llm.minhash_dedup import keep_one
 from corvid.llm.packing import VOCABULARY, pack
@@ -51,9 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, others = table(spark, sf_dir, "documents"), scratch()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stash(docs, f"stage{k}")
+            sweep(spark, others | {docs.scratch})  # what the stage and its predecessor wrote has been used
     return docs
