@@ -90,15 +90,26 @@ def wordpunct_counts(spark, d):
     return _docs(spark, d).select("doc_id", F.size(n.wordpunct(F.col("text"))).cast("long").alias("n"))
 
 
-@_register()
-def stem_english(spark, d):
-    full = Analyzer(stemmer="english", stopwords="english")
-    return full.terms(_docs(spark, d).where("lang = 'en'"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("cf"))
+_STOPS = ("the", "of", "and", "der", "die", "und", "le", "la", "de", "que", "el", "in")
 
 
-@_register()
-def stem_german(spark, d):
-    return Analyzer(stemmer="german", stopwords="german").terms(_docs(spark, d).where("lang = 'de'"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("cf"))
+@_register(f"WITH {_D} SELECT term, count(*) AS cf FROM d WHERE term NOT IN {_STOPS} GROUP BY ALL")
+def stopword_counts(spark, d):
+    return term_counts(_docs(spark, d), Analyzer(stopwords=_STOPS)).groupBy("term").agg(F.sum("tf").alias("cf"))
+
+
+def _stem_query(language: str) -> None:
+    def run(spark, d):
+        """Frequency of each stem in all texts; words are counted, then each distinct one is stemmed."""
+        an = Analyzer(stemmer=language, stopwords=language)
+        counts = an.words(_docs(spark, d), "doc_id", "text").groupBy("term").agg(F.count("*").alias("cf"))
+        return counts.join(an.stems(counts.where("cf > 0").select("term")), "term").groupBy(F.col("stem").alias("term")).agg(F.sum("cf").alias("cf"))
+
+    QUERIES[f"stem_{language}"] = run
+
+
+for _language in ("english", "german", "french", "spanish"):
+    _stem_query(_language)
 
 
 # --- index ----------------------------------------------------------------------------------------------------------
@@ -276,9 +287,29 @@ def set_intersect(spark, d):
     return sets.intersect(*_keys(spark, d))
 
 
-@_register(f"{_B} EXCEPT {_A}")
+@_register(f"{_A} EXCEPT {_B}")
 def set_difference(spark, d):
-    return sets.difference(*_keys(spark, d)[::-1])
+    return sets.difference(*_keys(spark, d))
+
+
+def _parts(spark, d):
+    lines = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"))
+    return lines.agg(F.sort_array(F.collect_set("l_partkey")).alias("a"), F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda x: x["l_quantity"].cast("double")).alias("q"))
+
+
+_PARTS = "l AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_partkey)) AS a, list(l_quantity::DOUBLE ORDER BY l_linenumber, l_quantity) AS q FROM lineitem GROUP BY ALL)"
+
+
+@_register(f"WITH {_PARTS} SELECT k, array_to_string([list_position(a, a[len(a)]) - 1, list_position(a, a[1]) - 1], ',') AS places FROM l")
+def array_positions(spark, d):
+    a = F.col("a")
+    places = sets.positions(a, F.array(F.element_at(a, -1), F.element_at(a, 1)))
+    return _parts(spark, d).select("k", F.array_join(F.transform(places, lambda x: x.cast("string")), ",").alias("places"))
+
+
+@_register(f"WITH {_PARTS}, x AS (SELECT k, unnest(q) AS v, generate_subscripts(q, 1) - 1 AS i FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC, i) AS place FROM x) SELECT k, string_agg(i, ',' ORDER BY place) AS best FROM r WHERE place <= 3 GROUP BY ALL")
+def array_topk(spark, d):
+    return _parts(spark, d).select("k", F.array_join(F.transform(sets.array_top_k(F.col("q"), 3), lambda x: x.cast("string")), ",").alias("best"))
 
 
 @_register(f"SELECT k, count(*) AS n FROM ({_A} UNION ALL {_B}) GROUP BY ALL")
@@ -377,6 +408,11 @@ def fuse_weighted(spark, d):
     return fusion.fuse(list(_runs(spark, d)), "max", [0.3, 0.7], 20)
 
 
+@_register(f"WITH {_DENSE}, r AS ({_ranked('dense', 100)}) SELECT q_id, doc_id, floor(CAST(floor(({_NORMS['sum']}) * 1e10 + 0.5) AS BIGINT)::DOUBLE / 1e4 + 0.5) / 1e6 AS score FROM r WINDOW w AS (PARTITION BY q_id)")
+def fuse_single(spark, d):
+    return fusion.fuse([dense.exact_top_k(*_vectors(spark, d), 100)], "sum").select("q_id", "doc_id", "score")
+
+
 # --- evaluation -----------------------------------------------------------------------------------------------------
 
 _QRELS = "qrels AS (SELECT q.vec_id AS q_id, e.vec_id AS doc_id, 1 + e.vec_id % 2 AS rel FROM embeddings e JOIN embeddings q ON e.label = q.label AND e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)"
@@ -413,15 +449,45 @@ for _metric, _value in _VALUES.items():
     _metric_query(_metric, _value)
 
 
-@_register()
+def _fixed(term: str) -> str:
+    return f"floor(sum(CAST(floor(({term}) * 1e10 + 0.5) AS BIGINT))::DOUBLE / 1e4 + 0.5) / 1e6"
+
+
+def _ndcg_by(keys: str, scores: str = "scores") -> str:
+    """CTEs over scores (keys, q_id, doc_id, score) and `qrels`, and the mean NDCG@10 of each point of a grid."""
+    return f"""
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, q_id ORDER BY score DESC, doc_id) AS rank FROM {scores}) WHERE rank <= 10),
+want AS (SELECT q_id, {_fixed('CASE WHEN place <= 10 THEN rel / log2(place + 1) ELSE 0 END')} AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rel DESC, doc_id) AS place FROM qrels) GROUP BY ALL),
+v AS (SELECT {keys}, q_id, {_fixed('CASE WHEN rel IS NOT NULL THEN rel / log2(rank + 1) ELSE 0 END')} / any_value(ideal) AS value FROM run JOIN want USING (q_id) LEFT JOIN qrels USING (q_id, doc_id) GROUP BY ALL)
+SELECT {keys}, round(CAST(sum(CAST(value AS DECIMAL(20,10))) AS DOUBLE) / (SELECT count(*) FROM want), 6) AS value FROM v GROUP BY ALL"""
+
+
+_BS, _K1S, _WEIGHTS = [0.0, 0.5, 1.0], [0.5, 1.5], [0.0, 0.5, 1.0]
+_POINTS = ", ".join(f"({b}::DOUBLE, {k1}::DOUBLE)" for b in _BS for k1 in _K1S)
+
+
+@_register(
+    _scored(_BM25).split("par AS")[0]
+    + f"""par AS (SELECT * FROM (VALUES {_POINTS}) AS t(b, k1)),
+scores AS (SELECT b, k1, q_id, doc_id, {_fixed(f'qtf * ({_BM25})')} AS score FROM postings JOIN qt USING (term) JOIN term_stats USING (term) JOIN doc_stats USING (doc_id), totals, par GROUP BY ALL),
+qrels AS (SELECT item_id AS q_id, doc_id, 1 AS rel FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)),"""
+    + _ndcg_by("b, k1")
+)
 def autotune_bm25_grid(spark, d):
     # a document that holds a query's text has its longest inner word: that joins, and only what meets is searched
     asked = _asked(spark, d).withColumnRenamed("text", "q").withColumn("w", F.expr("array_max(transform(slice(split(q, ' '), 2, greatest(size(split(q, ' ')) - 2, 0)), x -> struct(length(x) as n, x as x))).x"))
     words = _docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
     relevant = words.join(asked.where("w is not null"), "w").where(F.expr("contains(text, q)")).select("q_id", "doc_id", F.lit(1).alias("rel"))
-    return evaluation.tune_bm25(build_index(_docs(spark, d)), _asked(spark, d), relevant, PLAIN, "ndcg@10", [0.0, 0.5, 1.0], [0.5, 1.5], 10)
+    return evaluation.tune_bm25(build_index(_docs(spark, d)), _asked(spark, d), relevant, PLAIN, "ndcg@10", _BS, _K1S, 10)
 
 
-@_register()
+@_register(
+    f"{_RUNS}, {_QRELS}, parts AS ("
+    + " UNION ALL ".join(f"SELECT '{norm}' AS norm, {part} AS part, q_id, doc_id, {how} AS score FROM {run} WINDOW w AS (PARTITION BY q_id)" for norm, how in _NORMS.items() for part, run in enumerate(("sparse", "dense_run")))
+    + f"""),
+points AS (SELECT unnest([{', '.join(map(str, _WEIGHTS))}])::DOUBLE AS weight),
+tried AS (SELECT norm, weight, q_id, doc_id, {_fixed('score * CASE WHEN part = 0 THEN weight ELSE 1 - weight END')} AS score FROM parts, points GROUP BY ALL),"""
+    + _ndcg_by("norm, weight", "tried")
+)
 def autotune_fusion(spark, d):
-    return evaluation.tune_fusion(list(_runs(spark, d)), _qrels(spark, d), "ndcg@10", weights=[0.0, 0.5, 1.0], cutoff=10)
+    return evaluation.tune_fusion(list(_runs(spark, d)), _qrels(spark, d), "ndcg@10", weights=_WEIGHTS, cutoff=10)
