@@ -83,7 +83,9 @@ class Analyzer:
         return vocabulary.mapInPandas(stem_batches(get_stemmer(self.stemmer)), "term string, stem string")
 
     def terms(self, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, term) with one row per occurrence."""
-        rows = self.words(texts, id_col, text_col)
-        # for tables of queries and other small ones; large ones are counted before they are stemmed
-        return rows if self.stemmer is None else rows.join(self.stems(rows.select("term").distinct()), "term").select(id_col, F.col("stem").alias("term"))
+        """(id, term) with one row per occurrence, in one pass and without an exchange: for queries. Large tables are counted
+        before they are stemmed (`stems`)."""
+        stemmer, tokens = get_stemmer(self.stemmer), self.tokens(F.col(text_col))
+        if stemmer is not None:
+            tokens = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else [stemmer(x) for x in t]), "array<string>")(tokens)
+        return texts.select(F.col(id_col), F.explode(tokens).alias("term"))

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from corvid.analysis.analyzer import Analyzer
 
 
+#: Tasks that share the list of one term when an index is written.
+SALTS = 16
+
+
 @dataclass(frozen=True)
 class Index:
     """postings (term, doc_id, tf), term_stats (term, df), doc_stats (doc_id, doc_len, rel_len), totals (one row: n_docs, avg_len)."""
@@ -76,13 +80,14 @@ def build_index(docs: DataFrame, analyzer: Analyzer = Analyzer(), min_df: int |
 
 
 def _lay(postings: DataFrame, path: str) -> None:
-    """Postings in files by ranges of (term, doc_id): a common term's list spreads over many, and rare ones share few."""
-    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+    """Postings in files sorted by term, so that a filter on terms reads few row groups; a common term's list is spread over
+    `SALTS` tasks by doc_id. (Dealing by ranges would compute all postings once more to find the ranges.)"""
+    postings.repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
 
 
 def persist_index(docs: DataFrame, path: str, analyzer: Analyzer = Analyzer(), min_df: int | float = 1, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Build and write an index. Texts are analysed once: the statistics are derived from the written postings. These lie by
-    ranges of terms, so that a filter on a query's terms reads few row groups (`scored_postings`)."""
+    """Build and write an index. Texts are analysed once: the statistics are derived from the written postings. These are
+    sorted by term, so that a filter on a query's terms reads few row groups (`scored_postings`)."""
     if min_df <= 0:
         raise ValueError("min_df must be positive")
     spark = docs.sparkSession
