@@ -48,8 +48,8 @@ class Analyzer:
         # stop words are stemmed once, and compared with tokens that are not
         object.__setattr__(self, "_stops", frozenset(stemmer(w) for w in words) if stemmer else words)
 
-    def tokens(self, c: Column) -> Column:
-        """Terms before stemming, as an array column."""
+    def _split(self, c: Column) -> Column:
+        """Tokens, stop words included, as an array column."""
         steps = [
             (self.do_lowercasing, n.lowercase), (self.do_ampersand_normalization, n.ampersand), (self.do_special_chars_normalization, n.special_chars),
             (self.do_acronyms_normalization, n.acronyms), (self.do_diacritics_normalization, n.diacritics),
@@ -64,6 +64,11 @@ class Analyzer:
                 c = split(c)
                 if self.do_punctuation_removal:
                     c = F.filter(F.transform(c, n.punctuation), lambda t: t != "")
+        return c
+
+    def tokens(self, c: Column) -> Column:
+        """Terms before stemming, as an array column."""
+        c = self._split(c)
         if self._stops:
             stops = F.array(*(F.lit(w) for w in sorted(self._stops)))
             c = F.filter(c, lambda t: ~F.array_contains(stops, t))
@@ -76,11 +81,14 @@ class Analyzer:
 
     def words(self, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, term) with one row per occurrence, before stemming."""
-        return texts.select(F.col(id_col), F.explode(self.tokens(F.col(text_col))).alias("term"))
+        rows = texts.select(F.col(id_col), F.explode(self._split(F.col(text_col))).alias("term"))
+        # looked up in a hash set, where an array would be searched word by word
+        return rows.where(~F.col("term").isin(sorted(self._stops))) if self._stops else rows
 
     def stems(self, vocabulary: DataFrame) -> DataFrame:
-        """(term, stem) of distinct terms."""
-        return vocabulary.mapInPandas(stem_batches(get_stemmer(self.stemmer)), "term string, stem string")
+        """(term, stem) of distinct terms. They are few bytes but much work, so they are dealt to all cores and not by size."""
+        spread = vocabulary.repartition(vocabulary.sparkSession.sparkContext.defaultParallelism, "term")
+        return spread.mapInPandas(stem_batches(get_stemmer(self.stemmer)), "term string, stem string")
 
     def terms(self, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, term) with one row per occurrence, in one pass and without an exchange: for queries. Large tables are counted
