@@ -176,6 +176,8 @@ class _Language:
                 self.other[k] = self.other.get(k, 0) + y
             if 2 * len(self.own) * len(self.sources) > SUMS:
                 yield from self.sums()
+        if len(self.sources) == 1:
+            self.own, self.other = {}, {}  # no pairs
 
     def _keep(self, group: int, value: int, term: str) -> None:
         heap = self.best[group]
@@ -204,7 +206,7 @@ class _Language:
 
     def end(self):
         """What both groups of a pair lack, the sums that are left, and the best terms."""
-        for k in range(len(self.sources)):
+        for k in range(len(self.sources) if len(self.sources) > 1 else 0):
             base = self.terms * excess(self.none[k], self.none)
             yield self._pairs(k, base + self.own.pop(k, 0), True)
         yield from self.sums()
