@@ -7,9 +7,10 @@ stretch of the curve into full sequences. Its rest is cut at powers of two, so t
 
 Token ids fit 16 bits here. They are made once, by the library of the vocabulary, and stashed. No pre-token of a
 byte-level vocabulary begins before a single space and ends after it, so a text's ids are those of its stretches
-between such spaces: each distinct stretch is encoded once per task and remembered by a 64-bit hash of its bytes, up to bounds
-on their number and ids. New ones are encoded joined, and told apart again by the byte lengths of the ids. A text
-with other white space beside a blank is encoded in slices that end at safe places. When a task ends, only stretches that came
+between such spaces: each distinct stretch is encoded once per task and remembered with its bytes, up to bounds
+on their number, bytes and ids. A 64-bit hash finds a remembered stretch and its bytes are compared; a text with a stretch that another
+one hides by its hash, or with other white space beside a blank, is encoded in slices that end at safe places. New stretches are encoded
+joined, and told apart again by the byte lengths of the ids. When a task ends, only stretches that came
 again are still remembered, `KEPT` at most (some 5 MB), since Spark keeps its Python workers.
 
 Defined cases: a null or empty text is the closing id alone; rows that repeat a doc_id, or have none, are packed
@@ -36,14 +37,16 @@ CLOSING_ID = 1
 DIMENSIONS = 4
 BITS = 10
 VOCABULARY = "byte_bpe_50k.json"
-#: Remembered stretches and ids in a task (some 60 MB at most); beyond either, the memory starts anew.
+#: Remembered stretches, ids and bytes in a task (some 100 MB at most); beyond any, the memory starts anew.
 MEMORY = 1_000_000
 MEMORY_IDS = 8_000_000
+MEMORY_BYTES = 32_000_000
 KEPT = 150_000
 #: Bytes of stretches that are joined to one string, and strings that one call encodes.
 JOINED, CALL = 2000, 128
-#: Stretches whose ids are gathered at once.
+#: Stretches whose ids are gathered at once, and bytes that are compared at once; longer stretches are compared alone.
 GATHERED = 1 << 18
+COMPARED, LONG = 1 << 20, 1 << 12
 #: Where a text may be cut: before one space between two characters that are no white space.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 #: The first stretch of a text has no space before it, which makes it another one than its bytes say.
@@ -63,7 +66,8 @@ class Encoder:
     """ids(texts): what the library gives for each whole text, from remembered stretches.
 
     The table is sorted by key: where a stretch's ids begin, how many they are, whether it may not be joined (white space
-    at an end, or empty; it has no ids then), and how often it was seen.
+    at an end, or empty; it has no ids then), how often it was seen, where its bytes begin in `blob`, how many they are, and
+    whether it begins a text.
     """
 
     def __init__(self, path: str):
@@ -86,6 +90,7 @@ class Encoder:
     def forget(self) -> None:
         self.key, self.flat = np.empty(0, np.uint64), np.empty(0, np.uint16)
         self.start, self.size, self.odd, self.seen = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool), np.empty(0, np.int32)
+        self.blob, self.begin, self.length, self.lead = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
 
     def shrink(self) -> None:
         """Forget the stretches that came once, and more if over `KEPT` are left."""
@@ -95,6 +100,9 @@ class Encoder:
         at = np.flatnonzero(few)
         self.flat, self.key, self.size, self.odd = self._gather(at), self.key[at], self.size[at], self.odd[at]
         self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.lead, kept = self.lead[at], self.length[at]
+        self.blob = _cut(self.blob, self.begin[at], kept)
+        self.begin, self.length = np.cumsum(kept) - kept, kept
         self.seen = self.seen[at] // 2  # what was seen in earlier tasks counts for less and less
 
     def _encode(self, strings: list[str]) -> list[np.ndarray]:
@@ -122,7 +130,10 @@ class Encoder:
         self.flat = np.concatenate([self.flat, run, *got[len(joined) :]])
         at = np.searchsorted(self.key, key)
         self.key, self.start, self.size = np.insert(self.key, at, key), np.insert(self.start, at, begins), np.insert(self.size, at, many)
-        self.odd, self.seen = np.insert(self.odd, at, odd), np.insert(self.seen, at, 0)
+        self.odd, self.seen, self.lead = np.insert(self.odd, at, odd), np.insert(self.seen, at, 0), np.insert(self.lead, at, first)
+        size = end - start
+        self.begin, self.length = np.insert(self.begin, at, len(self.blob) + np.cumsum(size) - size), np.insert(self.length, at, size)
+        self.blob = np.concatenate([self.blob, _cut(raw, start, size)])
 
     def _gather(self, codes: np.ndarray) -> np.ndarray:
         """The ids of all stretches in a row."""
@@ -148,7 +159,7 @@ class Encoder:
     def ids(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         if not len(texts):
             return []
-        if len(self.key) > MEMORY or len(self.flat) > MEMORY_IDS:
+        if len(self.key) > MEMORY or len(self.flat) > MEMORY_IDS or len(self.blob) > MEMORY_BYTES:
             self.forget()
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         blob = b" ".join([*utf8(column), b""])
@@ -173,13 +184,48 @@ class Encoder:
         codes = at[inverse]
         n = np.concatenate(([0], np.cumsum(self.size[codes], dtype=np.int64)))
         out = np.split(self._gather(codes), n[last[:-1]])
-        # white space beside a blank
-        bad = self.odd[codes] | (first & np.append(~first[1:], False) & ((start == end) | _blank_ends(raw, start, end)))
+        # another stretch than the remembered one, or white space beside a blank
+        bad = (self.lead[codes] != first) | _differ(raw, start, end - start, self.blob, self.begin[codes], self.length[codes]) | self.odd[codes] | (first & np.append(~first[1:], False) & ((start == end) | _blank_ends(raw, start, end)))
         for i in set(np.searchsorted(last, np.flatnonzero(bad), side="right").tolist()):
             out[i] = self._carefully(column[i].as_py())
         return out
 
 
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all runs in a row."""
+    end = np.cumsum(size)
+    return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
+
+
+def _chunks(size: np.ndarray):
+    """Bounds of stretches in a row that have about `COMPARED` bytes together; long ones are alone."""
+    cuts, long = np.flatnonzero(np.diff(np.cumsum(size) // COMPARED, prepend=0)) + 1, np.flatnonzero(size > LONG)
+    bounds = np.unique(np.concatenate(([0], cuts, long, long + 1, [len(size)])))
+    return zip(bounds[:-1].tolist(), bounds[1:].tolist())
+
+
+def _cut(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all runs in a row."""
+    out = [raw[:0]]
+    for a, b in _chunks(size):
+        out.append(raw[start[a] : start[a] + size[a]] if b == a + 1 else raw[_places(start[a:b], size[a:b])])
+    return np.concatenate(out)
+
+
+def _differ(raw: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether raw[start:start+size] is not other[begin:begin+length], for each."""
+    out = size != length
+    for k in np.flatnonzero(~out & (size > LONG)).tolist():
+        out[k] = not np.array_equal(raw[start[k] : start[k] + size[k]], other[begin[k] : begin[k] + size[k]])
+    at = np.flatnonzero(~out & (size <= LONG))
+    for a, b in _chunks(size[at]):
+        part = at[a:b]
+        n = size[part]
+        wrong = np.flatnonzero(raw[_places(start[part], n)] != other[_places(begin[part], n)])
+        out[part[np.searchsorted(np.cumsum(n), wrong, side="right")]] = True
+    return out
+
+
 def _blank(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Whether 1, 2 and 3 bytes are a character of white space other than the space, in UTF-8."""
     one = ((a >= 9) & (a <= 13)) | ((a >= 28) & (a <= 31))

@@ -233,3 +233,24 @@ def test_models_on_small_tables(spark):
     assert kept.schema == docs.schema and kept.count() == sum(1 for r in out if not r.predicted)
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity(frame(spark, []), labels).count() == 0
+
+
+def test_stretches_that_hash_alike_keep_their_ids(monkeypatch):
+    """Words over two letters in the Thue-Morse order collide under any polynomial hash modulo 2**64; then all hashes alike."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = packing.Encoder(path)
+    whole = lambda texts: [e.ids for e in enc.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    word = lambda n, a, b: "".join(b if k.bit_count() & 1 else a for k in range(n))
+    for n in (512, 1024, 2048, 4096):
+        texts = [f"q {word(n, 'a', 'b')}", f"q {word(n, 'b', 'a')}", word(n, "a", "b"), f"{word(n, 'b', 'a')} x", f"q {word(n, 'b', 'a')} q"]
+        assert [x.tolist() for x in enc.ids(texts)] == whole(texts)
+        assert [x.tolist() for x in enc.ids(texts[::-1])] == whole(texts[::-1])
+    rng = random.Random(2)
+    some = ["a", "b", "é ", " ", " \t", "the ", "ß9", "\n", "<|endoftext|>", "x" * 5000]
+    texts = [None, "", *("".join(rng.choices(some, [9, 9, 9, 9, 1, 5, 5, 2, 1, 0.1], k=rng.randint(0, 40))) for _ in range(3000))]
+    assert [x.tolist() for x in enc.ids(texts)] == whole(texts)
+    monkeypatch.setattr(packing, "stretch_keys", lambda raw, start, end: ((end - start) % 3).astype(np.uint64))
+    enc.forget()
+    for part in (texts[:400], texts[400:800]):
+        assert [x.tolist() for x in enc.ids(part)] == whole(part)
+        enc.shrink()
