@@ -6,8 +6,9 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
-from contextlib import suppress
+from collections.abc import Callable, Iterable
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +41,17 @@ def by_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(tidy, schema)
 
 
+#: Folders that were made for local sessions which name none, by application.
+_MADE: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where it is unset, a local master gets a temporary one; a cluster must name it."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.conf.get("spark.checkpoint.dir", None) or _MADE.get(spark.sparkContext.applicationId)
     if not known:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        made = tempfile.mkdtemp(prefix="corvid-")
-        known = f"file://{made}"
-        spark.conf.set("spark.checkpoint.dir", known)
+        known = _MADE[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='corvid-')}"
         atexit.register(_delete, spark, known)
     return known.rstrip("/")
 
@@ -61,8 +64,9 @@ def _delete(spark: SparkSession, path: str) -> None:
     _SCRATCH.discard(path)
 
 
-#: Paths of the scratch tables that are there.
+#: Paths of the scratch tables that are there, and those of the run that this thread is in.
 _SCRATCH: set[str] = set()
+_RUN: ContextVar[set[str] | None] = ContextVar("run", default=None)
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
@@ -73,22 +77,35 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvid-{tag}-{uuid.uuid4().hex}"
     if not _SCRATCH:
-        atexit.register(sweep, spark, frozenset())
+        atexit.register(sweep, spark, _SCRATCH)
     _SCRATCH.add(path)
+    if (mine := _RUN.get()) is not None:
+        mine.add(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
 
 
+@contextmanager
+def own_scratch():
+    """The scratch tables that this thread makes meanwhile, as a set that fills; other threads' are not in it."""
+    mine: set[str] = set()
+    before = _RUN.set(mine)
+    try:
+        yield mine
+    finally:
+        _RUN.reset(before)
+
+
 def scratch() -> frozenset[str]:
     """The scratch tables that are there now."""
     return frozenset(_SCRATCH)
 
 
-def sweep(spark: SparkSession, keep: frozenset[str]) -> None:
-    """Delete all scratch tables but those in `keep`: for callers that have written their results."""
-    for path in _SCRATCH - keep:
+def sweep(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete these scratch tables: for callers that have written their results."""
+    for path in list(paths):
         _delete(spark, path)
 
 

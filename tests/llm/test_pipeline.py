@@ -1,8 +1,12 @@
 """The pipeline against a brute-force version of each stage, on its own input."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers
@@ -122,10 +126,25 @@ def test_odd_rows(spark, folder):
 
 
 def test_scratch_tables_go(spark, folder):
-    from corvid.llm.common import scratch, stash, sweep
+    from corvid.llm.common import own_scratch, scratch, stash, sweep
 
     before = scratch()
-    made = stash(spark.range(3).toDF("a"), "mine")
-    assert made.count() == 3 and scratch() == before | {made.scratch}
-    sweep(spark, before)
-    assert scratch() == before
+    with own_scratch() as mine:
+        made = stash(spark.range(3).toDF("a"), "mine")
+        with ThreadPoolExecutor(1) as other:  # another thread's run keeps its own
+            theirs = other.submit(lambda: stash(spark.range(2).toDF("a"), "theirs")).result()
+    assert made.count() == 3 and mine == {made.scratch} and scratch() == before | {made.scratch, theirs.scratch}
+    sweep(spark, mine)
+    assert scratch() == before | {theirs.scratch} and theirs.count() == 2
+    sweep(spark, [theirs.scratch])
+
+
+def test_local_session_without_a_shared_folder(tmp_path):
+    code = (
+        "from pyspark.sql import SparkSession; from corvid.llm.common import shared_dir, stash\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert spark.conf.get('spark.checkpoint.dir', None) is None\n"
+        "assert stash(spark.range(3).toDF('a'), 't').count() == 3 and shared_dir(spark) == shared_dir(spark.newSession())\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, env={**os.environ, "PYTHONPATH": root, "SPARK_CONF_DIR": str(tmp_path)})
