@@ -12,7 +12,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm.common import scratch, stash, sweep, table
+from corvid.llm.common import own_scratch, stash, sweep, table
 from corvid.llm.decontaminate import drop_contaminated
 from corvid.llm.minhash_dedup import keep_one
 from corvid.llm.packing import VOCABULARY, pack
@@ -58,10 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, others = table(spark, sf_dir, "documents"), scratch()
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stash(docs, f"stage{k}")
-            sweep(spark, others | {docs.scratch})  # what the stage and its predecessor wrote has been used
+    docs = table(spark, sf_dir, "documents")
+    with own_scratch() as mine:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = stash(docs, f"stage{k}")
+                sweep(spark, mine - {docs.scratch})  # what the stage and its predecessor wrote has been used
+                mine &= {docs.scratch}
     return docs
