@@ -2,7 +2,7 @@
 
 Terms are runs of ASCII letters and non-ASCII characters, A-Z lower-cased. Each task counts the (lang, term, source) of its
 own documents first, in bounded memory, so that a common word is a few rows of each task and not a row of each document. These
-partial runs are dealt by (lang, term) and sorted by source within a term; one scan over the sorted rows merges them, and at
+partial runs are dealt by (lang, term) and sorted, by source within a term; one scan over the sorted rows merges them, and at
 the end of a term's run its document frequency is known: terms of `MIN_DOCS` documents or more stay. A document is one
 row, which lies in one task, so partial document frequencies add up and the sort needs no document id.
 
@@ -25,6 +25,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,29 +49,33 @@ _RUNS = "lang string, term string, source string, docs long, n long"
 
 
 def _count(batches):
-    """Partial runs of the task's documents, sorted."""
+    """Partial runs of the task's documents."""
     docs: dict[tuple[str, str], Counter] = defaultdict(Counter)
     occurs: dict[tuple[str, str], Counter] = defaultdict(Counter)
     held = 0
 
     def told():
-        rows = sorted((lang, term, source, d) for (lang, source), many in docs.items() for term, d in many.items())
-        for a in range(0, len(rows), 1 << 16):
-            lang, term, source, d = zip(*rows[a : a + (1 << 16)])
-            n = [occurs[x, y][t] for x, t, y in zip(lang, term, source)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(source, pa.string()), pa.array(d, pa.int64()), pa.array(n, pa.int64())], ["lang", "term", "source", "docs", "n"]
-            )
+        for (lang, source), n in occurs.items():
+            terms = sorted(n)  # neighbours have letters in common, which the exchange's compression uses
+            for a in range(0, len(terms), 1 << 16):
+                part = terms[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array([source] * len(part), pa.string()),
+                        *(pa.array(np.fromiter(map(x.__getitem__, part), np.int64, len(part))) for x in (docs[lang, source], n)),
+                    ],
+                    ["lang", "term", "source", "docs", "n"],
+                )
         docs.clear()
         occurs.clear()
 
     for batch in pieces(batches):
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), utf8(batch.column("text"))):
-            words = Counter(text.translate(_LETTERS).split())
-            d, n = docs[lang, source], occurs[lang, source]
+            words = text.translate(_LETTERS).split()
+            n = occurs[lang, source]
             held -= len(n)
-            d.update(words.keys())
             n.update(words)
+            docs[lang, source].update(set(words))
             held += len(n)
             if held > HELD:
                 yield from told()
@@ -78,41 +83,59 @@ def _count(batches):
     yield from told()
 
 
-def _merge(batches):
-    """(lang, term, sources, counts) of the terms that stay, from sorted partial runs."""
-    now, docs, sources, counts = None, 0, [], []
-    out: list[tuple] = []
+def _starts(columns: list[pa.Array]) -> np.ndarray:
+    """Where a row of a batch differs from the row before in one of these columns; the first row always does."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        out[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return out
 
-    def told():
-        rows = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())))]
-        out.clear()
-        return pa.RecordBatch.from_arrays(rows, ["lang", "term", "sources", "counts"])
+
+def _merge(batches):
+    """(lang, term, sources, counts) of the terms that stay, from sorted partial runs; a batch's last term waits for the next batch."""
+    rest: list[pa.RecordBatch] = []
+
+    def told(rows: pa.RecordBatch):
+        lang, term, source, d, n = rows.columns
+        new_term = _starts([lang, term])
+        new_source = np.flatnonzero(new_term | _starts([source]))
+        first = np.flatnonzero(new_term)
+        n = np.add.reduceat(n.to_numpy(), new_source)
+        stays = np.add.reduceat(d.to_numpy(), first) >= MIN_DOCS
+        bounds = np.append(np.searchsorted(new_source, first), len(new_source))
+        sizes = np.diff(bounds)[stays]
+        if not len(sizes):
+            return None
+        pick = np.repeat(stays, np.diff(bounds))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        at = pa.array(first[stays])
+        return pa.RecordBatch.from_arrays(
+            [lang.take(at), term.take(at), pa.ListArray.from_arrays(offsets, source.take(pa.array(new_source[pick]))), pa.ListArray.from_arrays(offsets, pa.array(n[pick]))], ["lang", "term", "sources", "counts"]
+        )
 
     for batch in batches:
-        for lang, term, source, d, n in zip(*(c.to_pylist() for c in batch.columns)):
-            if (lang, term) != now:
-                if docs >= MIN_DOCS:
-                    out.append((*now, sources, counts))
-                now, docs, sources, counts = (lang, term), 0, [], []
-                if len(out) >= 1 << 13:
-                    yield told()
-            docs += d
-            if sources and sources[-1] == source:
-                counts[-1] += n
-            else:
-                sources.append(source)
-                counts.append(n)
-    if docs >= MIN_DOCS:
-        out.append((*now, sources, counts))
-    if out:
-        yield told()
+        if not batch.num_rows:
+            continue
+        last = np.flatnonzero(_starts([batch.column("lang"), batch.column("term")]))[-1]
+        same = last == 0 and bool(rest) and all(rest[-1].column(c)[-1] == batch.column(c)[0] for c in ("lang", "term"))
+        if not same:
+            now = pa.concat_batches([*rest, batch.slice(0, last)])
+            rest = [batch.slice(last)]
+            if now.num_rows and (out := told(now)) is not None:
+                yield out
+        else:  # a long run: its rows are one for each task and source
+            rest.append(batch)
+    if rest and (out := told(pa.concat_batches(rest))) is not None:
+        yield out
 
 
 def kept_runs(docs: DataFrame) -> DataFrame:
     """(lang, term, sources, counts): the occurrences of each kept term in each source that has it, sources ascending."""
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     runs = rows.transform(by_batches, _count, _RUNS)
-    along = runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    # any order in which a term's rows are neighbours will do; the first letters of terms are told apart sooner than languages
+    along = runs.repartition("lang", "term").sortWithinPartitions("term", "lang", "source")
     return along.transform(by_batches, _merge, "lang string, term string, sources array<string>, counts array<long>")
 
 
