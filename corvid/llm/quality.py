@@ -144,7 +144,7 @@ def features(stats: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndar
 def _measure(batches):
     for batch in pieces(batches):
         stats = statistics(utf8(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("calibrates"), pa.array(list(stats), pa.list_(pa.int64()))], ["label", "calibrates", "stats"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("calibrates"), pa.array(list(stats), pa.list_(pa.int64()))], ["doc_id", "label", "calibrates", "stats"])
 
 
 def _matrix(batch) -> np.ndarray:
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model | floa
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 0
     # the picked labels are at most about `bound` rows of two numbers, so they go to the texts and not the texts to them
     rows = texts.join(F.broadcast(picked), "doc_id").withColumn("calibrates", calibrates)
-    measured = stash(rows.transform(by_batches, _measure, "label int, calibrates boolean, stats array<long>").repartition(SHARDS, F.xxhash64("stats")), "statistics")
+    measured = stash(rows.transform(by_batches, _measure, "doc_id long, label int, calibrates boolean, stats array<long>").repartition(SHARDS, "doc_id"), "statistics")
     learns, judges = measured.where("not calibrates"), measured.where("calibrates")
     sums = learns.transform(by_batches, _moments, "n long, total binary").collect()
     n = sum(r.n for r in sums)
