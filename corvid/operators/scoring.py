@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,14 +21,21 @@ def query_terms(queries: DataFrame, analyzer: Analyzer, id_col: str = "q_id", te
     return analyzer.terms(queries, id_col, text_col).withColumnRenamed(id_col, "q_id").groupBy("q_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def bm25_idf() -> Column:
+    return F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def tf_idf_idf() -> Column:
+    return F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
+
+
 def bm25_weight(b: float | Column = 0.75, k1: float | Column = 1.2) -> Column:
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     b, k1 = (x if isinstance(x, Column) else F.lit(float(x)) for x in (b, k1))
-    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("rel_len")))
+    return bm25_idf() * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("rel_len")))
 
 
 def tf_idf_weight() -> Column:
-    return F.col("tf") / F.col("doc_len") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
+    return F.col("tf") / F.col("doc_len") * tf_idf_idf()
 
 
 def exact_sum(c: Column) -> Column:
@@ -41,13 +49,16 @@ def exact_sum(c: Column) -> Column:
 def scored_postings(index: Index, terms: DataFrame) -> DataFrame:
     """The postings of the queries' terms, with what the weights need. Terms outside the vocabulary fall away."""
     wanted = terms.join(index.term_stats, "term")
+    if index.lists is not None:  # a written index keeps a document's length beside its count
+        hits = index.lists.select("term", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("x")).select("term", F.col("x.docs").alias("doc_id"), F.col("x.tfs").alias("tf"), F.col("x.lens").alias("doc_len"))
+        return hits.join(wanted, "term").join(F.broadcast(index.totals)).withColumn("rel_len", F.col("doc_len") / F.nullif("avg_len", F.lit(0.0)))
     return index.postings.join(wanted, "term").join(index.doc_stats, "doc_id").join(F.broadcast(index.totals))
 
 
 def only_terms(index: Index, terms: list[str]) -> Index:
     """The index as far as these terms go; a written one, which lies by term, is read only at their row groups."""
     any_ = reduce(Column.__or__, (F.col("term") == F.lit(t) for t in terms)) if terms else F.lit(False)
-    return Index(index.postings.where(any_), index.term_stats.where(any_), index.doc_stats, index.totals)
+    return replace(index, postings=index.postings.where(any_), term_stats=index.term_stats.where(any_), lists=None if index.lists is None else index.lists.where(any_))
 
 
 def few_terms(queries: DataFrame, analyzer: Analyzer) -> list[str] | None:
@@ -64,7 +75,9 @@ def score(index: Index, terms: DataFrame, weight: Column, operator: str = "OR",
     """
     if operator not in ("OR", "AND"):
         raise ValueError(f"unknown operator {operator!r}")
-    hits = scored_postings(index if subset is None else Index(index.postings.join(subset, "doc_id", "left_semi"), index.term_stats, index.doc_stats, index.totals), terms)
+    hits = scored_postings(index, terms)
+    if subset is not None:
+        hits = hits.join(subset, "doc_id", "left_semi")
     found = hits.groupBy("q_id", "doc_id").agg(exact_sum(F.col("qtf") * weight).alias("score"), F.count("*").alias("n_terms"))
     if operator == "AND":
         need = terms.join(index.term_stats, "term", "left_semi").groupBy("q_id").agg(F.count("*").alias("needed"))
@@ -78,10 +91,14 @@ def top_k(scores: DataFrame, k: int, group: str = "q_id", item: str = "doc_id",
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def search(index: Index, queries: DataFrame, analyzer: Analyzer, model: str = "bm25", b: float = 0.75, k1: float = 1.2, cutoff: int = 100, operator: str = "OR", subset: DataFrame | None = None) -> DataFrame:
-    """(q_id, doc_id, score, rank)."""
+def search(index: Index, queries: DataFrame, analyzer: Analyzer, model: str = "bm25", b: float = 0.75, k1: float = 1.2, cutoff: int = 100, operator: str = "OR", subset: DataFrame | None = None, prune: bool = False) -> DataFrame:
+    """(q_id, doc_id, score, rank). prune: score only what the bounds of a written index leave (`blockmax`); the same rows."""
     if model not in ("bm25", "tf-idf"):
         raise ValueError(f"unknown model {model!r}")
+    if prune and index.lists is not None and operator == "OR" and subset is None:
+        from corvid.operators.blockmax import pruned_top_k
+
+        return pruned_top_k(index, query_terms(queries, analyzer), cutoff, model, b, k1)
     weight = bm25_weight(b, k1) if model == "bm25" else tf_idf_weight()
     return top_k(score(index, query_terms(queries, analyzer), weight, operator, subset), cutoff)
 

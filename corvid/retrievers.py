@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.analysis.analyzer import Analyzer
-from corvid.operators import dense, evaluation, filters, fusion, scoring
+from corvid.operators import blockmax, dense, evaluation, filters, fusion, scoring
 from corvid.operators.index import Index, load_index, persist_index
 from corvid.sources.collections import IndexFolder, apply_callback, from_rows, get_doc, get_docs, read_collection, write_results
 
+#: Postings from which bounds pay: two more exchanges and some seconds of starting jobs against scoring all of them.
+PRUNE_FROM = 100_000_000
 _BASE = {"path": "corvid-data"}
 
 
@@ -121,9 +123,10 @@ class SparseRetriever(_Retriever):
 
     def msearch(self, queries, cutoff: int = 100, operator: str = "OR", subset: DataFrame | None = None) -> DataFrame:
         c, asked, tables = self.config, _queries(self.spark, queries), self.tables
-        if not isinstance(queries, DataFrame) and (terms := scoring.few_terms(asked, self.analyzer)) is not None:
+        if (terms := scoring.few_terms(asked, self.analyzer)) is not None:
             tables = scoring.only_terms(tables, terms)
-        return scoring.search(tables, asked, self.analyzer, c.model, c.b, c.k1, cutoff, operator, subset)
+        prune = operator == "OR" and subset is None and blockmax.postings_of(tables, scoring.query_terms(asked, self.analyzer)) > PRUNE_FROM
+        return scoring.search(tables, asked, self.analyzer, c.model, c.b, c.k1, cutoff, operator, subset, prune)
 
     def search(self, query: str, return_docs: bool = True, cutoff: int = 100) -> DataFrame:
         return self._results(self.msearch(query, cutoff), return_docs)

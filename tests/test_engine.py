@@ -2,6 +2,8 @@
 
 import json
 import math
+import os
+import random
 
 import numpy as np
 import pytest
@@ -11,8 +13,8 @@ from corvid.analysis import normalize as n
 from corvid.analysis.analyzer import Analyzer
 from corvid.analysis.stemmers import cistem, english, german, get_stemmer, porter, register_stemmer
 from corvid.analysis.stopwords import get_stopwords, register_stopwords
-from corvid.operators import dense, evaluation, filters, fusion, scoring, sets
-from corvid.operators.index import build_index
+from corvid.operators import blockmax, dense, evaluation, filters, fusion, scoring, sets
+from corvid.operators.index import build_index, persist_index
 from corvid.retrievers import AdvancedRetriever, DenseRetriever, HybridRetriever, Merger, SearchEngine, SparseRetriever
 from corvid.sources.collections import IndexFolder, get_docs, import_embeddings, read_collection
 from corvid.streaming.query_stream import stream_search
@@ -262,6 +264,46 @@ def test_a_query_reads_only_its_terms(spark, tmp_path):
     assert scoring.few_terms(spark.createDataFrame([("q", many)], "q_id string, text string"), r.analyzer) is None and r.msearch(many, 1000).count() > 290
 
 
+def _search_both(index, asked, analyzer, *options):
+    return ([tuple(r) for r in scoring.search(index, asked, analyzer, *options, prune=p).select("q_id", "doc_id", "score", "rank").orderBy("q_id", "rank").collect()] for p in (False, True))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_bounds_leave_the_same_rows(spark, tmp_path, kind):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(80)]
+    texts = [" ".join(rng.choice(words[: rng.randint(1, 80)]) for _ in range(rng.choice([0, 1, 5, 40, 200]))) for _ in range(700)] + [None, "w1 w1"]
+    docs = spark.createDataFrame([(str(k) if kind == "string" else k, t) for k, t in enumerate(texts)], f"id {kind}, text string")
+    index = persist_index(docs, str(tmp_path / "i"), Analyzer(), id_col="id", block=16)
+    asked = spark.createDataFrame([("a", "w1 w70 w71 w1"), ("b", "w79"), ("c", "none"), ("d", " ".join(words)), ("e", "w1 w2 w3")], "q_id string, text string")
+    for options in (("bm25", 0.75, 1.2, 10), ("bm25", 0.0, 3.0, 3), ("bm25", 1.0, 0.4, 100), ("tf-idf", 0.75, 1.2, 7), ("bm25", 0.75, 1.2, 2000)):
+        plain, pruned = _search_both(index, asked, Analyzer(), *options)
+        assert plain == pruned and plain
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_bounds_leave_out_half_of_the_postings(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    asked = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").select(F.col("item_id").alias("q_id"), "text")
+    index = persist_index(docs, str(tmp_path / "i"))
+    terms = scoring.query_terms(asked, Analyzer())
+    scanned, _, second = blockmax.passes(index, terms, 100)
+    scored = sum(x.agg(F.sum("scored")).first()[0] or 0 for x in (scanned, second))
+    assert 0 < scored <= blockmax.postings_of(index, terms) / 2
+    plain, pruned = _search_both(index, asked, Analyzer())
+    assert plain == pruned and len(plain) == 20_000
+
+
+def test_a_written_index_needs_no_document_table_to_score(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"common word{k % 7}") for k in range(300)], "id long, text string")
+    r = SparseRetriever(spark, "lens", str(tmp_path), stemmer=None, stopwords=None).index(docs)
+    asked = spark.createDataFrame([("q", "word3 common")], "q_id string, text string")
+    told = scoring.search(r.tables, asked, r.analyzer)._jdf.queryExecution().executedPlan().toString()
+    assert "/lists" in told and "/doc_stats" not in told
+    told = r.msearch(asked)._jdf.queryExecution().executedPlan().toString()  # a table of few queries prunes too
+    assert "EqualTo(term,word3)" in told
+
+
 def test_words_are_stemmed_after_they_are_counted(spark, tmp_path):
     docs = spark.createDataFrame([(1, "running runs the ran"), (2, "run running runner"), (3, None), (4, "the")], "id long, text string")
     an = Analyzer(stemmer="english", stopwords="english")
