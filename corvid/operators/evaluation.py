@@ -1,7 +1,8 @@
-"""Ranking metrics (textbook definitions) and parameter search as one job."""
+"""Ranking metrics (textbook definitions) and parameter search, many points in one job."""
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from corvid.analysis.analyzer import Analyzer
 from corvid.operators import fusion
 from corvid.operators.index import Index
+from corvid.operators.sampler import sample
 from corvid.operators.scoring import bm25_weight, exact_sum, query_terms, scored_postings
 
 METRICS = ("hits", "hit_rate", "precision", "recall", "f1", "r_precision", "mrr", "map", "dcg", "ndcg")
@@ -64,32 +66,77 @@ def _mean_by(run: DataFrame, qrels: DataFrame, metric: str, keys: tuple[str, ...
     return values.groupBy(*keys).agg(F.sum(F.col("value").cast("decimal(20,10)")).alias("s")).join(F.broadcast(asked)).select(*keys, F.round(F.col("s").cast("double") / F.col("asked"), 6).alias("value"))
 
 
-def tune_bm25(index: Index, queries: DataFrame, qrels: DataFrame, analyzer: Analyzer, metric: str = "ndcg", bs: list[float] | None = None, k1s: list[float] | None = None, cutoff: int = 100) -> DataFrame:
-    """(b, k1, value) of every point of a grid, best first, in one job: each posting is weighted for all points at once."""
-    bs, k1s = bs or [x / 10 for x in range(11)], k1s or [x / 2 for x in range(21)]
-    hits = scored_postings(index, query_terms(queries, analyzer))
-    grid = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(k).alias("k1")) for b, k in product(bs, k1s)))
-    wide = hits.withColumn("p", F.explode(grid)).select("*", "p.b", "p.k1")
-    scores = wide.groupBy("b", "k1", "q_id", "doc_id").agg(exact_sum(F.col("qtf") * bm25_weight(F.col("b"), F.col("k1"))).alias("score"))
-    best = Window.partitionBy("b", "k1", "q_id").orderBy(F.desc("score"), "doc_id")
+#: Points that one aggregation sums beside each other; more make more columns than generated code takes.
+BATCH = 24
+
+
+def _judged(wide: DataFrame, points: list[tuple], names: tuple[str, ...], qrels: DataFrame, metric: str, cutoff: int) -> DataFrame:
+    """(names, value) of points whose scores stand beside each other in wide (q_id, doc_id, s0, s1, ...)."""
+    scores = wide.select("q_id", "doc_id", F.posexplode(F.array(*(f"s{k}" for k in range(len(points))))).alias("p", "score"))
+    best = Window.partitionBy("p", "q_id").orderBy(F.desc("score"), "doc_id")
     run = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= cutoff)
-    return _mean_by(run, qrels, metric, ("b", "k1")).orderBy(F.desc("value"), "b", "k1")
+    told = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, x))) for x in points))
+    return _mean_by(run, qrels, metric, ("p",)).withColumn("x", told[F.col("p")]).select(*(f"x.{n}" for n in names), "value")
 
 
-def tune_fusion(runs: list[DataFrame], qrels: DataFrame, metric: str = "ndcg", norms: tuple[str, ...] = ("min-max", "max", "sum"), weights: list[float] | None = None, cutoff: int = 100) -> DataFrame:
-    """(norm, weight, value): of two runs, the first weighs `weight` and the second the rest; best first."""
-    weights = weights or [x / 10 for x in range(11)]
+def judge_bm25(index: Index, queries: DataFrame, qrels: DataFrame, analyzer: Analyzer, points: list[tuple[float, float]], metric: str = "ndcg", cutoff: int = 100) -> DataFrame:
+    """(b, k1, value) of some points: each posting is weighted for all of them, and a document's sums are one row."""
+    hits = scored_postings(index, query_terms(queries, analyzer))
     parts = []
-    for norm in norms:
-        a, b = (fusion.normalize(r.select("q_id", "doc_id", "score"), norm) for r in runs)
-        both = a.withColumn("part", F.lit(0)).unionByName(b.withColumn("part", F.lit(1)))
-        parts.append(both.withColumn("norm", F.lit(norm)))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    wide = both.withColumn("weight", F.explode(F.array(*map(F.lit, weights))))
-    share = F.when(F.col("part") == 0, F.col("weight")).otherwise(1 - F.col("weight"))
-    scores = wide.groupBy("norm", "weight", "q_id", "doc_id").agg(exact_sum(F.col("score") * share).alias("score"))
-    best = Window.partitionBy("norm", "weight", "q_id").orderBy(F.desc("score"), "doc_id")
-    run = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= cutoff)
-    return _mean_by(run, qrels, metric, ("norm", "weight")).orderBy(F.desc("value"), "norm", "weight")
+    for a in range(0, len(points), BATCH):
+        some = points[a : a + BATCH]
+        wide = hits.groupBy("q_id", "doc_id").agg(*(exact_sum(F.col("qtf") * bm25_weight(b, k1)).alias(f"s{k}") for k, (b, k1) in enumerate(some)))
+        parts.append(_judged(wide, some, ("b", "k1"), qrels, metric, cutoff))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def tune_bm25(index: Index, queries: DataFrame, qrels: DataFrame, analyzer: Analyzer, metric: str = "ndcg", bs: list[float] | None = None, k1s: list[float] | None = None, cutoff: int = 100) -> DataFrame:
+    """(b, k1, value) of every point of a grid, best first."""
+    points = list(product(bs or [x / 10 for x in range(11)], k1s or [x / 2 for x in range(21)]))
+    return judge_bm25(index, queries, qrels, analyzer, points, metric, cutoff).orderBy(F.desc("value"), "b", "k1")
+
+
+def sample_bm25(index: Index, queries: DataFrame, qrels: DataFrame, analyzer: Analyzer, metric: str = "ndcg", trials: int = 100, seed: int = 42, cutoff: int = 100) -> list[tuple[dict, float]]:
+    """The trials of a seeded sampler over b in steps of .01 and k1 in steps of .1, best first; runs a job for each batch."""
+
+    def judge(points: list[dict]) -> list[float]:
+        told = judge_bm25(index, queries, qrels, analyzer, [(p["b"], p["k1"]) for p in points], metric, cutoff).collect()
+        value = {(r.b, r.k1): r.value for r in told}
+        return [value.get((p["b"], p["k1"])) or 0.0 for p in points]
+
+    return sample({"b": [x / 100 for x in range(101)], "k1": [x / 10 for x in range(101)]}, judge, trials, seed)
+
+
+def judge_fusion(runs: list[DataFrame], qrels: DataFrame, points: list[tuple[str, float]], metric: str = "ndcg", cutoff: int = 100) -> DataFrame:
+    """(norm, weight, value) of some points. Each run is normalised once, in all ways that the points name beside each other."""
+    norms = sorted({n for n, _ in points})
+    column = {n: f"n{k}" for k, n in enumerate(norms)}
+    each = [r.select("q_id", "doc_id", "score").withColumns({column[n]: fusion.normalized_score(n, ["q_id"]) for n in norms}).drop("score").withColumn("part", F.lit(k)) for k, r in enumerate(runs)]
+    both = reduce(DataFrame.unionByName, each)
+    parts = []
+    for a in range(0, len(points), BATCH):
+        some = points[a : a + BATCH]
+        share = lambda w: F.when(F.col("part") == 0, F.lit(w)).otherwise(1 - F.lit(w))
+        wide = both.groupBy("q_id", "doc_id").agg(*(exact_sum(F.col(column[n]) * share(w)).alias(f"s{k}") for k, (n, w) in enumerate(some)))
+        parts.append(_judged(wide, some, ("norm", "weight"), qrels, metric, cutoff))
+    return reduce(DataFrame.unionByName, parts)
+
+
+NORMS = ("min-max", "max", "sum")
+
+
+def tune_fusion(runs: list[DataFrame], qrels: DataFrame, metric: str = "ndcg", norms: tuple[str, ...] = NORMS, weights: list[float] | None = None, cutoff: int = 100) -> DataFrame:
+    """(norm, weight, value): of two runs, the first weighs `weight` and the second the rest; best first."""
+    points = list(product(norms, weights or [x / 10 for x in range(11)]))
+    return judge_fusion(runs, qrels, points, metric, cutoff).orderBy(F.desc("value"), "norm", "weight")
+
+
+def sample_fusion(runs: list[DataFrame], qrels: DataFrame, metric: str = "ndcg", trials: int = 60, seed: int = 42, cutoff: int = 100) -> list[tuple[dict, float]]:
+    """The trials of a seeded sampler over the normalisations and weights in steps of .01, best first."""
+
+    def judge(points: list[dict]) -> list[float]:
+        told = judge_fusion(runs, qrels, [(p["norm"], p["weight"]) for p in points], metric, cutoff).collect()
+        value = {(r.norm, r.weight): r.value for r in told}
+        return [value.get((p["norm"], p["weight"])) or 0.0 for p in points]
+
+    return sample({"norm": NORMS, "weight": [x / 100 for x in range(101)]}, judge, trials, seed)

@@ -131,11 +131,16 @@ class SparseRetriever(_Retriever):
     def search(self, query: str, return_docs: bool = True, cutoff: int = 100) -> DataFrame:
         return self._results(self.msearch(query, cutoff), return_docs)
 
-    def autotune(self, queries, qrels: DataFrame, metric: str = "ndcg", cutoff: int = 100, **grid) -> DataFrame:
-        """Try a grid of b and k1 in one job, keep and store the best."""
+    def autotune(self, queries, qrels: DataFrame, metric: str = "ndcg", cutoff: int = 100, trials: int = 100, seed: int = 42, **grid) -> DataFrame:
+        """(b, k1, value) of what was tried, best first: trials of a sampler, or all points of the grid bs, k1s. The best is kept and stored."""
         if self.config.model != "bm25":
             raise ValueError("only bm25 has parameters to tune")
-        tried = evaluation.tune_bm25(self.tables, _queries(self.spark, queries), qrels, self.analyzer, metric, cutoff=cutoff, **grid)
+        given = self.tables, _queries(self.spark, queries), qrels, self.analyzer, metric
+        if grid:
+            tried = evaluation.tune_bm25(*given, cutoff=cutoff, **grid)
+        else:
+            found = evaluation.sample_bm25(*given, trials=trials, seed=seed, cutoff=cutoff)
+            tried = self.spark.createDataFrame([(p["b"], p["k1"], v) for p, v in found], "b double, k1 double, value double").coalesce(1)
         best = tried.first()
         if best is not None and best.value > 0:
             self.config = SparseConfig(**{**self.config.__dict__, "b": best.b, "k1": best.k1})
@@ -207,8 +212,10 @@ class Merger:
     def fuse(self, runs: list[DataFrame], cutoff: int = 100) -> DataFrame:
         return fusion.fuse(runs, self.norm, self.weights, cutoff)
 
-    def autotune(self, runs: list[DataFrame], qrels: DataFrame, metric: str = "ndcg") -> DataFrame:
-        tried = evaluation.tune_fusion(runs, qrels, metric)
+    def autotune(self, runs: list[DataFrame], qrels: DataFrame, metric: str = "ndcg", trials: int = 60, seed: int = 42) -> DataFrame:
+        """(norm, weight, value) of a sampler's trials, best first; the best is kept."""
+        found = evaluation.sample_fusion(runs, qrels, metric, trials, seed)
+        tried = qrels.sparkSession.createDataFrame([(p["norm"], p["weight"], v) for p, v in found], "norm string, weight double, value double").coalesce(1)
         best = tried.first()
         if best is not None and best.value > 0:
             self.norm, self.weights = best.norm, [best.weight, 1 - best.weight]

@@ -15,6 +15,7 @@ from corvid.analysis.stemmers import cistem, english, german, get_stemmer, porte
 from corvid.analysis.stopwords import get_stopwords, register_stopwords
 from corvid.operators import blockmax, dense, evaluation, filters, fusion, scoring, sets
 from corvid.operators.index import build_index, persist_index
+from corvid.operators.sampler import sample
 from corvid.retrievers import AdvancedRetriever, DenseRetriever, HybridRetriever, Merger, SearchEngine, SparseRetriever
 from corvid.sources.collections import IndexFolder, get_docs, import_embeddings, read_collection
 from corvid.streaming.query_stream import stream_search
@@ -264,6 +265,33 @@ def test_a_query_reads_only_its_terms(spark, tmp_path):
     assert scoring.few_terms(spark.createDataFrame([("q", many)], "q_id string, text string"), r.analyzer) is None and r.msearch(many, 1000).count() > 290
 
 
+def test_sampler_finds_what_the_grid_finds():
+    shape = lambda p: round(1 - abs(p["b"] - 0.37) - 0.05 * abs(p["k1"] - 4.3), 9)
+    axes = {"b": [x / 100 for x in range(101)], "k1": [x / 10 for x in range(101)]}
+    one, two = (sample(axes, lambda points: list(map(shape, points))) for _ in range(2))
+    assert one == two and len(one) == 100 and len({tuple(p.values()) for p, _ in one}) == 100
+    assert one[0][1] >= max(shape({"b": x / 10, "k1": y / 2}) for x in range(11) for y in range(21))
+    small = sample({"kind": ["a", "b"], "x": [1, 2, 3]}, lambda points: [p["x"] + (p["kind"] == "b") for p in points], trials=50, batch=4)
+    assert len(small) == 6 and small[0] == ({"kind": "b", "x": 3}, 4)
+
+
+def test_sampled_parameters(spark, tmp_path):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words[: rng.randint(3, 40)]) for _ in range(rng.randint(3, 120))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    asked = spark.createDataFrame([(str(k), " ".join(rng.sample(texts[k].split(), 3))) for k in range(12)], "q_id string, text string")
+    qrels = spark.createDataFrame([(str(k), k, 1) for k in range(12)], "q_id string, doc_id long, rel int")
+    r = SparseRetriever(spark, "sampled", str(tmp_path), stemmer=None, stopwords=None).index(docs)
+    tried = [tuple(x) for x in r.autotune(asked, qrels, "mrr").collect()]
+    assert tried == [tuple(x) for x in r.autotune(asked, qrels, "mrr").collect()] and len(tried) == 100
+    grid = r.autotune(asked, qrels, "mrr", bs=[x / 10 for x in range(11)], k1s=[x / 2 for x in range(21)])
+    assert grid.count() == 231 and tried[0][2] >= grid.first().value - 0.02
+    b, k1, value = tried[0]
+    again = scoring.search(r.tables, asked, r.analyzer, b=b, k1=k1)
+    assert abs(evaluation.evaluate(again, qrels, "mrr").first().value - value) < 2e-6
+
+
 def _search_both(index, asked, analyzer, *options):
     return ([tuple(r) for r in scoring.search(index, asked, analyzer, *options, prune=p).select("q_id", "doc_id", "score", "rank").orderBy("q_id", "rank").collect()] for p in (False, True))
 
