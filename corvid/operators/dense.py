@@ -1,8 +1,7 @@
-"""Vector search: exact and approximate inner-product top-k, and a pluggable text encoder."""
+"""Vector search: exact inner-product top-k, hashing, and a pluggable text encoder; `vector_index` has the inverted file."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +14,6 @@ from corvid.operators.scoring import top_k
 QUERY_BLOCK = 4096
 #: Scores that are held at once (some 60 MB, with their order).
 CELLS = 1 << 21
-#: Share of an inverted file's cells that a query looks into: vectors without clusters lie near many cells.
-PROBED = 0.7
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -74,50 +71,6 @@ def exact_top_k(docs: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     return top_k(out, k)
 
 
-def cells(vectors: DataFrame, count: int = 0, sample: int = 20_000, seed: int = 42) -> np.ndarray:
-    """Centroids of an inverted-file index, by Lloyd steps on a bounded sample of the vectors."""
-    rows = vectors.select("vector").where("vector is not null").orderBy(F.xxhash64("vector")).limit(sample).collect()
-    x = np.array([r.vector for r in rows], np.float64)
-    count = count or max(1, int(np.sqrt(len(x))))
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(count, len(x)), replace=False)]
-    for _ in range(8):
-        near = (x @ c.T - (c * c).sum(1) / 2).argmax(1)
-        c = np.stack([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(len(c))])
-    return c
-
-
-def ivf_assign(vectors: DataFrame, centroids: np.ndarray, id_col: str, probes: int = 1) -> DataFrame:
-    """(id, vector, cell): the nearest `probes` cells of each vector."""
-
-    def run(frames):
-        for f in frames:
-            x = np.stack(f["vector"].to_numpy())
-            near = np.argsort(-(x @ centroids.T - (centroids * centroids).sum(1) / 2), axis=1, kind="stable")[:, :probes]
-            yield f.assign(cell=list(near.astype(np.int32)))
-
-    rows = vectors.select(id_col, F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(run, f"{id_col} {kind}, vector array<double>, cell array<int>").select(id_col, "vector", F.explode("cell").alias("cell"))
-
-
-def ivf_lists(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """(doc_id, vector, cell): the inverted file, to be written once (by cell) and searched often."""
-    return ivf_assign(docs, centroids, "doc_id").repartition("cell").sortWithinPartitions("cell", "doc_id")
-
-
-def ivf_top_k(docs: DataFrame, queries: DataFrame, k: int = 100, probes: int | None = None, centroids: np.ndarray | None = None) -> DataFrame:
-    """Approximate top-k: exact scores within the queries' nearest cells, `PROBED` of all unless `probes` says how many.
-
-    docs: (doc_id, vector), or an inverted file of `ivf_lists` with the centroids it was made with.
-    """
-    centroids = cells(docs) if centroids is None else centroids
-    probes = probes or max(8, math.ceil(PROBED * len(centroids)))
-    d = docs if "cell" in docs.columns else ivf_assign(docs, centroids, "doc_id")
-    q = ivf_assign(queries, centroids, "q_id", probes).withColumnRenamed("vector", "query")
-    return top_k(d.join(q, "cell").select("q_id", "doc_id", F.round(dot(F.col("vector"), F.col("query")), 6).alias("score")), k)
-
-
 def lsh_top_k(docs: DataFrame, queries: DataFrame, k: int = 100, tables: int = 64, bits: int = 6, seed: int = 7) -> DataFrame:
     """Approximate top-k by random-hyperplane hashing: candidates share a bucket in some table, then exact scores."""
 

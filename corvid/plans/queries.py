@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvid.analysis import normalize as n
 from corvid.analysis.analyzer import Analyzer
-from corvid.operators import dense, evaluation, filters, fusion, scoring, sets
+from corvid.operators import dense, evaluation, filters, fusion, scoring, sets, vector_index
 from corvid.operators.index import build_index, term_counts
 
 PLAIN = Analyzer()
@@ -345,7 +345,17 @@ def dense_exact_topk(spark, d):
 @_register()
 def ann_ivf(spark, d):
     docs, asked = _vectors(spark, d)
-    return dense.ivf_top_k(docs, asked, 10)
+    model = vector_index.train(docs)
+    return vector_index.search(vector_index.lists(docs, model), model, asked, 10)
+
+
+@_register("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0 AND embedding IS NOT NULL")
+def ann_recall(spark, d):
+    """Whether the index finds nine tenths of the exact ten neighbours of its queries."""
+    docs, asked = _vectors(spark, d)
+    want, got = dense.exact_top_k(docs, asked, 10).select("q_id", "doc_id"), ann_ivf(spark, d).select("q_id", "doc_id")
+    met = want.join(got, ["q_id", "doc_id"], "left_semi").agg(F.count("*").alias("met"))
+    return want.agg(F.countDistinct("q_id").alias("queries"), F.count("*").alias("all")).join(F.broadcast(met)).select("queries", (F.col("met") >= 0.9 * F.col("all")).alias("reached"))
 
 
 @_register()

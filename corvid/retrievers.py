@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.analysis.analyzer import Analyzer
-from corvid.operators import blockmax, dense, evaluation, filters, fusion, scoring
+from corvid.operators import blockmax, dense, evaluation, filters, fusion, scoring, vector_index
 from corvid.operators.index import Index, load_index, persist_index
 from corvid.sources.collections import IndexFolder, apply_callback, from_rows, get_doc, get_docs, read_collection, write_results
 
@@ -110,14 +110,24 @@ class SparseRetriever(_Retriever):
         return self
 
     def save(self) -> None:
-        plain = {k: v for k, v in asdict(self.config).items() if not callable(v)}
+        # a function cannot be stored: its place is, so that an index does not come back with another in its stead
+        plain = {k: {"given": getattr(v, "__name__", "function")} if callable(v) else v for k, v in asdict(self.config).items()}
         plain["stopwords"] = sorted(plain["stopwords"]) if isinstance(plain.get("stopwords"), (set, frozenset)) else plain.get("stopwords")
         self.folder.write_meta({"config": plain, "id_col": self.id_col, "text_col": self.text_col})
 
+    @staticmethod
+    def _options(meta: dict, callables: dict) -> dict:
+        options = {**meta["config"], **callables}
+        if missing := [k for k, v in options.items() if isinstance(v, dict)]:
+            raise ValueError(f"the index was made with functions that are not stored: give {', '.join(missing)}")
+        return options
+
     @classmethod
     def load(cls, spark: SparkSession, index_name: str, base_path: str | None = None, **callables):
-        """callables: tokenizer or stemmer functions, which are not stored."""
-        self = cls(spark, index_name, base_path, **{**IndexFolder(spark, base_path or _BASE["path"], index_name).read_meta()["config"], **callables})
+        """callables: the tokenizer or stemmer functions that the index was made with."""
+        meta = IndexFolder(spark, base_path or _BASE["path"], index_name).read_meta()
+        self = cls(spark, index_name, base_path, **cls._options(meta, callables))
+        self.id_col, self.text_col = meta["id_col"], meta["text_col"]
         self.docs, self.tables = spark.read.parquet(self.folder.table("docs")), load_index(spark, self.folder.path)
         return self
 
@@ -156,7 +166,7 @@ class DenseRetriever(_Retriever):
 
     def __init__(self, spark: SparkSession, index_name: str = "new-index", base_path: str | None = None, model: Callable | None = None, normalize: bool = True, max_length: int | None = None, use_ann: bool = True, dim: int = 64):
         super().__init__(spark, index_name, base_path)
-        self.normalize, self.use_ann = normalize, use_ann
+        self.normalize, self.use_ann, self.dim, self.max_length, self.given = normalize, use_ann, dim, max_length, model
         self.encoder = model or dense.hashing_encoder(dim, max_length)
         self.vectors: DataFrame | None = None
 
@@ -165,31 +175,35 @@ class DenseRetriever(_Retriever):
         docs = self._store(apply_callback(from_rows(self.spark, collection), callback, callback_schema))
         made = embeddings if embeddings is not None else dense.encode(docs, self.encoder, self.id_col, self.text_col, self.normalize)
         made.select(F.col(made.columns[0]).alias("doc_id"), F.col(made.columns[1]).alias("vector")).write.mode("overwrite").parquet(self.folder.table("vectors"))
-        vectors, centroids = self.spark.read.parquet(self.folder.table("vectors")), None
+        vectors, model = self.spark.read.parquet(self.folder.table("vectors")), None
         if self.use_ann:  # the inverted file is made once, and only read by searches
-            centroids = dense.cells(vectors)
-            dense.ivf_lists(vectors, centroids).write.mode("overwrite").parquet(self.folder.table("lists"))
-        self.folder.write_meta({"normalize": self.normalize, "use_ann": self.use_ann, "centroids": None if centroids is None else centroids.tolist()})
+            model = vector_index.train(vectors)
+            vector_index.lists(vectors, model).write.mode("overwrite").parquet(self.folder.table("lists"))
+        encoder = "hashing" if self.given is None else "given"
+        self.folder.write_meta({"normalize": self.normalize, "use_ann": self.use_ann, "encoder": encoder, "dim": self.dim, "max_length": self.max_length, "id_col": self.id_col, "text_col": self.text_col, "model": None if model is None else model.dumps()})
         return self._open()
 
     def _open(self):
         meta = self.folder.read_meta()
         self.docs, self.vectors = self.spark.read.parquet(self.folder.table("docs")), self.spark.read.parquet(self.folder.table("vectors"))
-        self.normalize, self.use_ann, self.centroids = meta["normalize"], meta["use_ann"], meta["centroids"]
+        if meta["encoder"] == "given" and self.given is None:
+            raise ValueError("the index was made with an encoder that is not stored: give model")
+        self.normalize, self.use_ann, self.dim, self.max_length, self.id_col, self.text_col = (meta[k] for k in ("normalize", "use_ann", "dim", "max_length", "id_col", "text_col"))
+        self.encoder = self.given or dense.hashing_encoder(self.dim, self.max_length)
+        self.model = vector_index.Model.loads(meta["model"]) if self.use_ann else None
         self.lists = self.spark.read.parquet(self.folder.table("lists")) if self.use_ann else None
         return self
 
     @classmethod
-    def load(cls, spark: SparkSession, index_name: str, base_path: str | None = None, model: Callable | None = None, **options):
-        return cls(spark, index_name, base_path, model, **options)._open()
+    def load(cls, spark: SparkSession, index_name: str, base_path: str | None = None, model: Callable | None = None):
+        """model: the encoder that the index was made with, if it was given one."""
+        return cls(spark, index_name, base_path, model)._open()
 
     def msearch(self, queries, cutoff: int = 100) -> DataFrame:
-        import numpy as np
-
         asked = _queries(self.spark, queries)
         vectors = asked if "vector" in asked.columns else dense.encode(asked, self.encoder, "q_id", "text", self.normalize)
         if self.use_ann:
-            return dense.ivf_top_k(self.lists, vectors, cutoff, centroids=np.array(self.centroids))
+            return vector_index.search(self.lists, self.model, vectors, cutoff)
         return dense.exact_top_k(self.vectors, vectors, cutoff)
 
     def search(self, query: str, return_docs: bool = True, cutoff: int = 100) -> DataFrame:
@@ -242,8 +256,8 @@ class HybridRetriever(_Retriever):
         return self
 
     @classmethod
-    def load(cls, spark: SparkSession, index_name: str, base_path: str | None = None, model: Callable | None = None):
-        self = cls(spark, index_name, base_path, SparseRetriever.load(spark, f"{index_name}-sparse", base_path), DenseRetriever.load(spark, f"{index_name}-dense", base_path, model))
+    def load(cls, spark: SparkSession, index_name: str, base_path: str | None = None, model: Callable | None = None, **callables):
+        self = cls(spark, index_name, base_path, SparseRetriever.load(spark, f"{index_name}-sparse", base_path, **callables), DenseRetriever.load(spark, f"{index_name}-dense", base_path, model))
         self.docs, self.merger = spark.read.parquet(self.folder.table("docs")), Merger(**self.folder.read_meta())
         return self
 
@@ -279,6 +293,7 @@ class AdvancedRetriever(SparseRetriever):
         filters.check_collection(docs, self.schema)
         if self.text_col is None:
             self._store(docs)
+            self.save()
             return self
         return super().index(docs)
 
@@ -289,8 +304,8 @@ class AdvancedRetriever(SparseRetriever):
     @classmethod
     def load(cls, spark: SparkSession, index_name: str, base_path: str | None = None, **callables):
         meta = IndexFolder(spark, base_path or _BASE["path"], index_name).read_meta()
-        self = cls(spark, meta["schema"], index_name, base_path, **{**meta["config"], **callables})
-        self.docs, self.tables = spark.read.parquet(self.folder.table("docs")), load_index(spark, self.folder.path)
+        self = cls(spark, meta["schema"], index_name, base_path, **cls._options(meta, callables))
+        self.docs, self.tables = spark.read.parquet(self.folder.table("docs")), None if self.text_col is None else load_index(spark, self.folder.path)
         return self
 
     def filter_docs(self, query: Mapping[str, Any], strict: bool = False) -> DataFrame:
