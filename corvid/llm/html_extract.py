@@ -10,7 +10,9 @@
    and neither does a page with few elements at the exemplar's places, which has another layout.
 3. A page's blocks are the slots of its article (or main) element, or of the whole body where it has neither. As
    furniture may also differ from page to page, elements that name it (menus, headers, footers, sidebars, notices,
-   adverts, forms, comments, related articles, scripts, styles) are left out by element, role, or class and id.
+   adverts, forms, comments, related articles, scripts, styles) are left out by element, role, or class and id. Inside an
+   article a class word needs more: it takes nothing that is most of the article, and words that articles use
+   for their own parts (related, discussion, notice, menu) take only what is mostly links.
 
 Counts are summed per exemplar node before they are exchanged. A host's pages meet their exemplar and their wrapper in
 joins that Spark may split when one host holds a third of all pages.
@@ -54,6 +56,12 @@ NAMES = frozenset(
 PLACES = frozenset(
     "site page global top bottom main left right center inner outer box bar block list section sections wrapper wrap container area region zone slot unit panel row col column item items link links button buttons icon icons form message msg text content body title heading area primary secondary article articles post posts entry story stories news reader readers user users media more also you and the in to by on of by for policy label info warning success error danger thread count author meta small large fixed sticky floating hidden visible desktop mobile js no".split()
 )
+#: Those of these words that name parts of articles too: inside one, they say something only of what is mostly links.
+WEAK = frozenset("banner banners alert alerts notice notices promotion promotions reply replies respond related recommended recommendations menu menus discussion responses footer skip widget widgets subscription".split())
+#: What readers write may be longer than the article.
+COMMENTS = frozenset("comment comments disqus".split())
+#: With one of these they name lists of other articles.
+FEEDS = frozenset("posts articles stories news links items".split())
 #: A header is the page's, not the article's, if its other words say so.
 HEADERS = frozenset("header head top bar wrapper container inner box section area".split())
 SITES = frozenset("site global masthead nav".split())
@@ -82,21 +90,22 @@ LAYOUTS = 4
 CELLS = 1 << 20
 
 
-def names_furniture(name: str, inside: bool) -> bool:
-    """Whether one class or id names furniture; inside an article a header is furniture only if it is the site's."""
+def names_furniture(name: str, inside: bool) -> int:
+    """Whether one class or id names furniture: 0 no, 1 by words that name parts of articles too, 2 yes, 3 readers' comments. Inside
+    an article a header is furniture only if it is the site's."""
     words = {w.lower() for w in _WORDS.findall(name)}
     if words & NAMES and words <= NAMES | PLACES:
-        return True
+        return 3 if words & COMMENTS else 1 if words & NAMES <= WEAK and not words & FEEDS else 2
     more = SITES if inside else SITES | PAGES
-    return "header" in words and words <= HEADERS | more and (not inside or bool(words & SITES))
+    return 2 * ("header" in words and words <= HEADERS | more and (not inside or bool(words & SITES)))
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "parts", "up", "hidden", "shape", "size", "at", "text")
+    __slots__ = ("tag", "names", "role", "parts", "up", "hidden", "shape", "size", "at", "text", "chars", "linked")
 
     def __init__(self, tag: str, up):
         self.tag, self.up, self.names, self.role, self.parts, self.hidden = tag, up, (), "", [], False
-        self.shape, self.size, self.at, self.text = 0, 1, 0, None
+        self.shape, self.size, self.at, self.text, self.chars, self.linked = 0, 1, 0, None, 0, 0
 
     def children(self) -> list[Node]:
         return [x for x in self.parts if x.__class__ is Node]
@@ -107,15 +116,20 @@ class Node:
             self.text = " ".join(" ".join([x for x in self.parts if x.__class__ is str]).split())
         return self.text
 
-    def furniture(self, inside: bool) -> bool:
-        """Whether the element names itself furniture; the header of an article is not."""
+    def furniture(self, inside: int) -> bool:
+        """Whether the element names itself furniture; the header of an article is not. inside: the characters of the article that it
+        stands in, or 0. There a class word alone takes nothing that is most of the article (but readers' comments), and a word that articles use too
+        takes only what is mostly links."""
         if self.hidden or self.tag in FURNITURE or self.role in ROLES:
             return True
         if self.tag in ("html", "body", "main"):
             return False
         if self.tag == "header" and not inside:
             return True
-        return any(names_furniture(x, inside) for x in self.names)
+        named = max((names_furniture(x, inside > 0) for x in self.names), default=0)
+        if not inside or not named:
+            return named > 0
+        return named == 3 or 2 * self.chars <= inside and (named == 2 or 2 * self.linked > self.chars)
 
 
 def parse(page: str) -> Node:
@@ -192,6 +206,8 @@ def _measure(root: Node) -> None:
     for x in reversed(order):
         below = [c for c in x.parts if c.__class__ is Node]
         x.size = 1 + sum(c.size for c in below)
+        x.chars = (sum(len(c.strip()) for c in x.parts if c.__class__ is str) if x.tag not in RAW else 0) + sum(c.chars for c in below)
+        x.linked = x.chars if x.tag == "a" else sum(c.linked for c in below)
         x.shape = hash((x.tag, *(c.shape for c in below)))
 
 
@@ -317,10 +333,25 @@ def mark(node: Node, text: str) -> int:
     return xxhash.xxh3_64_intdigest(text, node.at) - 2**63
 
 
-def _tops(root: Node) -> tuple[list[Node], bool]:
-    """The elements that hold the main text, and whether the page names them."""
-    found = _outermost(root, "article") or _outermost(root, "main") or [x for x in _all(root) if x.role == "main"][:1]
-    return found or [root], bool(found)
+def _tops(root: Node) -> tuple[list[Node], int]:
+    """The elements that hold the main text, and their characters (one at least), or 0 if the page names none.
+
+    Of articles those count that do not name themselves furniture, if there are such; several in one main element are that element.
+    """
+    found = _outermost(root, "article")
+    found = [x for x in found if not any(names_furniture(n, False) for n in x.names)] or found
+    if len(found) > 1:
+        around = {id(m): m for x in found for m in [_around(x, "main")]}
+        found = [m for m in around.values() if m is not None] if len(around) == 1 and None not in around.values() else found
+    found = found or _outermost(root, "main") or [x for x in _all(root) if x.role == "main"][:1]
+    return found or [root], max(1, sum(x.chars for x in found)) if found else 0
+
+
+def _around(x: Node, tag: str) -> Node | None:
+    """The innermost element of this tag around x."""
+    while x is not None and x.tag != tag:
+        x = x.up
+    return x
 
 
 def body_text(page: str, template: frozenset[int] = frozenset()) -> str:
@@ -356,10 +387,10 @@ def _outermost(node: Node, tag: str) -> list[Node]:
     found, stack = [], [node]
     while stack:
         x = stack.pop()
-        if x.up is not None and x.furniture(False):
+        if x.tag == tag and not x.hidden and x.role not in ROLES:
+            found.append(x)  # whatever its class says
             continue
-        if x.tag == tag:
-            found.append(x)
+        if x.up is not None and x.furniture(0):
             continue
         stack.extend(reversed(x.children()))
     return found
@@ -372,7 +403,7 @@ def _close(line: list[str], blocks: list[str]) -> None:
     line.clear()
 
 
-def _walk(top: Node, inside: bool, template: frozenset[int], line: list[str], blocks: list[str]) -> None:
+def _walk(top: Node, inside: int, template: frozenset[int], line: list[str], blocks: list[str]) -> None:
     """Collect blocks below top in page order, without recursion (pages may nest deeply)."""
     stack: list = [(top, None)]
     while stack:

@@ -143,6 +143,17 @@ def test_what_browsers_read_and_what_names_furniture():
     assert body_text("<header>site</header><div class='page-header'>top</div><p>text</p><p hidden>no</p><div role=navigation>no</div>") == "text"
 
 
+def test_a_class_word_alone_takes_no_article_text():
+    text = "<p>the first words of this article</p>"
+    for part in ("<section class='discussion'><p>more</p></section>", "<section id='related'><p>more</p></section>", "<p class='notice'>more</p>", "<div class='alert-text'>more</div>", "<ol class='menu'><li>more</ol>"):
+        assert body_text(f"<article>{text}{part}</article>") == "the first words of this article\n\nmore"
+        linked = part.replace("more", "<a href='x'>more</a>")
+        assert body_text(f"<article>{text}{linked}</article>") == "the first words of this article"
+    assert body_text("<article class='post responses'><p>all</p></article>") == body_text("<article><div class='sidebar'>all</div></article>") == "all"
+    assert body_text("<main><article>A1</article><p>between</p><article>A2</article><nav>no</nav></main>") == "A1\n\nbetween\n\nA2"
+    assert body_text("<main><article>A1</article><article class='comment'>no</article></main><article class='related'>no</article>") == "A1"
+
+
 def _texts(spark, pages):
     out = extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert len(out) == len(pages)
