@@ -46,13 +46,31 @@ def exact_sum(c: Column) -> Column:
     return F.floor(F.sum(F.floor(c * 1e10 + 0.5)) / 1e4 + 0.5) / 1e6
 
 
-def scored_postings(index: Index, terms: DataFrame) -> DataFrame:
-    """The postings of the queries' terms, with what the weights need. Terms outside the vocabulary fall away."""
+def scored_postings(index: Index, terms: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """The postings of the queries' terms, with what the weights need. Terms outside the vocabulary fall away.
+
+    within (q_id, doc_id, block): only these documents, for a written index by whole lists first.
+    """
     wanted = terms.join(index.term_stats, "term")
-    if index.lists is not None:  # a written index keeps a document's length beside its count
-        hits = index.lists.select("term", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("x")).select("term", F.col("x.docs").alias("doc_id"), F.col("x.tfs").alias("tf"), F.col("x.lens").alias("doc_len"))
-        return hits.join(wanted, "term").join(F.broadcast(index.totals)).withColumn("rel_len", F.col("doc_len") / F.nullif("avg_len", F.lit(0.0)))
-    return index.postings.join(wanted, "term").join(index.doc_stats, "doc_id").join(F.broadcast(index.totals))
+    if index.lists is not None:  # lists meet the terms whole; a document's length stands beside its count
+        lists = index.lists.drop("best").join(wanted, "term")
+        if within is not None:
+            lists = lists.join(within.select("q_id", "block").distinct(), ["q_id", "block"], "left_semi")
+        rows = lists.select("*", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("x"))
+        hits = rows.select("term", *(c for c in wanted.columns if c != "term"), "block", F.col("x.docs").alias("doc_id"), F.col("x.tfs").alias("tf"), F.col("x.lens").alias("doc_len"))
+        hits = hits.join(F.broadcast(index.totals)).withColumn("rel_len", F.col("doc_len") / F.nullif("avg_len", F.lit(0.0)))
+    else:
+        hits = index.postings.join(wanted, "term").join(index.doc_stats, "doc_id").join(F.broadcast(index.totals)).withColumn("block", F.lit(0))
+    return hits if within is None else hits.join(within.select("q_id", "doc_id"), ["q_id", "doc_id"], "left_semi")
+
+
+def conjunction(index: Index, terms: DataFrame) -> DataFrame:
+    """The postings of documents that the rarest known term of their query has, with `needed`, the number of known terms."""
+    by_df = Window.partitionBy("q_id").orderBy("df", "term")
+    known = terms.join(index.term_stats, "term").withColumns({"place": F.row_number().over(by_df), "needed": F.count("*").over(Window.partitionBy("q_id"))}).drop("df")
+    rarest = scored_postings(index, known.where("place = 1"))
+    others = scored_postings(index, known.where("place > 1"), rarest.select("q_id", "doc_id", "block"))
+    return rarest.unionByName(others)
 
 
 def only_terms(index: Index, terms: list[str]) -> Index:
@@ -75,14 +93,13 @@ def score(index: Index, terms: DataFrame, weight: Column, operator: str = "OR",
     """
     if operator not in ("OR", "AND"):
         raise ValueError(f"unknown operator {operator!r}")
-    hits = scored_postings(index, terms)
+    hits = scored_postings(index, terms) if operator == "OR" else conjunction(index, terms)
     if subset is not None:
         hits = hits.join(subset, "doc_id", "left_semi")
-    found = hits.groupBy("q_id", "doc_id").agg(exact_sum(F.col("qtf") * weight).alias("score"), F.count("*").alias("n_terms"))
-    if operator == "AND":
-        need = terms.join(index.term_stats, "term", "left_semi").groupBy("q_id").agg(F.count("*").alias("needed"))
-        found = found.join(need, "q_id").where("n_terms = needed")
-    return found.select("q_id", "doc_id", "score")
+    total = exact_sum(F.col("qtf") * weight).alias("score")
+    if operator == "OR":
+        return hits.groupBy("q_id", "doc_id").agg(total)
+    return hits.groupBy("q_id", "doc_id", "needed").agg(total, F.count("*").alias("n_terms")).where("n_terms = needed").select("q_id", "doc_id", "score")
 
 
 def top_k(scores: DataFrame, k: int, group: str = "q_id", item: str = "doc_id", value: str = "score") -> DataFrame:

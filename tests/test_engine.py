@@ -316,6 +316,19 @@ def test_an_index_comes_back_as_it_was(spark, tmp_path):
     assert [r.id for r in AdvancedRetriever.load(spark, "plain", base).search({"where": {"year": ("gt", 1995)}}).collect()] == ["b"]
 
 
+def test_a_conjunction_starts_from_its_rarest_term(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "common " * (k % 3 + 1) + f"word{k % 7} word{k % 50}") for k in range(700)], "id long, text string")
+    asked = spark.createDataFrame([("a", "common word3 word33"), ("b", "word40 common"), ("c", "common nowhere"), ("d", "nowhere")], "q_id string, text string")
+    written = persist_index(docs, str(tmp_path / "i"), id_col="id", block=16)
+    terms = scoring.query_terms(asked, Analyzer())
+    for index in (written, build_index(docs, id_col="id")):
+        df = {r.term: r.df for r in index.term_stats.collect()}
+        rows = {r.q_id: r.n for r in scoring.conjunction(index, terms).groupBy("q_id").agg(F.count("*").alias("n")).collect()}
+        assert rows["a"] <= 3 * df["word33"] and rows["b"] <= 2 * df["word40"] and rows["c"] == df["common"] and "d" not in rows
+        got = {(r.q_id, r.doc_id) for r in scoring.search(index, asked, Analyzer(), operator="AND", cutoff=1000).collect()}
+        assert got == {("a", k) for k in range(700) if {k % 7, k % 50} >= {3, 33}} | {("b", k) for k in range(700) if k % 50 == 40} | {("c", k) for k in range(700)}
+
+
 def test_sampler_finds_what_the_grid_finds():
     shape = lambda p: round(1 - abs(p["b"] - 0.37) - 0.05 * abs(p["k1"] - 4.3), 9)
     axes = {"b": [x / 100 for x in range(101)], "k1": [x / 10 for x in range(101)]}
@@ -378,7 +391,7 @@ def test_a_written_index_needs_no_document_table_to_score(spark, tmp_path):
     r = SparseRetriever(spark, "lens", str(tmp_path), stemmer=None, stopwords=None).index(docs)
     asked = spark.createDataFrame([("q", "word3 common")], "q_id string, text string")
     told = scoring.search(r.tables, asked, r.analyzer)._jdf.queryExecution().executedPlan().toString()
-    assert "/lists" in told and "/doc_stats" not in told
+    assert "lens:array" in told and "rel_len:double" not in told  # columns that the scans read
     told = r.msearch(asked)._jdf.queryExecution().executedPlan().toString()  # a table of few queries prunes too
     assert "EqualTo(term,word3)" in told
 
