@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.analysis import normalize as n
+from corvid.analysis.sentences import SentenceModel
 from corvid.analysis.stemmers import get_stemmer, stem_batches
 from corvid.analysis.stopwords import get_stopwords
 
 
 def resolve_tokenizer(given: str | Callable | None) -> Callable[[Column], Column] | None:
-    """A name, a Python function from string to list of strings, or None (the column holds tokens already)."""
+    """A name, a Python function from string to list of strings, a trained sentence splitter, or None (the column holds tokens already)."""
     if given is None:
         return None
+    if isinstance(given, SentenceModel):
+        return given.split
     if callable(given):
         @F.pandas_udf("array<string>")
         def tokens(s: pd.Series) -> pd.Series:
@@ -31,7 +34,7 @@ def resolve_tokenizer(given: str | Callable | None) -> Callable[[Column], Column
 
 @dataclass(frozen=True)
 class Analyzer:
-    tokenizer: str | Callable | None = "whitespace"
+    tokenizer: str | Callable | SentenceModel | None = "whitespace"
     stemmer: str | Callable | None = None
     stopwords: str | Iterable[str] | None = None
     do_lowercasing: bool = True

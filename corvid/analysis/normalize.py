@@ -75,7 +75,7 @@ def word(c: Column) -> Column:
 
 
 def sent(c: Column) -> Column:
-    """Sentences as tokens: split after end marks before white space (approximates trained splitters)."""
+    """Sentences as tokens: split after end marks before white space; `sentences.SentenceModel` learns what is no end."""
     return F.filter(F.split(c, r"(?U)(?<=[.!?])\s+"), lambda t: t != "")
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from corvid.analysis import normalize as n
 from corvid.analysis.analyzer import Analyzer
+from corvid.analysis.sentences import SentenceModel, abbreviations
 from corvid.operators import dense, evaluation, filters, fusion, scoring, sets, vector_index
-from corvid.operators.index import build_index, term_counts
+from corvid.operators.index import build_index, spread, term_counts
+from corvid.retrievers import AdvancedRetriever
 
 PLAIN = Analyzer()
 SCHEMA = {"doc_id": "id", "text": "text", "n_chars": "number", "good": "bool", "lang": "keyword", "tags": "keywords"}
@@ -115,6 +117,26 @@ for _language in ("english", "german", "french", "spanish"):
 # --- index ----------------------------------------------------------------------------------------------------------
 
 
+@_register(
+    r"""
+WITH t AS (SELECT unnest(string_split_regex(text, '\s+')) AS t FROM documents),
+x AS (SELECT lower(regexp_replace(t, '^["''“‘(\[{«]+|["''”’)\]}»,;:]+$', '', 'g')) AS t FROM t WHERE t <> ''),
+c AS (SELECT CASE WHEN t LIKE '%.' THEN left(t, length(t) - 1) ELSE t END AS word, count(*) FILTER (t LIKE '%.') AS with_period, count(*) AS total FROM x GROUP BY ALL),
+s AS (SELECT sum(with_period) / sum(total) AS p FROM c),
+w AS (SELECT *, length(word) - length(replace(word, '.', '')) + 1 AS dots, total - with_period AS without FROM c WHERE with_period > 0 AND regexp_matches(word, '[a-zà-öø-ÿ]') AND NOT regexp_matches(word, '[0-9!?]'))
+SELECT word, with_period, total, round(-2 * (with_period * ln(p) + without * ln(1 - p) - with_period * ln(0.99) - without * ln(0.01)) * exp(-(length(word) - dots + 1)) * dots * pow(length(word) - dots + 1, -without), 3) + 0.0 AS score FROM w, s"""
+)
+def sentence_abbreviations(spark, d):
+    return abbreviations(_docs(spark, d)).withColumn("score", F.round("score", 3) + 0.0)
+
+
+@_register()
+def sentence_counts(spark, d):
+    """Sentences of each document by the splitter that the collection teaches."""
+    docs = spread(_docs(spark, d).select("doc_id", "text"))
+    return docs.select("doc_id", F.coalesce(F.size(SentenceModel.train(docs).split(F.col("text"))), F.lit(0)).alias("n_sentences"))
+
+
 @_register(f"WITH {_INDEX} SELECT term, doc_id, tf FROM postings")
 def postings(spark, d):
     return build_index(_docs(spark, d)).postings
@@ -236,12 +258,13 @@ _FILTERS = {
     "filter_keywords_not_any": ({"where_not": {"tags": ("or", ["src1", "es"])}}, "NOT list_has_any(tags, ['src1', 'es'])"),
     "filter_keywords_not_all": ({"where_not": {"tags": ("and", ["src1", "en"])}}, "NOT list_has_all(tags, ['src1', 'en'])"),
     "filter_number_eq": ({"n_chars": 416}, "n_chars = 416"),
-    "filter_number_gt": ({"n_chars": ("gt", 2000)}, "n_chars > 2000"),
-    "filter_number_gte": ({"n_chars": ("gte", 2000)}, "n_chars >= 2000"),
-    "filter_number_lt": ({"n_chars": ("lt", 300)}, "n_chars < 300"),
-    "filter_number_lte": ({"n_chars": ("lte", 300)}, "n_chars <= 300"),
-    "filter_number_between": ({"n_chars": ("between", [300, 900])}, "n_chars BETWEEN 300 AND 900"),
-    "filter_number_not": ({"where_not": {"n_chars": ("between", [300, 900])}}, "n_chars NOT BETWEEN 300 AND 900"),
+    # lengths that some document has, so that bounds with and without equality differ
+    "filter_number_gt": ({"n_chars": ("gt", 2102)}, "n_chars > 2102"),
+    "filter_number_gte": ({"n_chars": ("gte", 2102)}, "n_chars >= 2102"),
+    "filter_number_lt": ({"n_chars": ("lt", 1573)}, "n_chars < 1573"),
+    "filter_number_lte": ({"n_chars": ("lte", 1573)}, "n_chars <= 1573"),
+    "filter_number_between": ({"n_chars": ("between", [1573, 2102])}, "n_chars BETWEEN 1573 AND 2102"),
+    "filter_number_not": ({"where_not": {"n_chars": ("between", [1573, 2102])}}, "n_chars NOT BETWEEN 1573 AND 2102"),
     "filter_where_and_not": ({"where": {"lang": "en", "good": True}, "where_not": {"n_chars": ("gt", 2000), "tags": "src0"}}, "lang = 'en' AND good AND NOT n_chars > 2000 AND NOT list_contains(tags, 'src0')"),
 }
 
@@ -259,7 +282,9 @@ for _name, (_query, _sql) in _FILTERS.items():
 
 @_register(f"WITH {_FIELDS} SELECT doc_id, 1.0::DOUBLE AS score FROM f WHERE lang = 'es' AND n_chars >= 500")
 def filter_only_search(spark, d):
-    return filters.filter_documents(_fields(spark, d), SCHEMA, {"lang": "es", "n_chars": ("gte", 500)}).select("doc_id", F.lit(1.0).alias("score"))
+    retriever = AdvancedRetriever(spark, SCHEMA)
+    retriever.docs = _fields(spark, d)  # what passes is found in the documents alone, without an index
+    return retriever.search({"where": {"lang": "es", "n_chars": ("gte", 500)}}, return_docs=False).select("doc_id", "score")
 
 
 @_register(_scored(_BM25, docs="WHERE doc_id IN (SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(quality = 1, false) AND n_chars <= 2000)") + " " + _ranked())
