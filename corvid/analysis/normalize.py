@@ -41,13 +41,32 @@ def collapse_spaces(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), " {2,}", " ")
 
 
+#: Latin letters for letters that no decomposition leads to, small ones; capitals follow them.
+LATIN = dict(zip("øđłħŧı", "odlhti")) | {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d"}
+GREEK = dict(zip("αβγδεζηικλμνοπρσςτυω", "abgdezeiklmnoprsstuo")) | {"θ": "th", "ξ": "x", "φ": "ph", "χ": "kh", "ψ": "ps"}
+CYRILLIC = dict(zip("абвгдезиклмнопрстуфыэіј", "abvgdeziklmnoprstufyeij")) | {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ъ": "", "ь": "", "є": "ie", "ђ": "dj", "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dz"}
+
+
+def transliterate(c: Column) -> Column:
+    """Letters of other alphabets in Latin ones, by built-in expressions: single letters at once, the others one by one."""
+    table = {x: y for small in (LATIN, GREEK, CYRILLIC) for x, y in small.items()}
+    table |= {x.upper(): y.capitalize() for x, y in table.items() if len(x.upper()) == 1 and x.upper() != y.upper()} | {"ẞ": "SS"}
+    single = {x: y for x, y in table.items() if len(y) < 2}
+    last = sorted(single, key=lambda x: not single[x])  # those that go stand behind those that have a partner
+    c = F.translate(c, "".join(last), "".join(single[x] for x in last))
+    for x, y in table.items():
+        if len(y) > 1:
+            c = F.replace(c, F.lit(x), F.lit(y))
+    return c
+
+
 def diacritics(c: Column) -> Column:
-    """Letters without their marks: compatibility decomposition with combining marks dropped (needs Python)."""
+    """Letters without their marks, in Latin letters: compatibility decomposition with combining marks dropped (needs Python), then `transliterate`."""
     @F.pandas_udf("string")
     def strip(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True)
 
-    return strip(c)
+    return transliterate(strip(c))
 
 
 def whitespace(c: Column) -> Column:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvid.analysis.analyzer import Analyzer
+from corvid.analysis.normalize import diacritics
 from corvid.analysis.sentences import ABBREVIATION, SentenceModel, abbreviations
 
 GOLDEN = SentenceModel(frozenset({"dr", "e.g", "etc", "st", "mr"}), frozenset({"the", "we"}), frozenset({"mr smith", "3 may"}), frozenset({"then", "we"}))
@@ -58,3 +59,9 @@ def test_learned_model(spark, collection):
     scores = {r.word: r.score for r in abbreviations(collection).collect()}
     assert scores["prof"] >= ABBREVIATION > scores.get("harvest", 0)
     assert SentenceModel.train(collection.limit(0)) == SentenceModel()
+
+
+def test_diacritics_are_transliterated(spark):
+    cases = {"Straße Ærø Łódź naïve ﬁn": "Strasse Aero Lodz naive fin", "Москва, щука": "Moskva, shchuka", "Αθήνα ψυχή": "Athena psukhe", "Þór ıđ GROẞ": "Thor id GROSS", "plain 日本": "plain 日本", "объект Юла": "obekt Iula"}
+    rows = spark.createDataFrame([(t,) for t in [*cases, None]], "text string").select("text", diacritics(F.col("text")).alias("t")).collect()
+    assert {r.text: r.t for r in rows} == {**cases, None: None}
