@@ -347,10 +347,10 @@ def test_sampled_parameters(spark, tmp_path):
     asked = spark.createDataFrame([(str(k), " ".join(rng.sample(texts[k].split(), 3))) for k in range(12)], "q_id string, text string")
     qrels = spark.createDataFrame([(str(k), k, 1) for k in range(12)], "q_id string, doc_id long, rel int")
     r = SparseRetriever(spark, "sampled", str(tmp_path), stemmer=None, stopwords=None).index(docs)
-    tried = [tuple(x) for x in r.autotune(asked, qrels, "mrr").collect()]
-    assert tried == [tuple(x) for x in r.autotune(asked, qrels, "mrr").collect()] and len(tried) == 100
-    grid = r.autotune(asked, qrels, "mrr", bs=[x / 10 for x in range(11)], k1s=[x / 2 for x in range(21)])
-    assert grid.count() == 231 and tried[0][2] >= grid.first().value - 0.02
+    tried = [tuple(x) for x in r.autotune(asked, qrels, "mrr", trials=40).collect()]
+    assert tried == [tuple(x) for x in r.autotune(asked, qrels, "mrr", trials=40).collect()] and len(tried) == 40
+    grid = r.autotune(asked, qrels, "mrr", bs=[x / 5 for x in range(6)], k1s=[0.0, 0.5, 1.0, 2.0, 10.0])
+    assert grid.count() == 30 and tried[0][2] >= grid.first().value - 0.02
     b, k1, value = tried[0]
     again = scoring.search(r.tables, asked, r.analyzer, b=b, k1=k1)
     assert abs(evaluation.evaluate(again, qrels, "mrr").first().value - value) < 2e-6
@@ -382,8 +382,6 @@ def test_bounds_leave_out_half_of_the_postings(spark, tmp_path):
     scanned, _, second = blockmax.passes(index, terms, 100)
     scored = sum(x.agg(F.sum("scored")).first()[0] or 0 for x in (scanned, second))
     assert 0 < scored <= blockmax.postings_of(index, terms) / 2
-    plain, pruned = _search_both(index, asked, Analyzer())
-    assert plain == pruned and len(plain) == 20_000
 
 
 def test_a_written_index_needs_no_document_table_to_score(spark, tmp_path):
