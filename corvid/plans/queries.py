@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvid.analysis import normalize as n
 from corvid.analysis.analyzer import Analyzer
 from corvid.analysis.sentences import SentenceModel, abbreviations
-from corvid.operators import dense, evaluation, filters, fusion, scoring, sets, vector_index
+from corvid.operators import dense, evaluation, filters, fusion, scoring, sets, term_vectors, vector_index
 from corvid.operators.index import build_index, spread, term_counts
 from corvid.retrievers import AdvancedRetriever
 
@@ -394,6 +394,29 @@ def encode_texts(spark, d):
     return dense.encode(_docs(spark, d), dense.hashing_encoder())
 
 
+@_register()
+def encode_learned(spark, d):
+    """Documents by the encoder that is learned from them."""
+    docs = _docs(spark, d)
+    return term_vectors.encode(docs, term_vectors.learn(docs))
+
+
+@_register(f"""WITH {_D}, df AS (SELECT term, count(DISTINCT id) AS df FROM d GROUP BY ALL),
+places AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS place FROM df WHERE df >= 2),
+given AS (SELECT term, embedding FROM places JOIN embeddings ON vec_id = place WHERE place < {term_vectors.VOCABULARY}),
+tf AS (SELECT id, term, count(*) AS tf FROM d GROUP BY ALL),
+sums AS (SELECT id, slot, sum(tf * embedding[slot]::DOUBLE) AS x FROM tf JOIN given USING (term), range(1, 65) s(slot) GROUP BY ALL),
+units AS (SELECT id, slot, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM sums)
+SELECT doc_id, s.slot::INT AS slot, round(coalesce(x, 0), 6) AS value FROM documents, range(1, 65) s(slot) LEFT JOIN units u ON u.id = doc_id AND u.slot = s.slot""")
+def encode_pooled(spark, d):
+    """Pooling with given vectors: the k-th term of the vocabulary has the k-th embedding."""
+    docs, given = _docs(spark, d), _table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("place"), F.col("embedding").alias("vector"))
+    known = term_vectors.vocabulary(docs, PLAIN).collect()
+    places = spark.createDataFrame([(k, r.term) for k, r in enumerate(known)], "place int, term string")
+    pooled = term_vectors.encode(docs, term_vectors.TermVectors.of(places.join(given, "place"), 64))
+    return pooled.select("doc_id", F.posexplode("vector").alias("slot", "value")).select("doc_id", (F.col("slot") + 1).alias("slot"), F.round("value", 6).alias("value"))
+
+
 # --- fusion ---------------------------------------------------------------------------------------------------------
 
 _DQ = _terms("SELECT doc_id AS id, text FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)", "q")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.analysis.analyzer import Analyzer
-from corvid.operators import blockmax, dense, evaluation, filters, fusion, scoring, vector_index
+from corvid.operators import blockmax, dense, evaluation, filters, fusion, scoring, term_vectors, vector_index
 from corvid.operators.index import Index, load_index, persist_index
 from corvid.sources.collections import IndexFolder, apply_callback, from_rows, get_doc, get_docs, read_collection, write_results
 
@@ -164,22 +164,42 @@ SearchEngine = SparseRetriever
 class DenseRetriever(_Retriever):
     kind = "dense"
 
-    def __init__(self, spark: SparkSession, index_name: str = "new-index", base_path: str | None = None, model: Callable | None = None, normalize: bool = True, max_length: int | None = None, use_ann: bool = True, dim: int = 64):
+    def __init__(self, spark: SparkSession, index_name: str = "new-index", base_path: str | None = None, model: Callable | str | None = None, normalize: bool = True, max_length: int | None = None, use_ann: bool = True, dim: int = 64):
+        """model: a function from texts to vectors, "svd" for an encoder that is learned from the collection and stored with it, or None for hashes."""
         super().__init__(spark, index_name, base_path)
+        if isinstance(model, str) and model != "svd":
+            raise ValueError(f"unknown model {model!r}")
         self.normalize, self.use_ann, self.dim, self.max_length, self.given = normalize, use_ann, dim, max_length, model
         self.encoder = model or dense.hashing_encoder(dim, max_length)
         self.vectors: DataFrame | None = None
 
+    def encode(self, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(id, vector) of texts, as the index makes them."""
+        if isinstance(self.encoder, term_vectors.TermVectors):
+            return term_vectors.encode(texts, self.encoder, id_col, text_col, max_length=self.max_length, normalize=self.normalize)
+        return dense.encode(texts, self.encoder, id_col, text_col, self.normalize)
+
+    def _learn(self, docs: DataFrame) -> None:
+        rows = self.folder.table("rows")
+        term_vectors.learn(docs, self.dim, text_col=self.text_col, path=rows).table(self.spark).write.mode("overwrite").parquet(self.folder.table("terms"))
+        self.folder.drop("rows")
+        self.encoder = self._learned()
+
+    def _learned(self) -> term_vectors.TermVectors:
+        return term_vectors.TermVectors.of(self.spark.read.parquet(self.folder.table("terms")), self.dim)
+
     def index(self, collection: Iterable[dict] | DataFrame, callback: Callable | None = None, callback_schema: str | None = None, embeddings: DataFrame | None = None):
         """embeddings: (id, vector) that were made elsewhere."""
         docs = self._store(apply_callback(from_rows(self.spark, collection), callback, callback_schema))
-        made = embeddings if embeddings is not None else dense.encode(docs, self.encoder, self.id_col, self.text_col, self.normalize)
+        if self.given == "svd":
+            self._learn(docs)
+        made = embeddings if embeddings is not None else self.encode(docs, self.id_col, self.text_col)
         made.select(F.col(made.columns[0]).alias("doc_id"), F.col(made.columns[1]).alias("vector")).write.mode("overwrite").parquet(self.folder.table("vectors"))
         vectors, model = self.spark.read.parquet(self.folder.table("vectors")), None
         if self.use_ann:  # the inverted file is made once, and only read by searches
             model = vector_index.train(vectors)
             vector_index.lists(vectors, model).write.mode("overwrite").parquet(self.folder.table("lists"))
-        encoder = "hashing" if self.given is None else "given"
+        encoder = "hashing" if self.given is None else "svd" if self.given == "svd" else "given"
         self.folder.write_meta({"normalize": self.normalize, "use_ann": self.use_ann, "encoder": encoder, "dim": self.dim, "max_length": self.max_length, "id_col": self.id_col, "text_col": self.text_col, "model": None if model is None else model.dumps()})
         return self._open()
 
@@ -189,7 +209,8 @@ class DenseRetriever(_Retriever):
         if meta["encoder"] == "given" and self.given is None:
             raise ValueError("the index was made with an encoder that is not stored: give model")
         self.normalize, self.use_ann, self.dim, self.max_length, self.id_col, self.text_col = (meta[k] for k in ("normalize", "use_ann", "dim", "max_length", "id_col", "text_col"))
-        self.encoder = self.given or dense.hashing_encoder(self.dim, self.max_length)
+        self.given = "svd" if meta["encoder"] == "svd" else self.given
+        self.encoder = self._learned() if self.given == "svd" else self.given or dense.hashing_encoder(self.dim, self.max_length)
         self.model = vector_index.Model.loads(meta["model"]) if self.use_ann else None
         self.lists = self.spark.read.parquet(self.folder.table("lists")) if self.use_ann else None
         return self
@@ -201,7 +222,7 @@ class DenseRetriever(_Retriever):
 
     def msearch(self, queries, cutoff: int = 100) -> DataFrame:
         asked = _queries(self.spark, queries)
-        vectors = asked if "vector" in asked.columns else dense.encode(asked, self.encoder, "q_id", "text", self.normalize)
+        vectors = asked if "vector" in asked.columns else self.encode(asked, "q_id", "text")
         if self.use_ann:
             return vector_index.search(self.lists, self.model, vectors, cutoff)
         return dense.exact_top_k(self.vectors, vectors, cutoff)

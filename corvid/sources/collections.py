@@ -123,6 +123,11 @@ class IndexFolder:
         fs, p = self._fs(self.path)
         return fs.exists(p) and fs.delete(p, True)
 
+    def drop(self, name: str) -> bool:
+        """Deletes one of the tables; True if there was one."""
+        fs, p = self._fs(self.table(name))
+        return fs.exists(p) and fs.delete(p, True)
+
     def write_meta(self, meta: dict) -> None:
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(self.table("meta.json"))
 
