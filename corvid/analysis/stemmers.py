@@ -235,7 +235,7 @@ def cistem(word: str) -> str:
 STEMMERS: dict[str, Stemmer] = {"english": english, "porter": porter, "german": german, "cistem": cistem}
 #: Names whose algorithms or dictionaries are not written here: register one before use.
 OPEN = (
-    "krovetz lancaster arlstem arlstem2 isri arabic basque catalan dutch finnish greek hindi hungarian indonesian irish lithuanian nepali romanian tamil turkish"
+    "krovetz arlstem arlstem2 isri arabic basque catalan dutch finnish greek hindi hungarian indonesian irish lithuanian nepali romanian tamil turkish"
 ).split()
 
 
@@ -246,11 +246,13 @@ def register_stemmer(name: str, stemmer: Stemmer) -> None:
 def get_stemmer(given: str | Stemmer | None) -> Stemmer | None:
     if given is None or callable(given):
         return given
-    from corvid.analysis import snowball
+    from corvid.analysis import rule_stemmers, snowball
 
     name = given.lower()
     if name in STEMMERS:
         return STEMMERS[name]
+    if name == "lancaster":
+        return rule_stemmers.lancaster
     if name in snowball.STEMMERS:
         return snowball.STEMMERS[name]
     hint = f"; use register_stemmer({name!r}, function)" if name in OPEN else ""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from corvid.analysis import normalize as n
 from corvid.analysis.analyzer import Analyzer
 from corvid.analysis.sentences import SentenceModel, abbreviations
-from corvid.operators import dense, evaluation, filters, fusion, scoring, sets, term_vectors, vector_index
+from corvid.operators import bitmaps, dense, evaluation, filters, fusion, scoring, sets, term_vectors, vector_index
 from corvid.operators.index import build_index, spread, term_counts
 from corvid.retrievers import AdvancedRetriever
 
@@ -280,6 +281,30 @@ for _name, (_query, _sql) in _FILTERS.items():
     _filter_query(_name, _query, _sql)
 
 
+def _bitmap_filters() -> dict[str, dict]:
+    """The filters above that bitmaps decide, in whole or in part."""
+    return {name: query for name, (query, _) in _FILTERS.items() if bitmaps.split(filters.conditions(query, SCHEMA), SCHEMA)[0]}
+
+
+@_register(f"WITH {_FIELDS} " + " UNION ALL ".join(f"SELECT '{name}' AS filter, doc_id FROM f WHERE {_FILTERS[name][1]}" for name in _bitmap_filters()))
+def bitmap_filters(spark, d):
+    """Every filter on keywords, lists and bools through the bitmap index."""
+    docs = _fields(spark, d)
+    index = bitmaps.build(docs, SCHEMA, _docs(spark, d).count())
+    parts = [bitmaps.filter_documents(docs, index, SCHEMA, query).select(F.lit(name).alias("filter"), "doc_id") for name, query in _bitmap_filters().items()]
+    return reduce(DataFrame.union, parts)
+
+
+@_register(f"WITH {_FIELDS} SELECT lang, good, count(*) AS n FROM f WHERE lang IS NOT NULL GROUP BY ALL")
+def bitmap_counts(spark, d):
+    """How many documents of each language are good and not, by intersecting bitmaps: no document is read for it."""
+    index = bitmaps.build(_fields(spark, d), SCHEMA, _docs(spark, d).count())
+    one, two = (index.entries.where(F.col("field") == name).select("bucket", F.col("value").alias(name), F.col("words").alias(f"{name}_words")) for name in ("lang", "good"))
+    both = F.map_zip_with("lang_words", "good_words", lambda _, a, b: F.bit_count(F.coalesce(a.bitwiseAND(b), F.lit(0).cast("long"))))
+    n = F.aggregate(F.map_values(both), F.lit(0).cast("long"), lambda s, x: s + x)
+    return one.join(two, "bucket").groupBy("lang", (F.col("good") == "true").alias("good")).agg(F.sum(n).alias("n")).where("n > 0")
+
+
 @_register(f"WITH {_FIELDS} SELECT doc_id, 1.0::DOUBLE AS score FROM f WHERE lang = 'es' AND n_chars >= 500")
 def filter_only_search(spark, d):
     retriever = AdvancedRetriever(spark, SCHEMA)

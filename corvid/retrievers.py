@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.analysis.analyzer import Analyzer
-from corvid.operators import blockmax, dense, evaluation, filters, fusion, scoring, term_vectors, vector_index
+from corvid.operators import bitmaps, blockmax, dense, evaluation, filters, fusion, scoring, term_vectors, vector_index
 from corvid.operators.index import Index, load_index, persist_index
 from corvid.sources.collections import IndexFolder, apply_callback, from_rows, get_doc, get_docs, read_collection, write_results
 
@@ -308,6 +308,7 @@ class AdvancedRetriever(SparseRetriever):
         self.schema = dict(schema)
         self.id_col = next(k for k, v in schema.items() if v == "id")
         self.text_col = next((k for k, v in schema.items() if v == "text"), None)
+        self.bits: bitmaps.Bitmaps | None = None
 
     def index(self, collection, callback: Callable | None = None, callback_schema: str | None = None):
         docs = apply_callback(from_rows(self.spark, collection), callback, callback_schema)
@@ -315,8 +316,11 @@ class AdvancedRetriever(SparseRetriever):
         if self.text_col is None:
             self._store(docs)
             self.save()
-            return self
-        return super().index(docs)
+        else:
+            super().index(docs)
+        if set(self.schema.values()) & set(bitmaps.INDEXED):
+            self.bits = bitmaps.build(self.docs, self.schema, self.docs.count()).write(self.folder.table("bitmaps"))
+        return self
 
     def save(self) -> None:
         super().save()
@@ -327,14 +331,25 @@ class AdvancedRetriever(SparseRetriever):
         meta = IndexFolder(spark, base_path or _BASE["path"], index_name).read_meta()
         self = cls(spark, meta["schema"], index_name, base_path, **cls._options(meta, callables))
         self.docs, self.tables = spark.read.parquet(self.folder.table("docs")), None if self.text_col is None else load_index(spark, self.folder.path)
+        if set(self.schema.values()) & set(bitmaps.INDEXED):
+            self.bits = bitmaps.Bitmaps.read(spark, self.folder.table("bitmaps"))
         return self
 
+    def passing(self, query: Mapping[str, Any]) -> DataFrame:
+        """(doc_id) of the documents that pass; where bitmaps decide all conditions, no document is read."""
+        by_bits, others = bitmaps.split(filters.conditions(query, self.schema), self.schema)
+        if self.bits is not None and by_bits and not others:
+            return bitmaps.matching_ids(self.bits, by_bits, self.schema).withColumnRenamed("id", "doc_id")
+        return self.filter_docs(query).select(F.col(self.id_col).alias("doc_id"))
+
     def filter_docs(self, query: Mapping[str, Any], strict: bool = False) -> DataFrame:
         """The documents that pass; strict: a keyword value that no document has is an error."""
         if strict:
             for name, _, value, _ in filters.conditions(query, self.schema):
                 if self.schema.get(name) == "keyword":
                     filters.check_keyword(self.docs, name, value)
+        if self.bits is not None:
+            return bitmaps.filter_documents(self.docs, self.bits, self.schema, query)
         return filters.filter_documents(self.docs, self.schema, query)
 
     def search(self, query: str | Mapping[str, Any], return_docs: bool = True, cutoff: int = 100, operator: str = "OR", subset_doc_ids: list | None = None, strict: bool = False) -> DataFrame:
@@ -348,7 +363,10 @@ class AdvancedRetriever(SparseRetriever):
             passing = self.docs if condition is None else self.filter_docs({k: v for k, v in query.items() if k != "text"}, strict)
             if subset_doc_ids is not None:
                 passing = passing.where(F.col(self.id_col).isin(list(subset_doc_ids)))
-            subset = passing.select(F.col(self.id_col).alias("doc_id"))
+            if condition is None or subset_doc_ids is not None:
+                subset = passing.select(F.col(self.id_col).alias("doc_id"))
+            else:
+                subset = self.passing({k: v for k, v in query.items() if k != "text"})
         known = None
         if text is not None and self.tables is not None:
             known = scoring.query_terms(_queries(self.spark, text), self.analyzer).join(self.tables.term_stats, "term", "left_semi").limit(1).count()

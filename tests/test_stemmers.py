@@ -1,10 +1,11 @@
-"""Golden words of the published Snowball vocabularies."""
+"""Golden words of the published Snowball vocabularies and of the Paice/Husk rules."""
 
 import pytest
 
 from corvid.analysis.stemmers import get_stemmer
 
 GOLDEN = {
+    "lancaster": "maximum maxim, presumably presum, multiply multiply, provision provid, owed ow, ear ear, saying say, crying cry, string string, meant meant, cement cem, Running run, its it, us us, relational rel",
     "spanish": "checar chec, checoslovaquia checoslovaqui, chelo chel, chemise chemis, cheque chequ, chequeo cheque, cheques chequ, chetumaleños chetumaleñ, cheyene cheyen, chía chi, chiapaneca chiapanec, chiapas chiap, chicago chicag, chicharrones chicharron, chicles chicl, torá tor, tórax torax, torcer torc, toreado tor, toreándolo tor, torear tor, toreara tor, torearlo tor, toreó tore, torero torer, tormentas torment, tornados torn, tornen torn, torneos torne, tornillo tornill, torniquete torniquet, torpedearon torped, torpeza torpez, torrenciales torrencial, torreón torreon",
     "portuguese": "boa boa, boas boas, boataria boat, boates boat, boatos boat, boba bob, bobagem bobag, bobagens bobagens, bobalhões bobalhõ, bobear bob, bobeira bobeir, bobinho bobinh, bocadas boc, bocadinho bocadinh, bocaiúva bocaiúv, boçal boçal, bocarra bocarr, bode bod, bodoque bodoqu, boemia boem, boêmio boêmi, bogotá bogot, bóia bói, boiando boi, quiabo quiab, quicaram quic, quietos quiet, quilates quilat, quilinhos quilinh, quilombo quilomb, quilométricas quilométr, quilômetros quilômetr",
     "italian": "abbandonata abbandon, abbandonate abbandon, abbandonato abbandon, abbandonava abbandon, abbandonerà abbandon, abbandoneranno abbandon, abbandonerò abbandon, abbandono abband, pronto pront, pronunciamento pronunc, pronunciare pronunc, pronunciata pronunc, pronunciò pronunc, propaga propag, propizio propiz",
