@@ -283,7 +283,7 @@ for _name, (_query, _sql) in _FILTERS.items():
 
 def _bitmap_filters() -> dict[str, dict]:
     """The filters above that bitmaps decide, in whole or in part."""
-    return {name: query for name, (query, _) in _FILTERS.items() if bitmaps.split(filters.conditions(query, SCHEMA), SCHEMA)[0]}
+    return {name: query for name, (query, _) in _FILTERS.items() if any(SCHEMA[field] in bitmaps.INDEXED for field, *_ in filters.conditions(query, SCHEMA))}
 
 
 @_register(f"WITH {_FIELDS} " + " UNION ALL ".join(f"SELECT '{name}' AS filter, doc_id FROM f WHERE {_FILTERS[name][1]}" for name in _bitmap_filters()))
