@@ -15,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,9 +90,9 @@ def weighted_rows(docs: DataFrame, analyzer: Analyzer, text_col: str, terms: lis
             lengths = np.diff(np.append(starts, len(row)))
             weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, starts)), lengths)
             ends = pa.array(np.append(starts, len(row)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weight))], ["term", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weight.astype(np.float32)))], ["term", "weight"])
 
-    return spread(docs.select(text_col)).select(analyzer.tokens(F.col(text_col)).alias("tokens")).mapInArrow(run, "term array<int>, weight array<double>")
+    return spread(docs.select(text_col)).select(analyzer.tokens(F.col(text_col)).alias("tokens")).mapInArrow(run, "term array<int>, weight array<float>")
 
 
 def gram_times(rows: DataFrame, block: np.ndarray, bits: int) -> np.ndarray:
@@ -103,7 +104,7 @@ def gram_times(rows: DataFrame, block: np.ndarray, bits: int) -> np.ndarray:
 
         total, met = np.zeros((count, width), np.int64), np.zeros(count, bool)
         for batch in batches:
-            lists, weights = batch.column(0), np.asarray(batch.column(1).flatten())
+            lists, weights = batch.column(0), np.asarray(batch.column(1).flatten(), np.float64)
             term = np.asarray(lists.flatten())
             row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
             met[term] = True
@@ -131,8 +132,8 @@ def gram_times(rows: DataFrame, block: np.ndarray, bits: int) -> np.ndarray:
 
 
 def learn(docs: DataFrame, dim: int = 64, analyzer: Analyzer | None = None, text_col: str = "text", size: int = VOCABULARY, min_df: int = 2, rounds: int = 4, seed: int = 42, path: str | None = None) -> TermVectors:
-    """Term vectors of the whole collection. path: where the tf-idf table is written, to be read by the rounds; without one each
-    round reads the texts again. More rounds part singular values that lie closer together."""
+    """Term vectors of the whole collection. path: where the tf-idf table is written, to be read by the rounds; without one the
+    executors keep it on their disks, and a lost part is made again. More rounds part singular values that lie closer together."""
     analyzer = analyzer or Analyzer()
     known = vocabulary(docs, analyzer, text_col, size, min_df).collect()
     terms, all_docs = [r.term for r in known], docs.count()
@@ -143,12 +144,16 @@ def learn(docs: DataFrame, dim: int = 64, analyzer: Analyzer | None = None, text
     if path is not None:
         rows.write.mode("overwrite").parquet(path)
         rows = docs.sparkSession.read.parquet(path)
+    else:
+        rows = rows.persist(StorageLevel.DISK_ONLY)
     # weights and the block's columns are at most one, so a document adds at most one to a sum
     bits = min(40, 62 - all_docs.bit_length())
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(terms), min(dim + OVERSAMPLE, len(terms)))))[0]
     for _ in range(rounds):
         block = np.linalg.qr(gram_times(rows, block, bits))[0]
     inner = block.T @ gram_times(rows, block, bits)
+    if path is None:
+        rows.unpersist()
     values, turn = np.linalg.eigh((inner + inner.T) / 2)
     kept = [k for k in np.argsort(-values, kind="stable")[:dim] if values[k] > 1e-9 * values.max()]
     vectors = np.zeros((len(terms), dim))
