@@ -98,6 +98,7 @@ def weighted_rows(docs: DataFrame, analyzer: Analyzer, text_col: str, terms: lis
 def gram_times(rows: DataFrame, block: np.ndarray, bits: int) -> np.ndarray:
     """The table's transpose times the table times `block` (terms x width), in one pass; sums have `bits` binary places."""
     count, width = block.shape
+    block = block.astype(np.float32)  # half of what goes out with the tasks; sums and rotations are in full precision
 
     def run(batches):
         import pyarrow as pa
@@ -147,7 +148,8 @@ def learn(docs: DataFrame, dim: int = 64, analyzer: Analyzer | None = None, text
     else:
         rows = rows.persist(StorageLevel.DISK_ONLY)
     # weights and the block's columns are at most one, so a document adds at most one to a sum
-    bits = min(40, 62 - all_docs.bit_length())
+    # (beyond 30 places the sums would only carry the noise of the weights, which are single precision)
+    bits = min(30, 62 - all_docs.bit_length())
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(terms), min(dim + OVERSAMPLE, len(terms)))))[0]
     for _ in range(rounds):
         block = np.linalg.qr(gram_times(rows, block, bits))[0]
