@@ -4,6 +4,7 @@ Words that almost always carry a period, are short and rarely stand without one
 against the share of periods, weighted by length, inner periods and counts without a period). Words that follow ends of sentences
 more often than chance are starters, and pairs around a period that keep together more often than chance are collocations. All
 three are aggregations over the collection; what passes the bounds is small and runs as literals in generated code.
+Tokens, and pairs around an end mark, are counted as they stand; what patterns say of them is found once for each distinct one.
 
 A period ends a sentence unless its word is an abbreviation, an initial or a number that the next word continues: a pair that keeps
 together never ends one, a starter or a capitalised word that is otherwise seen in small letters does.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +35,22 @@ def _type(token: Column) -> Column:
     return F.lower(F.regexp_replace(token, r"^[\"'“‘(\[{«]+|[\"'”’)\]}»,;:]+$", ""))
 
 
+def _words(text_col: str) -> Column:
+    return F.array_remove(F.split(F.col(text_col), r"\s+"), "")
+
+
+def _tokens(docs: DataFrame, text_col: str) -> DataFrame:
+    """(token, n, n_next): how often each token stands in the texts, and how often behind another."""
+    rows = docs.select(F.posexplode(_words(text_col)).alias("at", "token"))
+    return rows.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("at") > 0).alias("n_next"))
+
+
 def _pairs(docs: DataFrame, text_col: str) -> DataFrame:
-    """(token, next) of each text; next is null behind the last."""
-    words = docs.select(F.filter(F.split(F.col(text_col), r"\s+"), lambda t: t != "").alias("w")).where(F.size("w") > 0)
-    shifted = F.concat(F.slice("w", 2, F.size("w")), F.array(F.lit(None).cast("string")))
-    return words.select("w", shifted.alias("n")).select(F.explode(F.arrays_zip("w", "n")).alias("x")).select(F.col("x.w").alias("token"), F.col("x.n").alias("next"))
+    """(token, next, n): how often each pair stands in the texts, of tokens that hold an end mark; no other can end a sentence."""
+    words = docs.select(_words(text_col).alias("w")).select("w", F.slice("w", 2, F.size("w")).alias("n"))
+    rows = words.where(F.size("w") > 1).select(F.explode(F.arrays_zip("w", "n")).alias("x")).select(F.col("x.w").alias("token"), F.col("x.n").alias("next"))
+    token = F.col("token")
+    return rows.where(token.contains(".") | token.contains("!") | token.contains("?")).where("next is not null").groupBy("token", "next").agg(F.count("*").alias("n"))
 
 
 def _ratio(n_a: Column, n_b: Column, n_ab: Column, n: Column) -> Column:
@@ -49,17 +62,23 @@ def _ratio(n_a: Column, n_b: Column, n_ab: Column, n: Column) -> Column:
 
 def abbreviations(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, with_period, total, score) of all words that a period follows; those of score `ABBREVIATION` are abbreviations."""
-    words = _pairs(docs, text_col).select(_type(F.col("token")).alias("t")).withColumn("dot", F.col("t").endswith("."))
-    words = words.select(F.when(F.col("dot"), F.expr("left(t, length(t) - 1)")).otherwise(F.col("t")).alias("word"), "dot")
-    counts = words.groupBy("word").agg(F.count_if(F.col("dot")).alias("with_period"), F.count("*").alias("total"))
+    return _scored(_tokens(docs, text_col).select(_type(F.col("token")).alias("type"), "n"))
+
+
+def _scored(types: DataFrame) -> DataFrame:
+    """types: type, n."""
+    words = types.withColumn("dot", F.col("type").endswith("."))
+    words = words.select(F.when(F.col("dot"), F.expr("left(type, length(type) - 1)")).otherwise(F.col("type")).alias("word"), "dot", "n")
+    counts = words.groupBy("word").agg(F.sum(F.when(F.col("dot"), F.col("n")).otherwise(0)).alias("with_period"), F.sum("n").alias("total"))
     sums = counts.agg(F.sum("with_period").alias("periods"), F.sum("total").alias("n"))
     dots = F.length("word") - F.length(F.translate("word", ".", "")) + 1
     letters = F.length("word") - dots + 1
     p, ab, a = F.col("periods") / F.col("n"), F.col("with_period"), F.col("total")
     ratio = -2 * (ab * F.log(p) + (a - ab) * F.log(1 - p) - ab * F.log(F.lit(0.99)) - (a - ab) * F.log(F.lit(0.01)))
     score = ratio * F.exp(-letters) * dots * F.pow(letters.cast("double"), -(a - ab))
-    usable = counts.where("with_period > 0 and rlike(word, '[a-zà-öø-ÿ]') and not rlike(word, '[0-9!?]')")
-    return usable.join(F.broadcast(sums)).where((p > 0) & (p < 1) & (letters > 0)).select("word", "with_period", "total", score.alias("score"))
+    # one condition on a sum: those on the word alone would be pushed below the counts and asked of every token
+    usable = counts.where(F.when(F.col("with_period") > 0, (letters > 0) & F.expr("rlike(word, '[a-zà-öø-ÿ]') and not rlike(word, '[0-9!?]')")).otherwise(False))
+    return usable.join(F.broadcast(sums)).where((p > 0) & (p < 1)).select("word", "with_period", "total", score.alias("score"))
 
 
 @dataclass(frozen=True)
@@ -70,18 +89,20 @@ class SentenceModel:
     small: frozenset[str] = frozenset()  # words that are seen in small letters, of those that follow abbreviations
 
     def split(self, c: Column) -> Column:
-        """The sentences of a text, as an array. Each step of the work on a piece is an array of its own, made once."""
-        whole = F.regexp_extract_all(c, F.lit(r"(?U)(\S+\s*)"), F.lit(1))
-        bare = lambda x: F.regexp_replace(x, r"(?U)\s+$", "")
-        read = F.transform(whole, lambda x: F.struct(x.alias("piece"), bare(x).alias("token"), _type(bare(x)).alias("type"), x.rlike(r"(?U)^[\"'“‘(\[{«]*\p{Lu}").alias("big")))
-        none = F.array(F.lit(None).cast("struct<piece:string,token:string,type:string,big:boolean>"))
+        """The sentences of a text, as an array. Only what ends with an end mark can end one: a piece reaches from one such token to
+        the next. Each step of the work on a piece is an array of its own, made once."""
+        whole = F.regexp_extract_all(c, F.lit(r"(?sU)(.*?[.!?…][\"'”’)\]}»]*\s+|.+$)"), F.lit(1))
+        worded = F.transform(whole, lambda x: F.struct(x.alias("piece"), F.array_remove(F.split(x, r"(?U)\s+"), "").alias("w")))
+        outer = F.transform(worded, lambda x: F.struct(x["piece"].alias("piece"), F.try_element_at(x["w"], F.lit(1)).alias("head"), F.try_element_at(x["w"], F.lit(-1)).alias("token")))
+        read = F.transform(outer, lambda x: F.struct(x["piece"].alias("piece"), x["token"].alias("token"), _type(x["token"]).alias("type"), _type(x["head"]).alias("head"), x["head"].rlike(r"(?U)^[\"'“‘(\[{«]*\p{Lu}").alias("big")))
+        none = F.array(F.lit(None).cast("struct<piece:string,token:string,type:string,head:string,big:boolean>"))
         pairs = F.transform(F.array(F.struct(read.alias("own"))), lambda x: F.zip_with(x["own"], F.concat(F.slice(x["own"], 2, F.greatest(F.size(x["own"]), F.lit(1))), none), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))[0]
-        marked = F.transform(F.filter(pairs, lambda x: x["a"].isNotNull()), lambda x: F.when(self._ends(x["a"], x["b"]), F.concat(x["a"]["token"], F.lit(_MARK))).otherwise(x["a"]["piece"]))
+        marked = F.transform(F.filter(pairs, lambda x: x["a"].isNotNull()), lambda x: F.when(self._ends(x["a"], x["b"]), F.concat(x["a"]["piece"], F.lit(_MARK))).otherwise(x["a"]["piece"]))
         return F.filter(F.transform(F.split(F.array_join(marked, ""), _MARK), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
 
     def _ends(self, own: Column, after: Column) -> Column:
         t = own["type"]
-        word, follows = F.regexp_replace(t, r"\.$", ""), F.regexp_replace(F.coalesce(after["type"], F.lit("")), r"[.!?]+$", "")
+        word, follows = F.regexp_replace(t, r"\.$", ""), F.regexp_replace(F.coalesce(after["head"], F.lit("")), r"[.!?]+$", "")
         among = lambda x, known: x.isin(sorted(known)) if known else F.lit(False)
         big = F.coalesce(after["big"], F.lit(False))
         together = among(F.concat_ws(" ", word, follows), self.collocations)
@@ -91,27 +112,44 @@ class SentenceModel:
         # behind an abbreviation only what looks like a beginning ends the sentence
         begins = big & (among(follows, self.starters) | among(follows, self.small))
         dot = F.when(together | number, False).when(initial, begins & among(follows, self.starters)).when(open_, begins).otherwise(True)
-        # few pieces end with a mark; the others are not looked at further
+        # the last piece may end without a mark
         return F.when(own["token"].rlike(_END), F.when(t.rlike(r"[!?]$"), True).otherwise(dot)).otherwise(False)
 
     @classmethod
     def train(cls, docs: DataFrame, text_col: str = "text") -> SentenceModel:
-        """Runs one job for each of the three kinds, and one for the words behind abbreviations."""
+        """Runs one job for each of the three kinds, and one for the words behind abbreviations. The counts are made once: the executors keep
+        them on their disks meanwhile, and a lost part is made again."""
+        t, n = _type(F.col("token")), _type(F.col("next"))
+        follows = lambda x: F.regexp_replace(x, r"[.!?]+$", "")
+        tokens = _tokens(docs, text_col).select(t.alias("type"), "n", "n_next", F.col("token").rlike(r"(?U)^\p{Ll}").alias("small"))
+        pairs = _pairs(docs, text_col).select(t.alias("type"), follows(n).alias("follows"), "n").groupBy("type", "follows").agg(F.sum("n").alias("n"))
+        # small tables: some tasks per core, and not one per partition of the exchanges
+        tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
+        tokens, pairs = tokens.coalesce(tasks).persist(StorageLevel.DISK_ONLY), pairs.coalesce(tasks).persist(StorageLevel.DISK_ONLY)
+        try:
+            return cls._learned(tokens.withColumn("follows", follows(F.col("type"))), pairs)
+        finally:
+            tokens.unpersist()
+            pairs.unpersist()
+
+    @classmethod
+    def _learned(cls, tokens: DataFrame, pairs: DataFrame) -> SentenceModel:
+        """tokens: type, follows, small, n, n_next. pairs: type, follows, n."""
         best = lambda rows, *by: [tuple(r) for r in rows.orderBy(F.desc("score"), *by).limit(MOST).collect()]
-        short = frozenset(r[0] for r in best(abbreviations(docs, text_col).where(F.col("score") >= ABBREVIATION).select("word", "score"), "word"))
+        short = frozenset(r[0] for r in best(_scored(tokens).where(F.col("score") >= ABBREVIATION).select("word", "score"), "word"))
         among = lambda x: x.isin(sorted(short)) if short else F.lit(False)
-        t, n = _type(F.col("token")), _type(F.col("next"))
-        pairs = _pairs(docs, text_col).select(F.regexp_replace(t, r"\.$", "").alias("word"), t.rlike(r"[.!?]$").alias("mark"), t.endswith(".").alias("dot"), F.regexp_replace(n, r"[.!?]+$", "").alias("follows"), F.col("next").rlike(r"(?U)^\p{Ll}").alias("small"))
+        letter = F.col("follows").rlike(r"(?U)^\p{L}")
+        kept = pairs.where(letter).select(F.regexp_replace("type", r"\.$", "").alias("word"), F.col("type").rlike(r"[.!?]$").alias("mark"), F.col("type").endswith(".").alias("dot"), "follows", "n")
         ends = F.col("mark") & ~(F.col("dot") & (among(F.col("word")) | F.col("word").rlike(r"(?U)^\p{L}$")))
-        kept = pairs.where(F.col("follows").rlike(r"(?U)^\p{L}"))
-        after = kept.groupBy("follows").agg(F.count_if(ends).alias("n_ab"), F.count("*").alias("n_b"))
+        seen = tokens.where(letter & (F.col("n_next") > 0)).groupBy("follows").agg(F.sum("n_next").alias("n_b"), F.sum(F.when(F.col("small"), F.col("n_next")).otherwise(0)).alias("n_small"))
+        after = seen.join(kept.where(ends).groupBy("follows").agg(F.sum("n").alias("n_ab")), "follows", "left").select("follows", F.coalesce("n_ab", F.lit(0)).alias("n_ab"), "n_b")
         sums = after.agg(F.sum("n_ab").alias("n_a"), F.sum("n_b").alias("n"))
         column = tuple(F.col(c).cast("double") for c in ("n_a", "n_b", "n_ab", "n"))
         more = F.col("n_ab") * F.col("n") > F.col("n_a") * F.col("n_b")
         starters = frozenset(r[0] for r in best(after.join(F.broadcast(sums)).where(more & (F.col("n_ab") > 0)).select("follows", _ratio(*column).alias("score")).where(F.col("score") >= STARTER), "follows"))
-        around = kept.where(F.col("dot") & (among(F.col("word")) | F.col("word").rlike(r"(?U)^\p{L}$|^[0-9]+$"))).groupBy("word", "follows").agg(F.count("*").alias("n_ab"))
+        around = kept.where(F.col("dot") & (among(F.col("word")) | F.col("word").rlike(r"(?U)^\p{L}$|^[0-9]+$"))).groupBy("word", "follows").agg(F.sum("n").alias("n_ab"))
         rows = around.where("n_ab > 1").join(around.groupBy("word").agg(F.sum("n_ab").alias("n_a")), "word").join(after.select("follows", "n_b"), "follows").join(F.broadcast(sums.select("n")))
         held = best(rows.where(more).select(F.concat_ws(" ", "word", "follows").alias("pair"), "follows", _ratio(*column).alias("score")).where(F.col("score") >= COLLOCATION), "pair")
         behind = around.where(among(F.col("word"))).select("follows").distinct()
-        small = best(kept.where("small").join(behind, "follows", "left_semi").groupBy("follows").agg(F.count("*").alias("score")), "follows") if short else []
+        small = best(seen.where("n_small > 0").join(behind, "follows", "left_semi").select("follows", F.col("n_small").alias("score")), "follows") if short else []
         return cls(short, starters, frozenset(p for p, f, _ in held if f not in starters), frozenset(r[0] for r in small))

@@ -65,3 +65,13 @@ def test_diacritics_are_transliterated(spark):
     cases = {"Straße Ærø Łódź naïve ﬁn": "Strasse Aero Lodz naive fin", "Москва, щука": "Moskva, shchuka", "Αθήνα ψυχή": "Athena psukhe", "Þór ıđ GROẞ": "Thor id GROSS", "plain 日本": "plain 日本", "объект Юла": "obekt Iula"}
     rows = spark.createDataFrame([(t,) for t in [*cases, None]], "text string").select("text", diacritics(F.col("text")).alias("t")).collect()
     assert {r.text: r.t for r in rows} == {**cases, None: None}
+
+
+def test_patterns_are_asked_of_distinct_tokens(spark, collection):
+    plan = abbreviations(collection)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Aggregate [token", 1)[1].split("\n", 1)[1].split("Aggregate [")[0]
+    assert "posexplode" in below and "regexp_replace" not in below
+    # a piece reaches to the next end mark, so words between are not looked at one by one
+    text = "word " * 1000 + "end.  Next (one!) \n\n and.more words  "
+    row = spark.createDataFrame([(text,)], "text string").select(GOLDEN.split(F.col("text")).alias("s")).first()
+    assert [s[-9:] for s in row.s] == ["word end.", "xt (one!)", "ore words"]
