@@ -1,14 +1,17 @@
 """What must not grow with the square of the documents, against the plain forms."""
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvid.operators import evaluation
+from corvid.analysis.analyzer import Analyzer
+from corvid.operators import bags, evaluation, scoring
 from corvid.operators.best import Best
 from corvid.operators.dense import exact_top_k
+from corvid.operators.index import build_index
 
 
 @pytest.mark.parametrize("metric", ["hits@3", "recall", "r_precision", "map", "ndcg@3", "ndcg", "mrr"])
@@ -38,3 +41,17 @@ def test_a_task_keeps_k_candidates_for_each_query(spark):
     run = exact_top_k(docs.repartition(16), docs.limit(3).withColumnRenamed("doc_id", "q_id"), 5)
     assert {r.doc_id for r in run.where("q_id = 'd00001'").collect()} == {f"d{k:05d}" for k in (6, 13, 20, 27, 34)}
     assert docs.repartition(64).rdd.getNumPartitions() == 64 and "Coalesce" in run._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("model, operator", [("bm25", "OR"), ("tf-idf", "OR"), ("bm25", "AND")])
+def test_streamed_ranking_equals_postings(spark, monkeypatch, model, operator):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("the of and".split() * 3 + [f"w{rng.randrange(60)}"]) for _ in range(n))
+    docs = spark.createDataFrame([(k, None if k == 7 else text(rng.randrange(40))) for k in range(300)], "doc_id long, text string")
+    asked = docs.where("doc_id % 4 = 0").select(F.format_string("q%d", "doc_id").alias("q_id"), F.concat_ws(" ", "text", F.lit("zzz the")).alias("text"))
+    for name, value in (("CELLS", 1 << 10), ("HELD", 64), ("KEPT", 200)):
+        monkeypatch.setattr(bags, name, value)
+    index = build_index(docs)
+    got, want = (scoring.search(i, asked, Analyzer(), model, cutoff=9, operator=operator, subset=docs.where("doc_id <> 5").select("doc_id")) for i in (index, replace(index, bags=None)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "MapInArrow" in str(got._jdf.queryExecution().executedPlan())
