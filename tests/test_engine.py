@@ -202,6 +202,25 @@ def test_vectors(spark):
     assert math.isclose(sum(v * v for v in unit), 1.0)
 
 
+def test_hashing_finds_the_best_of_what_shares_a_bucket(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(3000, 8)), 2)
+    x[7::500] = x[7]  # ties go to the smaller id
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(-1, None)], "doc_id long, vector array<double>")
+    asked = spark.createDataFrame([(f"q{k}", x[k].tolist()) for k in range(0, 60, 7)], "q_id string, vector array<double>")
+    run = dense.lsh_top_k(docs, asked, 10, tables=3, bits=4, seed=1)
+    code = ((x @ np.random.default_rng(1).normal(size=(8, 12))) > 0).reshape(len(x), 3, 4) @ (1 << np.arange(4))
+    want = set()
+    for q in range(0, 60, 7):
+        close = np.round(x @ x[q], 6)
+        met = np.flatnonzero((code == code[q]).any(1))
+        assert 10 < len(met) < len(x) / 2
+        want |= {(f"q{q}", int(d), float(close[d]), r + 1) for r, d in enumerate(met[np.lexsort((met, -close[met]))][:10])}
+    assert {(r.q_id, r.doc_id, r.score, r.rank) for r in run.collect()} == want
+    plan = run._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # pairs of query and document were rows of a join before
+
+
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
 def test_registered_ann_recall(spark, size):
     from corvid.plans import queries
