@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from corvid.analysis.analyzer import Analyzer
 from corvid.operators.index import spread
+from corvid.operators.tasks import by_tokens, tidy
 
 #: Terms that get a vector: those of the most documents.
 VOCABULARY = 50_000
@@ -81,7 +82,7 @@ def weighted_rows(docs: DataFrame, analyzer: Analyzer, text_col: str, terms: lis
         import pyarrow as pa
 
         known = pa.array(terms, pa.string())
-        for batch in batches:
+        for batch in by_tokens(batches, 0):
             row, term, count = bags(batch.column(0), known)
             if not len(row):
                 continue
@@ -92,7 +93,7 @@ def weighted_rows(docs: DataFrame, analyzer: Analyzer, text_col: str, terms: lis
             ends = pa.array(np.append(starts, len(row)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weight.astype(np.float32)))], ["term", "weight"])
 
-    return spread(docs.select(text_col)).select(analyzer.tokens(F.col(text_col)).alias("tokens")).mapInArrow(run, "term array<int>, weight array<float>")
+    return spread(docs.select(text_col)).select(analyzer.tokens(F.col(text_col)).alias("tokens")).mapInArrow(tidy(run), "term array<int>, weight array<float>")
 
 
 def gram_times(rows: DataFrame, block: np.ndarray, bits: int) -> np.ndarray:
@@ -175,7 +176,7 @@ def pool(texts: DataFrame, model: TermVectors, id_col: str = "doc_id", token_col
         import pyarrow as pa
 
         known = pa.array(terms, pa.string())
-        for batch in batches:
+        for batch in by_tokens(batches, 1):
             out = np.zeros((batch.num_rows, dim))
             row, term, count = bags(batch.column(1), known)
             for part, starts in by_row(row, dim):
@@ -187,7 +188,7 @@ def pool(texts: DataFrame, model: TermVectors, id_col: str = "doc_id", token_col
             ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], [id_col, "vector"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, vector array<double>")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, vector array<double>")
 
 
 def encode(texts: DataFrame, model: TermVectors, id_col: str = "doc_id", text_col: str = "text", analyzer: Analyzer | None = None, max_length: int | None = None, normalize: bool = True) -> DataFrame:

@@ -1,10 +1,11 @@
 """The learned encoder: its decomposition against numpy's, pooling against a plain loop, storing, and odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvid.analysis.analyzer import Analyzer
-from corvid.operators import term_vectors
+from corvid.operators import tasks, term_vectors
 from corvid.operators.term_vectors import TermVectors, encode, learn, pool, vocabulary
 from corvid.retrievers import DenseRetriever
 
@@ -86,6 +87,16 @@ def test_odd_collections(spark):
     assert got.columns == ["doc_id", "vector"] and [(r.doc_id, round(r.vector[0], 6)) for r in got.collect()] == [("a", 0), ("b", 0), ("c", 0), ("c", 1), ("d", 1)]
 
 
+def test_a_batch_is_worked_on_by_its_tokens(monkeypatch):
+    # a batch of 10,000 texts was one piece before, however long they were
+    monkeypatch.setattr(tasks, "TOKENS", 10)
+    lists = [["a"] * 4, None, ["b"] * 6, ["c"], [], ["d"] * 25, None, ["e"] * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists, pa.list_(pa.string()))], ["id", "tokens"])
+    parts = list(tasks.by_tokens([batch.slice(0, 0), batch, batch.slice(2, 4)], 1))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2], [3, 4], [5], [6, 7], [2, 3, 4], [5]]
+    assert [x for p in parts[:4] for x in p.column(1).to_pylist()] == lists
+
+
 def test_vocabulary_is_bounded_and_ties_go_by_term(docs):
     rows = vocabulary(docs, Analyzer(), size=4).collect()
     every = sorted(((-sum(t in text.split() for _, text in collection()), t) for t in {w for _, text in collection() for w in text.split()}))
