@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from corvid.operators.dense import exact_top_k
 from corvid.operators.scoring import top_k
+from corvid.operators.tasks import tidy
 
 #: Vectors that centroids and codewords are learned from, and cells at most.
 SAMPLE, CELLS_MOST = 20_000, 4096
@@ -36,8 +37,8 @@ STRIDE, WORDS = 4, 256
 TUNED_ON, TUNED_K, RECALL = 200, 10, 0.95
 #: Estimates that are scored exactly, for each result wanted.
 RERANK = 8
-#: Numbers that are held at once (some 30 MB).
-HELD = 1 << 21
+#: Numbers that are held at once (4 MB, and some ten times that with what is made of them).
+HELD = 1 << 19
 
 
 @dataclass
@@ -97,7 +98,7 @@ def _assigned(vectors: DataFrame, id_col: str, centroids: np.ndarray) -> DataFra
             if len(f):
                 yield f.assign(cell=nearest(np.stack(f["vector"].to_numpy()), centroids)[0].astype(np.int32))
 
-    return rows.mapInPandas(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, vector array<double>, cell int")
+    return rows.mapInPandas(tidy(run), f"{id_col} {rows.schema[id_col].dataType.simpleString()}, vector array<double>, cell int")
 
 
 def train(docs: DataFrame, recall: float = RECALL, seed: int = 42) -> Model:
@@ -161,7 +162,7 @@ def lists(docs: DataFrame, model: Model) -> DataFrame:
                 code = np.stack([nearest(rest[:, k * STRIDE : (k + 1) * STRIDE], w)[0] for k, w in enumerate(words)], 1).astype(np.uint8)
                 yield f.assign(shard=(f["hash"].to_numpy() % shards[cell]).astype(np.int32), code=[x.tobytes() for x in code]).drop(columns="hash")
 
-    return rows.mapInPandas(run, f"doc_id {kind}, vector array<double>, cell int, shard int, code binary").repartition("cell", "shard").sortWithinPartitions("cell", "shard")
+    return rows.mapInPandas(tidy(run), f"doc_id {kind}, vector array<double>, cell int, shard int, code binary").repartition("cell", "shard").sortWithinPartitions("cell", "shard")
 
 
 def search(filed: DataFrame, model: Model, queries: DataFrame, k: int = 100, probes: int | None = None) -> DataFrame:
@@ -188,7 +189,7 @@ def scan(filed: DataFrame, model: Model, queries: DataFrame, k: int, probes: int
                 each = [(int(j), s) for j in near[n] for s in range(model.shards[j])]
                 yield pd.DataFrame({"q_id": [q] * len(each), "vector": [v] * len(each), "cell": [j for j, _ in each], "shard": [s for _, s in each]})
 
-    wanted = asked.mapInPandas(visits, f"q_id {q_kind}, vector array<double>, cell int, shard int")
+    wanted = asked.mapInPandas(tidy(visits), f"q_id {q_kind}, vector array<double>, cell int, shard int")
     null = lambda kind: F.lit(None).cast(kind)
     both = wanted.select("cell", "shard", F.lit(0).alias("kind"), "q_id", null(d_kind).alias("doc_id"), "vector", null("binary").alias("code")).union(
         filed.join(F.broadcast(wanted.select("cell").distinct()), "cell", "left_semi").select("cell", "shard", F.lit(1), null(q_kind), "doc_id", "vector", "code")  # cells are `CELLS_MOST` at most
@@ -229,4 +230,4 @@ def scan(filed: DataFrame, model: Model, queries: DataFrame, k: int, probes: int
                         "score": np.take_along_axis(exact, order, 1).ravel(), "met": first * len(docs), "scored": first * n,
                     })
 
-    return dealt.mapInPandas(run, f"q_id {q_kind}, doc_id {d_kind}, score double, met long, scored long")
+    return dealt.mapInPandas(tidy(run), f"q_id {q_kind}, doc_id {d_kind}, score double, met long, scored long")

@@ -289,6 +289,20 @@ def _filed(docs, asked, k):
     return vector_index.search(vector_index.lists(docs, model), model, asked, k)
 
 
+def test_distances_to_many_cells_are_held_in_small_blocks():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(3000, 8)), rng.normal(size=(2048, 8))
+    tracemalloc.start()
+    near, far = vector_index.nearest(x, c)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = ((x[:50, None] - c) ** 2).sum(2)
+    assert most < 20e6  # 50 MB before, in each of an executor's workers
+    assert (near[:50] == d.argmin(1)).all() and np.allclose(far[:50], d.min(1))
+
+
 def test_vector_index_scores_few_of_clustered_vectors(spark, monkeypatch):
     rng = np.random.default_rng(0)
     centre = rng.normal(size=(60, 16))
