@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corvid.analysis import sentences
 from corvid.analysis.analyzer import Analyzer
 from corvid.analysis.normalize import diacritics
 from corvid.analysis.sentences import ABBREVIATION, SentenceModel, abbreviations
@@ -61,6 +62,22 @@ def test_learned_model(spark, collection):
     assert SentenceModel.train(collection.limit(0)) == SentenceModel()
 
 
+def test_a_model_keeps_all_that_passes_the_bounds(spark, collection, monkeypatch):
+    odd = ["Prof. Miller", "at approx. ten. The end", "  ", "no mark", "(one!) Two? Three... four", "Prof. Miller. \n", "? . !", "approx.", None, "J. R. The harvest. 3. may", "Prof. Miller"]
+    docs = collection.union(spark.createDataFrame([(t,) for t in odd], "text string")).select(F.lit(1).alias("doc_id"), "text")
+    model = SentenceModel.train(docs)
+    want = sorted(r.n for r in docs.select(F.coalesce(F.size(model.split(F.col("text"))), F.lit(0)).alias("n")).collect())
+    assert sorted(r.n_sentences for r in sentences.count_sentences(docs).collect()) == want
+    # no more than one entry of a kind was kept before
+    monkeypatch.setattr(sentences, "MOST", 1)
+    assert SentenceModel.train(docs) == model and {"prof", "approx"} <= model.abbreviations
+    got = sentences.count_sentences(docs)
+    assert "Join" in str(got._jdf.queryExecution().optimizedPlan()) and sorted(r.n_sentences for r in got.collect()) == want
+    by_text = sentences.count_sentences(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text"))
+    texts = docs.select(F.monotonically_increasing_id().alias("doc_id"), "text")
+    assert sorted(map(tuple, by_text.collect())) == sorted(map(tuple, texts.select("doc_id", F.coalesce(F.size(model.split(F.col("text"))), F.lit(0))).collect()))
+
+
 def test_diacritics_are_transliterated(spark):
     cases = {"Straße Ærø Łódź naïve ﬁn": "Strasse Aero Lodz naive fin", "Москва, щука": "Moskva, shchuka", "Αθήνα ψυχή": "Athena psukhe", "Þór ıđ GROẞ": "Thor id GROSS", "plain 日本": "plain 日本", "объект Юла": "obekt Iula"}
     rows = spark.createDataFrame([(t,) for t in [*cases, None]], "text string").select("text", diacritics(F.col("text")).alias("t")).collect()
