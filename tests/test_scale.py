@@ -55,3 +55,15 @@ def test_streamed_ranking_equals_postings(spark, monkeypatch, model, operator):
     got, want = (scoring.search(i, asked, Analyzer(), model, cutoff=9, operator=operator, subset=docs.where("doc_id <> 5").select("doc_id")) for i in (index, replace(index, bags=None)))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "MapInArrow" in str(got._jdf.queryExecution().executedPlan())
+
+
+def test_streamed_ranking_has_a_task_per_core(spark):
+    # each task hands on k candidates of every query, so a task per split handed on more with every split
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("all"), F.format_string("w%d", F.col("id") % 50)).alias("text")).repartition(96)
+    index, asked = build_index(docs), scoring.query_terms(docs.where("doc_id < 20").select(F.col("doc_id").alias("q_id"), "text"), Analyzer())
+    rows = bags.ranked(index.bags, asked, [(0.75, 1.2)], scoring.bm25_idf(), 3)
+    assert index.bags.rdd.getNumPartitions() == 96 and rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert {r.q_id: r.doc_id for r in scoring.top_k(rows, 1).collect()} == {k: k for k in range(20)}
+    # documents that are met stay with sums of zero, and no others do
+    none = bags.ranked(index.bags, asked.where("term <> 'all'"), [(0.75, 1.2)], F.lit(1e-12), 400).collect()
+    assert {(r.q_id, r.doc_id, r.score) for r in none} == {(q, d, 0.0) for q in range(20) for d in range(q, 400, 50)}
